@@ -1,0 +1,143 @@
+"""Whole analyses: one job over all series, timeframes and parameter sets."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidebars.operators import align, backtest, fits, metrics, signals
+from tidebars.operators.derive import smooth_and_derive
+from tidebars.operators.filters import apply_filter
+from tidebars.operators.series import CHUNK_ROWS, with_index
+from tidebars.schema import KEYS
+from tidebars.sources.bars import valid_close
+from tidebars.sources.params import cross_params
+from tidebars.sources.storage import materialize
+
+
+@dataclass(frozen=True)
+class Settings:
+    filter_id: str = "savgol"
+    filter_params: dict = field(default_factory=dict)
+    edge: str | None = None
+    span: int = 60
+    k_eps: float | str = 0.15
+    sigma_min: float | str = 0.05
+    fit_mode: str = "parabola"
+    n_ext: int | str = 8
+    stop_loss_pct: float | str = 2.0
+    decimals: int | None = None
+    chunk_rows: int = CHUNK_ROWS
+
+
+@dataclass(frozen=True)
+class Analysis:
+    signal: DataFrame
+    pairs: DataFrame
+    fits: DataFrame
+    trades: DataFrame
+    equity: DataFrame
+    summary: DataFrame
+
+
+def signal_rows(indexed: DataFrame, s: Settings, keys: Sequence[str] = KEYS, x: str = "close") -> DataFrame:
+    """Filter, derivatives and trigger of every series."""
+    rows = smooth_and_derive(indexed, s.filter_id, s.filter_params, x, keys, s.edge, s.decimals, s.chunk_rows)
+    return signals.schmitt(rows, s.span, s.k_eps, s.sigma_min, keys, s.chunk_rows, s.decimals)
+
+
+def trade(signal: DataFrame, s: Settings, keys: Sequence[str] = KEYS, sets: DataFrame | None = None) -> Analysis:
+    """Pairs to summary. ``signal`` is read several times, so hand in a stored
+    table. ``sets`` (param_id and the columns that ``s`` names) gives stops and
+    horizons that differ by parameter set; it must be small."""
+    pairs = signals.find_pairs(signal, keys, x="filtered", chunk_rows=s.chunk_rows)
+    rows = fits.segment_rows(signal, pairs, keys, chunk_rows=s.chunk_rows)
+    # pairs, fits and entries are read again by the exits, trades and curves
+    fit = materialize(fits.fit_pairs(rows, s.fit_mode, keys), "fits")
+    aimed = pairs if sets is None else pairs.join(F.broadcast(sets), "param_id")
+    entered = materialize(backtest.entries(aimed, fit, signal, s.n_ext, keys), "entries")
+    exits = backtest.first_exit(entered, signal, s.stop_loss_pct, s.n_ext, keys, chunk_rows=s.chunk_rows)
+    trades = materialize(backtest.make_trades(exits, signal, keys), "trades")
+    curves = backtest.equity(signal, trades, keys, chunk_rows=s.chunk_rows)
+    return Analysis(signal, pairs, fit, trades, curves, backtest.summary(trades, curves, keys, s.chunk_rows))
+
+
+def analyse(bars: DataFrame, s: Settings = Settings(), keys: Sequence[str] = KEYS) -> Analysis:
+    signal = materialize(signal_rows(with_index(valid_close(bars), keys), s, keys), "signal")
+    return trade(signal, s, keys)
+
+
+def run_all(bars: DataFrame, settings: dict[str, Settings] | None = None,
+            default: Settings = Settings(), mode: str = "reference") -> tuple[Analysis, DataFrame]:
+    """All timeframes at once, each with its settings (at most eight), and the
+    curves of the next higher timeframe on every bar. No order of timeframes is
+    needed: alignment joins the finished curves through the hierarchy."""
+    settings = settings or {}
+    groups: dict[int, tuple[Settings, list[str]]] = {}
+    distinct: list[Settings] = []
+    for tf, s in settings.items():
+        at = next((i for i, d in enumerate(distinct) if d == s), None)
+        if at is None:
+            at = len(distinct)
+            distinct.append(s)
+        groups.setdefault(at, (s, []))[1].append(tf)
+    parts = [analyse(bars.where(F.col("timeframe").isin(tfs)), s) for s, tfs in groups.values()]
+    rest = bars.where(~F.col("timeframe").isin(list(settings))) if settings else bars
+    parts.append(analyse(rest, default))
+    union = lambda name: reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])
+    whole = Analysis(*[union(n) for n in ("signal", "pairs", "fits", "trades", "equity", "summary")])
+    curves = materialize(whole.equity, "equity")
+    whole = replace(whole, equity=curves)
+    return whole, align.align_pnl(curves, curves, mode)
+
+
+def sweep_summary(bars: DataFrame, sets: Sequence[dict], keys: Sequence[str] = KEYS,
+                  base: Settings = Settings()) -> DataFrame:
+    """One summary row per series and parameter set. ``sets``: dicts with
+    ``param_id`` and any of the settings. Sets that share filter and span run
+    as one plan with their thresholds and stops as columns."""
+    fixed = ("filter_id", "filter_params", "edge", "span", "fit_mode", "n_ext")
+    groups: list[tuple[Settings, list[dict]]] = []
+    for row in sets:
+        s = replace(base, **{k: row[k] for k in fixed if k in row})
+        match = next((g for g in groups if g[0] == s), None)
+        if match is None:
+            match = (s, [])
+            groups.append(match)
+        match[1].append({
+            "param_id": row["param_id"],
+            "k_eps": float(row.get("k_eps", base.k_eps)),
+            "sigma_min": float(row.get("sigma_min", base.sigma_min)),
+            "stop_loss_pct": float(row.get("stop_loss_pct", base.stop_loss_pct)),
+        })
+    spark = bars.sparkSession
+    indexed = materialize(with_index(valid_close(bars), keys), "indexed")
+    wide_keys = [*keys, "param_id"]
+    out = []
+    for s, rows in groups:
+        smooth = smooth_and_derive(indexed, s.filter_id, s.filter_params, "close", keys, s.edge, s.decimals, s.chunk_rows)
+        params = spark.createDataFrame(rows)
+        crossed = cross_params(smooth, params.drop("stop_loss_pct"))
+        signal = materialize(signals.schmitt(crossed, s.span, "k_eps", "sigma_min", wide_keys, s.chunk_rows, s.decimals), "sweep")
+        out.append(trade(signal, replace(s, stop_loss_pct="stop_loss_pct"), wide_keys,
+                         params.select("param_id", "stop_loss_pct")).summary)
+    return reduce(DataFrame.unionByName, out)
+
+
+def compare_filters(df: DataFrame, filters: Sequence[tuple[str, str, dict]], keys: Sequence[str] = KEYS,
+                    edge: str | None = None, lags: bool = True) -> DataFrame:
+    """Every (name, filter id, params) on every series of ``df`` (idx, n,
+    clean, noisy): one row of metrics per (filter, series)."""
+    keys = list(keys)
+    out = []
+    for name, filter_id, params in filters:
+        done = apply_filter(df.select(*keys, "idx", "n", "clean", "noisy"), filter_id, params, "noisy", "filtered", keys, edge)
+        res = metrics.all_metrics(done, keys)
+        if lags:
+            res = res.join(metrics.impulse_lag(df, filter_id, params, keys), keys)
+        out.append(res.withColumn("filter", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
