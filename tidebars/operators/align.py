@@ -12,10 +12,11 @@ from tidebars.schema import KEYS, tf_dim
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
-                  cols: Sequence[str], bucket: Column, exclusive: bool = False) -> DataFrame:
+                  cols: Sequence[str], bucket: Column | None, exclusive: bool = False) -> DataFrame:
     """For every left row the newest right row with ``right.on <= left.on``
     (``<`` when exclusive). Both sides are put into one stream per key and
-    bucket; what the earlier buckets hold comes in as one carried row."""
+    bucket; what the earlier buckets hold comes in as one carried row. Without
+    a bucket every key is known to be short."""
     by = list(by)
     hit = F.struct(*[F.col(c) for c in cols])
     l_cols = [c for c in left.columns]
@@ -26,8 +27,10 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     side_right = right.select(*by, F.col(on).alias("_on"), F.lit(1 if exclusive else 0).alias("_side"),
                               no_row.alias("_row"), hit.alias("_hit"))
     both = side_left.unionByName(side_right).withColumn(on, F.col("_on"))
-    found = scan(both.withColumn("_part", bucket).drop(on), by, F.col("_part"), ["_on", "_side"],
-                 {"_found": ("last", F.col("_hit"), False)})
+    part = None
+    if bucket is not None:
+        both, part = both.withColumn("_part", bucket), F.col("_part")
+    found = scan(both.drop(on), by, part, ["_on", "_side"], {"_found": ("last", F.col("_hit"), False)})
     return found.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in cols])
 
 
@@ -123,7 +126,7 @@ def next_exit(markers: DataFrame, bar_counts: DataFrame, keys: Sequence[str] = K
 
 
 def holding_masks(bars: DataFrame, holds: DataFrame, keys: Sequence[str] = KEYS,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``long_mask`` and ``short_mask``: true on every bar between an entry and
     its exit. A sweep adds one at each entry and takes one away after each
     exit, so overlapping holds need no range join."""
@@ -141,7 +144,7 @@ def holding_masks(bars: DataFrame, holds: DataFrame, keys: Sequence[str] = KEYS,
         "_l", "_r", "_lo", "_so")
 
 
-def aligned_equity(df: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def aligned_equity(df: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Curves that move with ``long_pnl``/``short_pnl`` only while the mask of
     their side holds; 100 at the start."""
     from tidebars.operators.series import chunked, core_rows, in_chunk
@@ -162,7 +165,7 @@ def aligned_equity(df: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int =
 
 
 def masked_trades(trades: DataFrame, masks: DataFrame, keys: Sequence[str] = KEYS,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Trades that overlap the mask of their side, with flags whether entry and
     exit bars are masked. Overlap: the running count of masked bars grows
     between the two ends of the trade, so two look-ups replace a range join."""

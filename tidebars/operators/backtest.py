@@ -32,7 +32,7 @@ def entries(pairs: DataFrame, fits: DataFrame, bars: DataFrame, n_ext: int | str
 
 
 def reverse_signals(bars: DataFrame, entered: DataFrame, keys: Sequence[str] = KEYS, price: str = "filtered",
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Per entry the first later row with a valid price and the opposite
     signal, read backwards over the rows that carry a signal."""
     keys = list(keys)
@@ -45,7 +45,7 @@ def reverse_signals(bars: DataFrame, entered: DataFrame, keys: Sequence[str] = K
 
 
 def first_exit(entered: DataFrame, bars: DataFrame, stop_loss_pct: float | str = 2.0, n_ext: int | str = 10,
-               keys: Sequence[str] = KEYS, price: str = "filtered", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               keys: Sequence[str] = KEYS, price: str = "filtered", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Exit row and reason. Within ``n_ext`` rows after the entry a price beyond
     the stop around the prediction ends the trade, at any time the reverse
     signal does; the stop wins a tie. Otherwise the last row of the series."""
@@ -105,7 +105,7 @@ def capital(trades: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def equity(bars: DataFrame, trades: DataFrame, keys: Sequence[str] = KEYS, price: str = "filtered",
-           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+           chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``long_pnl`` and ``short_pnl`` on every bar: 100 before the first trade,
     marked to the price while a trade is open, flat after it. An invalid price
     inside a trade repeats the last mark."""
@@ -135,7 +135,7 @@ def equity(bars: DataFrame, trades: DataFrame, keys: Sequence[str] = KEYS, price
 
 
 def summary(trades: DataFrame, curves: DataFrame, keys: Sequence[str] = KEYS,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Trades, wins, returns and deepest drawdown per side of every series."""
     keys = list(keys)
     peaks = scan(curves.select(*keys, "idx", "long_pnl", "short_pnl"), keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {
@@ -154,7 +154,7 @@ def summary(trades: DataFrame, curves: DataFrame, keys: Sequence[str] = KEYS,
 
 
 def atr(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS, out: str = "atr",
-        chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+        chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Mean of the last ``n`` true ranges, NULL until there are ``n``."""
     w = in_chunk(keys)
     cut = chunked(df, n, 0, chunk_rows)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions import taps as K
 from tidebars.functions.scalars import known
-from tidebars.operators.filters import affine_scan, apply_filter, filter_chunks, filter_reach, ema_scan
+from tidebars.operators.filters import REGISTRY, apply_filter, decay_rows, filter_chunks, filter_reach
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, chunked, core_rows, in_chunk, scan
 from tidebars.schema import KEYS
 
@@ -25,7 +25,7 @@ def slope(x: str, w) -> Column:
 
 
 def gradient(df: DataFrame, x: str = "filtered", out: str = "v", keys: Sequence[str] = KEYS,
-             shift: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             shift: int = 0, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """First derivative; ``shift=1`` uses closed bars only, the first value
     being repeated at the start."""
     cut = chunked(df, 1 + shift, 1, chunk_rows)
@@ -37,7 +37,7 @@ def gradient(df: DataFrame, x: str = "filtered", out: str = "v", keys: Sequence[
 
 
 def derivatives(df: DataFrame, x: str = "filtered", keys: Sequence[str] = KEYS, shift: int = 0,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Velocity ``v`` and acceleration ``a`` in one pass over the chunks."""
     cut = chunked(df, 2 + shift, 2, chunk_rows)
     w = in_chunk(keys)
@@ -49,45 +49,81 @@ def derivatives(df: DataFrame, x: str = "filtered", keys: Sequence[str] = KEYS,
     return core_rows(cut.drop("_x"))
 
 
+def smooth_chunks(cut: DataFrame, filter_id: str, params: dict | None, x: str, keys: Sequence[str],
+                  edge: str | None, decimals: int | None, w) -> DataFrame:
+    """Filter, velocity and acceleration inside chunks that are cut for it."""
+    cut = filter_chunks(cut, filter_id, params, x, "filtered", keys, edge, w)
+    if filter_reach(filter_id, params, edge)[2]:
+        cut = cut.where((F.col("idx") >= 0) & (F.col("idx") < F.col("n")))
+    if decimals is not None:
+        cut = cut.withColumn("filtered", F.round("filtered", decimals))
+    return cut.withColumn("v", slope("filtered", w)).withColumn("a", slope("v", w))
+
+
 def smooth_and_derive(df: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",
                       keys: Sequence[str] = KEYS, edge: str | None = None, decimals: int | None = None,
-                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                      chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Filter, velocity and acceleration behind a single shuffle: the halo is
     wide enough for all three. ``decimals`` rounds the filtered value, so that
     thresholds decide alike whatever the order of summation was."""
-    from tidebars.operators.filters import REGISTRY
-
-    if filter_id not in REGISTRY or REGISTRY[filter_id].kind == "table":
+    if not chunk_filter(filter_id):
         df = apply_filter(df, filter_id, params, x, "filtered", keys, edge, chunk_rows)
         if decimals is not None:
             df = df.withColumn("filtered", F.round("filtered", decimals))
         return derivatives(df, "filtered", keys, chunk_rows=chunk_rows)
     before, after, mirror = filter_reach(filter_id, params, edge)
     cut = chunked(df, before + 2, after + 2, chunk_rows, mirror)
-    cut = filter_chunks(cut, filter_id, params, x, "filtered", keys, edge)
-    if mirror:
-        cut = cut.where((F.col("idx") >= 0) & (F.col("idx") < F.col("n")))
-    if decimals is not None:
-        cut = cut.withColumn("filtered", F.round("filtered", decimals))
-    w = in_chunk(keys)
-    return core_rows(cut.withColumn("v", slope("filtered", w)).withColumn("a", slope("v", w)))
+    return core_rows(smooth_chunks(cut, filter_id, params, x, keys, edge, decimals, in_chunk(keys)))
+
+
+def chunk_filter(filter_id: str) -> bool:
+    """Whether a filter runs inside chunks (unknown and whole-table ones do not)."""
+    return filter_id in REGISTRY and REGISTRY[filter_id].kind != "table"
 
 
 def residual(df: DataFrame, filtered: str = "filtered", raw: str = "close", out: str = "residual") -> DataFrame:
     return df.withColumn(out, F.col(filtered) - F.col(raw))
 
 
+def block_window(keys: Sequence[str]):
+    """Rows of a chunk in index order, written so that it shares its sort with
+    windows per block."""
+    return Window.partitionBy(*keys, "chunk").orderBy("_blk", "idx")
+
+
+def with_blocks(cut: DataFrame, span: int) -> DataFrame:
+    """``_blk``: blocks over which the weights of ``span`` lose 40 decades."""
+    return cut.withColumn("_blk", F.floor(F.col("idx") / F.lit(decay_rows(1.0 - 2.0 / (span + 1.0)))))
+
+
 def ewma_chunks(cut: DataFrame, keys: Sequence[str], v: str, span: int) -> DataFrame:
-    """``mu`` and ``sigma`` of ``v`` inside chunks: an exponential mean and the
-    exponential mean square around it, started at v and 0."""
-    alpha = 2.0 / (span + 1.0)
-    cut = ema_scan(cut, keys, v, "mu", alpha)
-    w = in_chunk(keys)
-    miss = F.pow(known(v) - F.col("mu"), F.lit(2.0))
-    started = F.lag(v).over(w).isNotNull()
-    power = F.when(started, F.lit(alpha) * miss).otherwise(miss * 0.0)
-    cut = affine_scan(cut, keys, F.lit(1.0 - alpha), power, "_var", 1.0 - alpha)
-    return cut.withColumn("sigma", F.sqrt("_var")).drop("_var")
+    """``mu`` and ``sigma`` of ``v`` inside chunks with ``_blk``: exponential
+    mean and exponential mean square around it, started at v and 0. Missing
+    values count as zero here; what follows them is blanked by the callers.
+
+    Within a block the recursion is a running sum of scaled terms; of the
+    blocks before only the last one still contributes. One sort serves all.
+    """
+    keep = 1.0 - 2.0 / (span + 1.0)
+    rows = decay_rows(keep)
+    at = F.col("idx") - F.col("_blk") * rows
+    run = Window.partitionBy(*keys, "chunk", "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = block_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    value = F.coalesce(known(v), F.lit(0.0))
+
+    def decayed(frame: DataFrame, term: Column, out: str) -> DataFrame:
+        frame = frame.withColumn("_y", F.col("_up") * F.sum(term / F.col("_up")).over(run))
+        ends = F.when(F.col("_end"), F.col("_y"))
+        carried = F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0.0))
+        return frame.withColumn(out, F.col("_y") + F.col("_up") * keep * carried)
+
+    cut = cut.withColumns({
+        "_up": F.pow(F.lit(keep), at), "_end": at == rows - 1,
+        "_start": F.lag("idx").over(block_window(keys)).isNull()})
+    cut = decayed(cut, F.when(F.col("_start"), value).otherwise(value * (1.0 - keep)), "mu")
+    miss = value - F.col("mu")
+    cut = decayed(cut, F.when(F.col("_start"), 0.0).otherwise(miss * miss * (1.0 - keep)), "_var")
+    return cut.withColumn("sigma", F.sqrt("_var")).drop("_up", "_end", "_start", "_y", "_var")
 
 
 def ewma_reach(span: int) -> int:
@@ -100,14 +136,14 @@ def first_missing(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
 
 
 def ewma_volatility(df: DataFrame, v: str = "v", span: int = 60, keys: Sequence[str] = KEYS,
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``mu`` and ``sigma``; a missing value makes both missing from there on."""
-    cut = core_rows(ewma_chunks(chunked(df, ewma_reach(span), 0, chunk_rows), keys, v, span))
+    cut = with_blocks(chunked(df, ewma_reach(span), 0, chunk_rows), span)
+    cut = core_rows(ewma_chunks(cut, keys, v, span)).drop("_blk")
     holed = cut.join(first_missing(df, keys, v), list(keys), "left")
     good = F.col("_missing_from").isNull() | (F.col("idx") < F.col("_missing_from"))
     return (
-        holed.withColumn("mu", F.when(good, F.col("mu")))
-        .withColumn("sigma", F.when(good, F.col("sigma")))
+        holed.withColumns({"mu": F.when(good, F.col("mu")), "sigma": F.when(good, F.col("sigma"))})
         .drop("_missing_from")
     )
 
@@ -121,14 +157,14 @@ def deadband(sigma: Column, k_eps, sigma_min) -> Column:
 
 
 def drawdown(df: DataFrame, p: str, out: str = "drawdown_pct", keys: Sequence[str] = KEYS,
-             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Distance in percent from the running maximum."""
     peaks = scan(df, keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {"_peak": ("max", F.col(p), False)})
     return peaks.withColumn(out, F.try_divide(F.col(p) - F.col("_peak"), F.col("_peak")) * 100.0).drop("_peak")
 
 
 def roughness(df: DataFrame, x: str = "filtered", out: str = "roughness", keys: Sequence[str] = KEYS,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+              chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Sum of squared second differences per series, 0 for fewer than 3 rows."""
     w = in_chunk(keys)
     bend = F.col(x) - 2.0 * F.lag(x, 1).over(w) + F.lag(x, 2).over(w)

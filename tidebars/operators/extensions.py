@@ -28,13 +28,13 @@ def _stacked(df: DataFrame, span: int, depth: int, x: str, keys: Sequence[str],
 
 
 def dema(df: DataFrame, span: int, x: str = "close", out: str = "dema", keys: Sequence[str] = KEYS,
-         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+         chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     e = _stacked(df, span, 2, x, keys, chunk_rows)
     return e.withColumn(out, 2.0 * F.col("_e1") - F.col("_e2")).drop("_e1", "_e2")
 
 
 def tema(df: DataFrame, span: int, x: str = "close", out: str = "tema", keys: Sequence[str] = KEYS,
-         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+         chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     e = _stacked(df, span, 3, x, keys, chunk_rows)
     return e.withColumn(out, 3.0 * F.col("_e1") - 3.0 * F.col("_e2") + F.col("_e3")).drop("_e1", "_e2", "_e3")
 
@@ -74,7 +74,7 @@ def hp_reach(lamb: float) -> int:
 
 
 def hp_filter(df: DataFrame, lamb: float = 1600.0, x: str = "close", keys: Sequence[str] = KEYS,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+              chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``trend`` and ``cycle``. The influence of a row fades geometrically, so
     a halo of ``hp_reach`` rows makes every chunk exact to rounding."""
     reach = hp_reach(lamb)

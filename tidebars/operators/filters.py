@@ -167,28 +167,27 @@ def affine_scan(cut: DataFrame, keys: Sequence[str], a: Column, b: Column, out:
     (40 decades of decay, given at most ``floor_per_row`` per row) that only
     the block before the current one still contributes.
     """
-    if floor_per_row <= 0.0:
-        block_rows = 1
-    else:
-        block_rows = max(1, int(40 / -math.log10(floor_per_row)))
-    w = in_chunk(keys)
-    cut = (
-        cut.withColumn("_b", b)
-        .withColumn("_la", F.when(F.col("_b").isNotNull(), F.ln(F.greatest(a, F.lit(1e-30)))))
-        .withColumn("_blk", F.floor((F.count("_b").over(w) - 1) / F.lit(block_rows)))
-    )
+    block_rows = decay_rows(floor_per_row)
+    cut = cut.withColumns({"_b": b, "_la": F.ln(F.greatest(a, F.lit(1e-30)))})
+    cut = cut.withColumn("_blk", F.floor((F.count("_b").over(in_chunk(keys)) - 1) / F.lit(block_rows)))
     run = Window.partitionBy(*keys, "chunk", "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut.withColumn("_s", F.sum("_la").over(run)).withColumn(
-        "_y", F.exp("_s") * F.sum(F.col("_b") * F.exp(-F.col("_s"))).over(run))
-    # The end value of the block before: last row whose successor opens a block.
-    ends = F.when(F.lead("_blk").over(w) != F.col("_blk"), F.col("_y"))
-    cut = cut.withColumn("_end", ends)
+    # blocks follow the index, so this order needs no second sort
+    w = Window.partitionBy(*keys, "chunk").orderBy("_blk", "idx")
+    cut = cut.withColumn("_s", F.sum(F.when(F.col("_b").isNotNull(), F.col("_la"))).over(run))
+    cut = cut.withColumn("_y", F.exp("_s") * F.sum(F.col("_b") * F.exp(-F.col("_s"))).over(run))
+    # the end value of the block before: last row whose successor opens a block
+    cut = cut.withColumn("_end", F.when(F.lead("_blk").over(w) != F.col("_blk"), F.col("_y")))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     carried = F.exp("_s") * F.coalesce(F.last("_end", ignorenulls=True).over(before), F.lit(0.0))
     return cut.withColumn(out, F.when(F.col("_blk") >= 0, F.col("_y") + carried)).drop(
         "_b", "_la", "_blk", "_s", "_y", "_end")
 
 
+def decay_rows(keep: float) -> int:
+    """Rows over which a factor ``keep`` per row loses 40 decades."""
+    return 1 if keep <= 0.0 else max(1, int(40 / -math.log10(keep)))
+
+
 def smoothing_factor(p: dict) -> float:
     return float(p["alpha"]) if "alpha" in p else 2.0 / (float(p["span"]) + 1.0)
 
@@ -203,8 +202,8 @@ def ema_scan(cut: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float
         return cut.withColumn(out, F.last(value, ignorenulls=True).over(w))
     last_seen = F.last(F.when(value.isNotNull(), F.col("idx")), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("_gap", F.col("idx") - last_seen).withColumn(
-        "_old", F.when(F.col("_gap") == 1, F.lit(keep)).otherwise(F.pow(F.lit(keep), F.col("_gap"))))
+    cut = cut.withColumn("_gap", F.col("idx") - last_seen)
+    cut = cut.withColumn("_old", F.when(F.col("_gap") == 1, F.lit(keep)).otherwise(F.pow(F.lit(keep), F.col("_gap"))))
     share = F.col("_old") + F.lit(alpha)
     started = F.col("_gap").isNotNull()
     a = F.when(started, F.when(F.col("_gap") == 1, F.lit(keep)).otherwise(F.col("_old") / share)).otherwise(F.lit(1.0))
@@ -345,11 +344,12 @@ def _grouped(cut: DataFrame, keys: Sequence[str], x: str, out: str, run: Callabl
 
 
 def filter_chunks(cut: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",
-                  out: str = "filtered", keys: Sequence[str] = KEYS, edge: str | None = None) -> DataFrame:
-    """Apply a filter to a frame that is already cut with enough halo."""
+                  out: str = "filtered", keys: Sequence[str] = KEYS, edge: str | None = None, w=None) -> DataFrame:
+    """Apply a filter to a frame that is already cut with enough halo. ``w``
+    replaces the chunk window by one with the same row order."""
     spec, p, edge = REGISTRY[filter_id], _repaired(filter_id, params), edge or "zero"
     if spec.kind == "window":
-        return cut.withColumn(out, spec.build(x, p, in_chunk(keys), edge))
+        return cut.withColumn(out, spec.build(x, p, w or in_chunk(keys), edge))
     if spec.kind == "frame":
         return spec.build(cut, keys, x, out, p, edge)
     return _grouped(cut, keys, x, out, spec.build(p))
@@ -357,7 +357,7 @@ def filter_chunks(cut: DataFrame, filter_id: str, params: dict | None = None, x:
 
 def apply_filter(df: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",
                  out: str = "filtered", keys: Sequence[str] = KEYS, edge: str | None = None,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Filter column ``x`` of every series. An unknown id gives NULLs."""
     spec = REGISTRY.get(filter_id)
     if spec is None:

@@ -14,7 +14,7 @@ from tidebars.schema import KEYS
 
 
 def segment_rows(bars: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS, x: str = "filtered",
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Rows of every pair, both ends included. Pairs tile the axis, so a row
     finds its pair by an as-of look-up on the start; the row that ends one pair
     and starts the next is emitted for both. No range join."""

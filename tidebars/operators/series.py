@@ -57,37 +57,51 @@ def index_bounded(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts")
 
 
 def chunked(df: DataFrame, before: int = 0, after: int = 0,
-            chunk_rows: int = CHUNK_ROWS, mirror: int = 0) -> DataFrame:
+            chunk_rows: int | None = CHUNK_ROWS, mirror: int = 0) -> DataFrame:
     """Assign every row to its chunk and copy border rows to the neighbours
     that look up to ``before`` rows back or ``after`` rows ahead. Copies have
     ``core`` = false. ``mirror`` adds that many reflected rows beyond both ends
-    of the series (index -1 repeats row 0, and so on)."""
-    c = F.lit(chunk_rows).cast("long")
-    places = F.array(F.col("idx"))
+    of the series (index -1 repeats row 0, and so on). ``chunk_rows`` None says
+    that every series is short enough for one chunk, see ``chunk_limit``."""
+    if not mirror and chunk_rows is None:
+        return df.withColumns({"chunk": F.lit(0).cast("long"), "core": F.lit(True)})
+    place = F.col("idx")
     if mirror:
         inside = (F.col("idx") >= mirror) & (F.col("idx") < F.col("n") - mirror)
-        turns = F.lit(mirror).cast("long") / (F.col("n") * 2)
-        turns = F.floor(turns).cast("long") + 1
+        turns = F.floor(F.lit(mirror).cast("long") / (F.col("n") * 2)).cast("long") + 1
         folded = F.flatten(F.transform(
             F.sequence(-turns, turns),
             lambda k: F.array(F.col("idx") + k * F.col("n") * 2,
                               F.col("n") * 2 - 1 - F.col("idx") + k * F.col("n") * 2),
         ))
         folded = F.filter(folded, lambda p: (p >= -mirror) & (p < F.col("n") + mirror))
-        places = F.when(inside, places).otherwise(folded)
-    df = df.withColumn("_place", F.explode(places)) if mirror else df.withColumn("_place", F.col("idx"))
+        df = df.withColumn("_place", F.explode(F.when(inside, F.array("idx")).otherwise(folded)))
+        place = F.col("_place")
+    if chunk_rows is None:
+        return df.withColumns({"chunk": F.lit(0).cast("long"), "core": place == F.col("idx"), "idx": place}).drop("_place")
+    c = F.lit(chunk_rows).cast("long")
     last = F.expr(f"(n - 1) div {chunk_rows}")
-    first_use = F.greatest(F.lit(0).cast("long"), F.floor((F.col("_place") - after) / c).cast("long"))
-    last_use = F.least(last, F.floor((F.col("_place") + before) / c).cast("long"))
+    first_use = F.greatest(F.lit(0).cast("long"), F.floor((place - after) / c).cast("long"))
+    last_use = F.least(last, F.floor((place + before) / c).cast("long"))
+    uses = F.sequence(F.least(first_use, last), F.greatest(last_use, F.lit(0).cast("long")))
     return (
-        df.withColumn("chunk", F.explode(F.sequence(F.least(first_use, last), F.greatest(last_use, F.lit(0).cast("long")))))
-        .withColumn("core", (F.col("_place") == F.col("idx"))
-                    & (F.col("chunk") == F.floor(F.col("idx") / c)))
-        .withColumn("idx", F.col("_place"))
+        df.withColumn("chunk", F.explode(uses))
+        .withColumns({
+            "core": (place == F.col("idx")) & (F.col("chunk") == F.floor(F.col("idx") / c)),
+            "idx": place,
+        })
         .drop("_place")
     )
 
 
+def chunk_limit(df: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> int | None:
+    """``chunk_rows`` when some series is longer, else None: then nothing has to
+    be carried between chunks. One small action; hand in a stored table."""
+    if chunk_rows is None or df.select("n").where(F.col("n") > chunk_rows).isEmpty():
+        return None
+    return chunk_rows
+
+
 def in_chunk(keys: Sequence[str] = KEYS):
     return Window.partitionBy(*keys, "chunk").orderBy("idx")
 
@@ -118,7 +132,7 @@ def _total(kind: str, value: Column, order: Column, reverse: bool) -> Column:
     return {"max": F.max, "sum": F.sum, "product": F.product}[kind](value)
 
 
-def scan(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
+def scan(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence[str],
          outs: dict[str, tuple[str, Column, bool]], reverse: bool = False) -> DataFrame:
     """Running values over whole series, in bounded tasks.
 
@@ -126,11 +140,19 @@ def scan(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str
     ``last`` (last non-null value), ``max``, ``sum`` or ``product``; exclusive
     leaves the current row out. ``reverse`` runs from the end of the series.
     Each bucket is scanned on its own, one summary row per bucket is carried
-    to the later ones and joined back.
+    to the later ones and joined back, so ``df`` is read twice (only the
+    columns that the summary needs the second time): hand in a stored table.
+    Without a ``bucket`` (series known to be short) there is nothing to carry.
     """
     keys = list(keys)
-    df = df.withColumn("_b", bucket)
     turn = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
+    if bucket is None:
+        whole = Window.partitionBy(*keys).orderBy(*[turn(c) for c in order])
+        return df.withColumns({
+            name: _JOINED[kind](F.lit(None), _over(kind, value, whole.rowsBetween(
+                Window.unboundedPreceding, -1 if exclusive else Window.currentRow)))
+            for name, (kind, value, exclusive) in outs.items()})
+    df = df.withColumn("_b", bucket)
     local = Window.partitionBy(*keys, "_b").orderBy(*[turn(c) for c in order])
     across = Window.partitionBy(*keys).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.struct(*[F.col(c) for c in order])
@@ -141,14 +163,13 @@ def scan(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str
         *keys, "_b",
         *[_over(kind, F.col(f"_t_{name}"), across).alias(f"_c_{name}") for name, (kind, _, _) in outs.items()],
     )
-    for name, (kind, value, exclusive) in outs.items():
-        frame = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-        df = df.withColumn(f"_l_{name}", _over(kind, value, frame))
-    joined = df.join(carried, [*keys, "_b"])
-    for name, (kind, _, _) in outs.items():
-        joined = joined.withColumn(name, _JOINED[kind](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
+    df = df.withColumns({
+        f"_l_{name}": _over(kind, value, local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
+        for name, (kind, value, exclusive) in outs.items()})
+    joined = df.join(carried, [*keys, "_b"]).withColumns({
+        name: _JOINED[kind](F.col(f"_c_{name}"), F.col(f"_l_{name}")) for name, (kind, _, _) in outs.items()})
     return joined.drop("_b", *[f"_{p}_{name}" for name in outs for p in "lc"])
 
 
-def chunk_of(idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> Column:
-    return F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long")
+def chunk_of(idx: str = "idx", chunk_rows: int | None = CHUNK_ROWS) -> Column | None:
+    return None if chunk_rows is None else F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long")

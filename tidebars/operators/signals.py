@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.scalars import known
-from tidebars.operators.derive import deadband, ewma_chunks, ewma_reach
+from tidebars.operators.derive import (
+    block_window, chunk_filter, deadband, ewma_chunks, ewma_reach, smooth_and_derive, smooth_chunks, with_blocks,
+)
+from tidebars.operators.filters import filter_reach
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, chunked, core_rows, in_chunk, scan
 from tidebars.schema import KEYS
 
 STATES = (-1, 0, 1)
 
 
-def _states_in_chunk(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State of every row for each of the three states the chunk may be
-    entered with, as columns ``_s-1``, ``_s0``, ``_s1``.
+def _states_in_chunk(cut: DataFrame, keys: Sequence[str], states: Sequence[int]) -> DataFrame:
+    """State of every row for each of the states the chunk may be entered with,
+    as columns ``_s-1``, ``_s0``, ``_s1``.
 
     A row pushes up (+1), pushes down (-1) or does nothing; a push is strong
     when the velocity agrees with it. Pushes of one direction form a run. The
@@ -29,32 +32,32 @@ def _states_in_chunk(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
     state follows from the last run that is not ``b`` and a parity. All of it
     is running values over one window, no row loop.
     """
-    w = in_chunk(keys)
+    w = block_window(keys)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
-
-    cut = cut.withColumn("_prev", last(F.col("_push"), before)).withColumn("_seen", F.count("_push").over(upto))
-    opens = F.col("_push").isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != F.col("_push")))
-    cut = cut.withColumn("_opens", opens)
-    cut = (
-        cut.withColumn("_run", F.sum(F.col("_opens").cast("long")).over(upto))
-        .withColumn("_dir", last(F.when(F.col("_opens"), F.col("_push")), upto))
-        .withColumn("_at", last(F.when(F.col("_opens"), F.col("_seen")), upto))
-        .withColumn("_first", last(F.when(F.col("_opens"), F.col("_strong")), upto))
-        .withColumn("_last_strong", last(F.when(F.col("_strong"), F.col("_seen")), upto))
-    )
+    push, opens = F.col("_push"), F.col("_opens")
+
+    cut = cut.withColumns({"_prev": last(push, before), "_seen": F.count(push).over(upto)})
+    cut = cut.withColumn("_opens", push.isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != push)))
+    cut = cut.withColumns({
+        "_run": F.sum(opens.cast("long")).over(upto),
+        "_dir": last(F.when(opens, push), upto),
+        "_at": last(F.when(opens, F.col("_seen")), upto),
+        "_first": last(F.when(opens, F.col("_strong")), upto),
+        "_last_strong": last(F.when(F.col("_strong"), F.col("_seen")), upto),
+    })
     cut = cut.withColumn("_later", F.coalesce(F.col("_last_strong") > F.col("_at"), F.lit(False)))
     kind = F.when(F.col("_later"), "c").when(F.col("_first"), "b").otherwise("a")
-    cut = cut.withColumn("_kind", F.when(F.col("_push").isNotNull(), kind))
-    cut = cut.withColumn("_prev_kind", last(F.col("_kind"), before)).withColumn("_prev_dir", last(F.col("_dir"), before))
+    cut = cut.withColumn("_kind", F.when(push.isNotNull(), F.struct(kind.alias("kind"), F.col("_dir").alias("dir"))))
+    cut = cut.withColumn("_was", last(F.col("_kind"), before))
     # At the row that opens run r >= 2: does run r - 1 fix the state by itself?
-    fixed = F.when(F.col("_opens") & (F.col("_run") > 1) & ((F.col("_prev_kind") != "b") | (F.col("_run") == 2)),
-                   F.struct((F.col("_run") - 1).alias("run"), F.col("_prev_kind").alias("kind"),
-                            F.col("_prev_dir").alias("dir")))
-    cut = cut.withColumn("_fixed", fixed).withColumn("_fixed", last(F.col("_fixed"), upto))
+    fixed = F.when(opens & (F.col("_run") > 1) & ((F.col("_was.kind") != "b") | (F.col("_run") == 2)),
+                   F.struct((F.col("_run") - 1).alias("run"), F.col("_was.kind").alias("kind"),
+                            F.col("_was.dir").alias("dir")))
+    cut = cut.withColumn("_fixed", last(fixed, upto))
 
-    for s in STATES:
+    def state(s: int) -> Column:
         came = F.lit(s)
         outcome = (
             F.when(F.col("_fixed.kind") == "c", True)
@@ -64,88 +67,110 @@ def _states_in_chunk(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         odd = (F.col("_run") - 1 - F.col("_fixed.run")) % 2 == 1
         entered = F.when(F.col("_run") == 1, came).otherwise(F.when(outcome != odd, -F.col("_dir")).otherwise(0))
-        state = (
+        return (
             F.when(F.col("_run") == 0, came)
             .when(entered == F.col("_dir"), F.col("_dir"))
             .when(entered == 0, F.when(F.col("_first") | F.col("_later"), F.col("_dir")).otherwise(0))
             .otherwise(F.when(F.col("_later"), F.col("_dir")).otherwise(0))
-        )
-        cut = cut.withColumn(f"_s{s}", state.cast("int"))
-    return cut.drop("_prev", "_seen", "_opens", "_run", "_dir", "_at", "_first", "_last_strong", "_later",
-                    "_kind", "_prev_kind", "_prev_dir", "_fixed")
+        ).cast("int")
+
+    return cut.withColumns({f"_s{s}": state(s) for s in states}).drop(
+        "_prev", "_seen", "_opens", "_run", "_dir", "_at", "_first", "_last_strong", "_later", "_kind", "_was", "_fixed")
 
 
 def _entered_with(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """State each chunk is entered with: the maps of the chunks before it,
     applied one after the other to 0. One short array per series."""
-    steps = F.array_sort(F.collect_list(F.struct("chunk", F.array("_m-1", "_m0", "_m1").alias("m"))))
+    steps = F.array_sort(F.collect_list(F.struct("chunk", F.array("_m-1", "_m0", "_m1").alias("m"), "_stuck")))
     walked = F.aggregate(
         "_steps",
-        F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<chunk:bigint,s:int>>").alias("seen")),
+        F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<chunk:bigint,s:int,stuck:boolean>>").alias("seen")),
         lambda acc, step: F.struct(
             F.get(step["m"], acc["s"] + 1).alias("s"),
-            F.concat(acc["seen"], F.array(F.struct(step["chunk"].alias("chunk"), acc["s"].alias("s")))).alias("seen")),
+            F.concat(acc["seen"], F.array(F.struct(step["chunk"].alias("chunk"), acc["s"].alias("s"),
+                                                             step["_stuck"].alias("stuck")))).alias("seen")),
         lambda acc: acc["seen"],
     )
     return (
         maps.groupBy(*keys).agg(steps.alias("_steps"))
         .select(*keys, F.explode(walked).alias("_e"))
-        .select(*keys, F.col("_e.chunk").alias("chunk"), F.col("_e.s").alias("_came"))
+        .select(*keys, "_e.chunk", F.col("_e.s").alias("_came"), "_e.stuck").withColumnRenamed("stuck", "_stuck")
     )
 
 
+def trigger_chunks(cut: DataFrame, span: int, k_eps: float | str, sigma_min: float | str, keys: Sequence[str],
+                   decimals: int | None, chunked_series: bool) -> DataFrame:
+    """Trigger on chunks that carry ``v``, ``a``, ``_blk`` and halo rows; the
+    result holds the core rows. Chunks are read on as maps of the state only
+    where a series has several."""
+    from tidebars.sources.storage import materialize
+
+    keys = list(keys)
+    as_col = lambda p: F.col(p) if isinstance(p, str) else F.lit(float(p))
+    cut = ewma_chunks(cut, keys, "v", span).where("core")
+    exact = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
+    cut = cut.withColumn("eps", deadband(F.col("sigma"), as_col(k_eps), as_col(sigma_min)))
+    a, v, band = exact(known("a")), exact(known("v")), exact(F.col("eps"))
+    push = F.when(v.isNotNull(), F.when(a > band, 1).when(a < -band, -1))
+    # A missing v freezes everything after it, also in later chunks.
+    frozen = F.max(known("v").isNull().cast("int")).over(
+        block_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1
+    cut = cut.withColumns({"_frozen": frozen, "_push": push, "_strong": F.coalesce(push * v > 0, F.lit(False))})
+    cut = cut.withColumns({"_push": F.when(~F.col("_frozen"), F.col("_push")), "_strong": F.col("_strong") & ~F.col("_frozen")})
+    if chunked_series:
+        rows = materialize(_states_in_chunk(cut, keys, STATES).drop("_push", "_strong"), "states")
+        ends = rows.groupBy(*keys, "chunk").agg(
+            *[F.max_by(f"_s{s}", "idx").alias(f"_m{s}") for s in STATES], F.max("_frozen").alias("_holed"))
+        # Behind a chunk with a missing v nothing moves any more.
+        earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_stuck", F.coalesce(F.max("_holed").over(earlier), F.lit(False)))
+        ends = ends.withColumns({f"_m{s}": F.when(F.col("_stuck"), F.lit(s)).otherwise(F.col(f"_m{s}")) for s in STATES})
+        rows = rows.join(_entered_with(ends, keys), [*keys, "chunk"])
+        sig = F.when(F.col("_stuck"), F.col("_came")).otherwise(
+            F.when(F.col("_came") == 1, F.col("_s1")).when(F.col("_came") == -1, F.col("_s-1")).otherwise(F.col("_s0")))
+        dead = F.col("_stuck") | F.col("_frozen")
+    else:
+        rows = _states_in_chunk(cut, keys, (0,))
+        sig, dead = F.col("_s0"), F.col("_frozen")
+    short = F.col("n") < span
+    blank = lambda c: F.when(~short & ~dead, F.col(c))
+    return rows.withColumns({
+        "sig": F.when(~short, sig).cast("int"), "mu": blank("mu"), "sigma": blank("sigma"), "eps": blank("eps"),
+    }).drop("chunk", "core", "_blk", "_push", "_strong", "_frozen", "_came", "_stuck", *[f"_s{s}" for s in STATES])
+
+
 def schmitt(df: DataFrame, span: int = 60, k_eps: float | str = 0.15, sigma_min: float | str = 0.05,
-            keys: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS, decimals: int | None = None) -> DataFrame:
+            keys: Sequence[str] = KEYS, chunk_rows: int | None = CHUNK_ROWS, decimals: int | None = None) -> DataFrame:
     """Adds ``mu``, ``sigma``, ``eps`` and ``sig`` to rows with ``v``, ``a``.
 
     Enter +1 when a > eps and v > 0, -1 when a < -eps and v < 0; leave to 0 on
     an opposite a beyond eps; missing values keep the state. A missing v also
     makes eps missing from there on. Series shorter than ``span`` get NULL.
     ``k_eps`` and ``sigma_min`` may name columns (parameter sweeps).
-    ``decimals`` rounds a and eps before they are compared.
+    ``decimals`` rounds a, v and eps before they are compared.
     """
-    keys = list(keys)
-    as_col = lambda p: F.col(p) if isinstance(p, str) else F.lit(float(p))
-    cut = ewma_chunks(chunked(df, ewma_reach(span), 0, chunk_rows), keys, "v", span)
-    cut = cut.where("core")
-    eps = deadband(F.col("sigma"), as_col(k_eps), as_col(sigma_min))
-    a, v = known("a"), known("v")
-    band = F.col("eps")
-    if decimals is not None:
-        a, v, band = F.round(a, decimals), F.round(v, decimals), F.round(band, decimals)
-    push = F.when(a > band, 1).when(a < -band, -1)
-    cut = cut.withColumn("eps", eps).withColumn("_push", F.when(v.isNotNull(), push))
-    cut = cut.withColumn("_strong", F.coalesce(F.col("_push") * v > 0, F.lit(False)))
-    # A missing v freezes everything after it, also in later chunks.
-    w = in_chunk(keys)
-    holed = F.max(known("v").isNull().cast("int")).over(w)
-    cut = cut.withColumn("_frozen", holed == 1)
-    cut = cut.withColumn("_push", F.when(~F.col("_frozen"), F.col("_push"))).withColumn(
-        "_strong", F.col("_strong") & ~F.col("_frozen"))
-    rows = _states_in_chunk(cut, keys)
-    ends = rows.groupBy(*keys, "chunk").agg(
-        *[F.max_by(f"_s{s}", "idx").alias(f"_m{s}") for s in STATES], F.max("_frozen").alias("_holed"))
-    # Behind a chunk with a missing v nothing moves any more.
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_stuck", F.coalesce(F.max("_holed").over(earlier), F.lit(False)))
-    for s in STATES:
-        ends = ends.withColumn(f"_m{s}", F.when(F.col("_stuck"), F.lit(s)).otherwise(F.col(f"_m{s}")))
-    came = _entered_with(ends, keys).join(ends.select(*keys, "chunk", "_stuck"), [*keys, "chunk"])
-    joined = rows.join(came, [*keys, "chunk"])
-    sig = F.when(F.col("_stuck"), F.col("_came")).otherwise(
-        F.when(F.col("_came") == 1, F.col("_s1")).when(F.col("_came") == -1, F.col("_s-1")).otherwise(F.col("_s0")))
-    dead = F.col("_stuck") | F.col("_frozen")
-    short = F.col("n") < span
-    blank = lambda c: F.when(~short & ~dead, F.col(c))
-    return (
-        joined.withColumn("sig", F.when(~short, sig).cast("int"))
-        .withColumn("mu", blank("mu")).withColumn("sigma", blank("sigma")).withColumn("eps", blank("eps"))
-        .drop("chunk", "core", "_push", "_strong", "_frozen", "_came", "_stuck", *[f"_s{s}" for s in STATES])
-    )
+    cut = with_blocks(chunked(df, ewma_reach(span), 0, chunk_rows), span)
+    return trigger_chunks(cut, span, k_eps, sigma_min, keys, decimals, chunk_rows is not None)
+
+
+def smooth_and_trigger(df: DataFrame, filter_id: str, params: dict | None = None, edge: str | None = None,
+                       span: int = 60, k_eps: float | str = 0.15, sigma_min: float | str = 0.05,
+                       keys: Sequence[str] = KEYS, x: str = "close", chunk_rows: int | None = CHUNK_ROWS,
+                       decimals: int | None = None) -> DataFrame:
+    """Filter, slopes and trigger behind one shuffle and one sort: the halo
+    covers the filter, both differences and the memory of the volatility."""
+    finer = None if decimals is None else decimals + 3
+    if not chunk_filter(filter_id):
+        rows = smooth_and_derive(df, filter_id, params, x, keys, edge, decimals, chunk_rows)
+        return schmitt(rows, span, k_eps, sigma_min, keys, chunk_rows, finer)
+    before, after, mirror = filter_reach(filter_id, params, edge)
+    cut = chunked(df, before + 2 + ewma_reach(span), after + 2, chunk_rows, mirror)
+    cut = smooth_chunks(with_blocks(cut, span), filter_id, params, x, keys, edge, decimals, block_window(keys))
+    return trigger_chunks(cut, span, k_eps, sigma_min, keys, finer, chunk_rows is not None)
 
 
 def state_duration(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", out: str = "dur",
-                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Rows since the state last changed, counting from 1."""
     cut = chunked(df, 1, 0, chunk_rows)
     turned = (F.col("idx") == 0) | (F.lag(sig).over(in_chunk(keys)) != F.col(sig))
@@ -155,7 +180,7 @@ def state_duration(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig",
         "_turn", "_since")
 
 
-def runs(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def runs(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Non-zero stretches of equal signal: start, end, value."""
     cut = chunked(df.select(*keys, "idx", "n", sig), 1, 0, chunk_rows)
     turned = (F.col("idx") == 0) | (F.lag(sig).over(in_chunk(keys)) != F.col(sig))
@@ -169,7 +194,7 @@ def runs(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", chunk_rows
 
 
 def pair_starts(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig",
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Rows where a signal opposite to the last non-zero one appears (or the
     first one): zeros between equal signs do not end a stretch."""
     live = df.where(F.col(sig) != 0)
@@ -178,7 +203,7 @@ def pair_starts(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig",
 
 
 def find_pairs(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", x: str | None = None,
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """(start, end) of every stretch up to the entry of the opposite one. With
     ``x`` the value at the end is kept as ``y_end``. The window runs over the
     stretch starts only."""

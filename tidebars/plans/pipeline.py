@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidebars.operators import align, backtest, fits, metrics, signals
 from tidebars.operators.derive import smooth_and_derive
 from tidebars.operators.filters import apply_filter
-from tidebars.operators.series import CHUNK_ROWS, with_index
+from tidebars.operators.series import CHUNK_ROWS, chunk_limit, with_index
 from tidebars.schema import KEYS
 from tidebars.sources.bars import valid_close
 from tidebars.sources.params import cross_params
@@ -31,7 +31,7 @@ class Settings:
     n_ext: int | str = 8
     stop_loss_pct: float | str = 2.0
     decimals: int | None = None
-    chunk_rows: int = CHUNK_ROWS
+    chunk_rows: int | None = CHUNK_ROWS
 
 
 @dataclass(frozen=True)
@@ -45,16 +45,16 @@ class Analysis:
 
 
 def signal_rows(indexed: DataFrame, s: Settings, keys: Sequence[str] = KEYS, x: str = "close") -> DataFrame:
-    """Filter, derivatives and trigger of every series."""
-    rows = smooth_and_derive(indexed, s.filter_id, s.filter_params, x, keys, s.edge, s.decimals, s.chunk_rows)
-    return signals.schmitt(rows, s.span, s.k_eps, s.sigma_min, keys, s.chunk_rows, s.decimals)
+    """Filter, slopes and trigger of every series."""
+    return signals.smooth_and_trigger(indexed, s.filter_id, s.filter_params, s.edge, s.span, s.k_eps, s.sigma_min,
+                                      keys, x, s.chunk_rows, s.decimals)
 
 
 def trade(signal: DataFrame, s: Settings, keys: Sequence[str] = KEYS, sets: DataFrame | None = None) -> Analysis:
     """Pairs to summary. ``signal`` is read several times, so hand in a stored
     table. ``sets`` (param_id and the columns that ``s`` names) gives stops and
     horizons that differ by parameter set; it must be small."""
-    pairs = signals.find_pairs(signal, keys, x="filtered", chunk_rows=s.chunk_rows)
+    pairs = materialize(signals.find_pairs(signal, keys, x="filtered", chunk_rows=s.chunk_rows), "pairs")
     rows = fits.segment_rows(signal, pairs, keys, chunk_rows=s.chunk_rows)
     # pairs, fits and entries are read again by the exits, trades and curves
     fit = materialize(fits.fit_pairs(rows, s.fit_mode, keys), "fits")
@@ -67,8 +67,11 @@ def trade(signal: DataFrame, s: Settings, keys: Sequence[str] = KEYS, sets: Data
 
 
 def analyse(bars: DataFrame, s: Settings = Settings(), keys: Sequence[str] = KEYS) -> Analysis:
-    signal = materialize(signal_rows(with_index(valid_close(bars), keys), s, keys), "signal")
-    return trade(signal, s, keys)
+    """``bars`` should be a stored table. Whether any series needs more than one
+    chunk is looked up once; if none does, nothing is carried between chunks."""
+    indexed = materialize(with_index(valid_close(bars), keys), "indexed")
+    s = replace(s, chunk_rows=chunk_limit(indexed, s.chunk_rows))
+    return trade(materialize(signal_rows(indexed, s, keys), "signal"), s, keys)
 
 
 def run_all(bars: DataFrame, settings: dict[str, Settings] | None = None,
@@ -118,11 +121,14 @@ def sweep_summary(bars: DataFrame, sets: Sequence[dict], keys: Sequence[str] = K
     indexed = materialize(with_index(valid_close(bars), keys), "indexed")
     wide_keys = [*keys, "param_id"]
     out = []
+    limit = chunk_limit(indexed, base.chunk_rows)
     for s, rows in groups:
+        s = replace(s, chunk_rows=limit)
         smooth = smooth_and_derive(indexed, s.filter_id, s.filter_params, "close", keys, s.edge, s.decimals, s.chunk_rows)
         params = spark.createDataFrame(rows)
         crossed = cross_params(smooth, params.drop("stop_loss_pct"))
-        signal = materialize(signals.schmitt(crossed, s.span, "k_eps", "sigma_min", wide_keys, s.chunk_rows, s.decimals), "sweep")
+        finer = None if s.decimals is None else s.decimals + 3
+        signal = materialize(signals.schmitt(crossed, s.span, "k_eps", "sigma_min", wide_keys, s.chunk_rows, finer), "sweep")
         out.append(trade(signal, replace(s, stop_loss_pct="stop_loss_pct"), wide_keys,
                          params.select("param_id", "stop_loss_pct")).summary)
     return reduce(DataFrame.unionByName, out)
