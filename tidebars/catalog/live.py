@@ -1 +1,126 @@
+"""Registered queries that run a stream over the tables to its end."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidebars.catalog.base import ORDER_TICKS, SERIES, TICKS, S, W, bars_sql, hourly, indexed, order_ticks, register, stored, table, with_
+from tidebars.catalog.storage import BAR_COLS, _bar_cols
+from tidebars.sources.bars import ohlcv, read_partitioned
+from tidebars.sources.storage import scratch_root
+from tidebars.streaming import live as L
+
+K3 = ("ticker", "timeframe")
+
+
+def _folder(spark, name):
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def event_stream(spark, sf):
+    whole = table(spark, sf, "events")
+    read = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return read.select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("ticker"), "ts",
+                       F.col("value").alias("price"), F.col("value").alias("volume"))
+
+
+def stored_stream(spark, df):
+    """A table as a stream of its files."""
+    path = _folder(spark, "source")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run_to_table(spark, stream, mode="append"):
+    """Run a stream over all there is, into files, and read them."""
+    out, check = _folder(spark, "out"), _folder(spark, "check")
+    q = L.start(stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", check))
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_batches(spark, stream, sink, mode="append"):
+    q = L.start(stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", _folder(spark, "check")))
+    q.awaitTermination()
+
+
+@register("stream_bars", with_(TICKS, bars_sql("60m")) + f"""SELECT {BAR_COLS} FROM bars
+WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)""")
+def stream_bars(spark, sf):
+    """Bars whose end the watermark has passed."""
+    return _bar_cols(run_to_table(spark, L.stream_bars(event_stream(spark, sf), "60m", tie="tick_id")))
+
+
+@register("stream_bars_daily_sink", with_(TICKS, bars_sql("1d")) + f"""SELECT {BAR_COLS} FROM bars""")
+def stream_bars_daily_sink(spark, sf):
+    """Every state of the open bars goes to the sink, the last one stays."""
+    path = _folder(spark, "table")
+    run_batches(spark, L.stream_bars(event_stream(spark, sf), "1d", tie="tick_id"), L.bars_sink(path), "update")
+    return _bar_cols(read_partitioned(spark, f"{path}/bars"))
+
+
+@register("bars_sink", with_(ORDER_TICKS, bars_sql("1d")) + """SELECT ticker, timeframe, ts, CASE WHEN ts = max(ts) OVER (PARTITION BY ticker) THEN close + 1 ELSE close END AS close FROM bars""")
+def bars_sink(spark, sf):
+    """The same bars twice, raised by one the second time: only the newest bar
+    of a series takes the new value."""
+    path = _folder(spark, "table")
+    bars = stored(ohlcv(order_ticks(spark, sf), "1d", tie="tick_id"))
+    L.upsert_partitions(bars, path)
+    L.upsert_partitions(bars.withColumn("close", F.col("close") + 1), path)
+    return read_partitioned(spark, f"{path}/bars").select("ticker", "timeframe", "ts", "close")
+
+
+@register("rollup_sink", with_(ORDER_TICKS, bars_sql("1d", "1wk", "1mo", "3mo")) + """SELECT ticker, timeframe, ts, open, high, low, close, round(volume, 4) AS volume FROM bars""")
+def rollup_sink(spark, sf):
+    path = _folder(spark, "table")
+    daily = ohlcv(order_ticks(spark, sf), "1d", tie="tick_id")
+    run_batches(spark, stored_stream(spark, daily.coalesce(1)), L.rollup_sink(path))
+    return _bar_cols(read_partitioned(spark, f"{path}/bars"))
+
+
+@register("stream_gradient", with_(*SERIES) + """SELECT ticker, timeframe, ts, round(c1 - c2, 6) AS v,
+round(CASE WHEN c3 IS NULL THEN 0 ELSE (c1 - c2) - (c1 - c3) / 2 END, 6) AS a FROM (SELECT *, lag(close, 1) OVER w AS c1, lag(close, 2) OVER w AS c2, lag(close, 3) OVER w AS c3 FROM s
+WINDOW w AS (PARTITION BY ticker, timeframe ORDER BY ts)) WHERE idx >= 2""")
+def stream_gradient(spark, sf):
+    g = run_to_table(spark, L.stream_gradient(stored_stream(spark, hourly(spark, sf).coalesce(1))))
+    return g.withColumns({c: F.round(c, 6) for c in ("v", "a")})
+
+
+LIVE_STATE = """y AS (SELECT ticker, timeframe, idx, ts, close AS ema, 0.0::DOUBLE AS v, 0.0::DOUBLE AS a, 0.0::DOUBLE AS mu, 0.0::DOUBLE AS var, 0 AS sig FROM s WHERE idx = 0 UNION ALL
+ SELECT ticker, timeframe, idx, ts, ema, v, a, mu, var, CASE WHEN sig = 0 AND a > eps AND v > 0 THEN 1 WHEN sig = 0 AND a < -eps AND v < 0 THEN -1
+   WHEN sig = 1 AND a < -eps THEN 0 WHEN sig = -1 AND a > eps THEN 0 ELSE sig END FROM (
+  SELECT *, 0.15 * greatest(sqrt(var), 0.05) AS eps FROM (
+   SELECT *, (1 - 2.0::DOUBLE/61) * pvar + (2.0::DOUBLE/61) * pow(v - mu, 2) AS var FROM (
+    SELECT *, v - pv AS a, (1 - 2.0::DOUBLE/61) * pmu + (2.0::DOUBLE/61) * v AS mu FROM (
+     SELECT *, ema - pema AS v FROM (
+      SELECT s.ticker, s.timeframe, s.idx, s.ts, y.ema AS pema, y.v AS pv, y.mu AS pmu, y.var AS pvar, y.sig,
+       (1 - 2.0::DOUBLE/11) * y.ema + (1 - (1 - 2.0::DOUBLE/11)) * s.close AS ema
+      FROM y JOIN s ON s.ticker = y.ticker AND s.timeframe = y.timeframe AND s.idx = y.idx + 1))))))"""
+
+
+@register("stream_signal", with_(*SERIES, LIVE_STATE) + """SELECT ticker, timeframe, ts, round(ema, 6) AS filtered, round(v, 6) AS v, round(a, 6) AS a,
+round(mu, 6) AS mu, round(sqrt(var), 6) AS sigma, sig FROM y""")
+def stream_signal(spark, sf):
+    g = run_to_table(spark, L.stream_signal(stored_stream(spark, hourly(spark, sf).coalesce(1))))
+    return g.select(*K3, "ts", *[F.round(c, 6).alias(c) for c in ("filtered", "v", "a", "mu", "sigma")], "sig")
+
+
+@register("freeze_sink", with_(*SERIES) + "SELECT ticker, timeframe, idx, close AS prediction FROM s")
+def freeze_sink(spark, sf):
+    """Predictions offered twice; the first one stays."""
+    path = _folder(spark, "frozen")
+    p = stored(indexed(spark, sf).select(*K3, "idx", F.col("close").alias("prediction"), F.lit(0).alias("arrival")))
+    L.freeze_partitions(p, path)
+    L.freeze_partitions(p.withColumn("prediction", F.col("prediction") + 1), path)
+    return spark.read.parquet(path).select(*K3, "idx", "prediction")
+
+
+@register("stream_staleness", with_(TICKS, bars_sql("60m")) + """SELECT ticker, timeframe, max(ts) AS last_ts, epoch(TIMESTAMP '2024-02-01' - max(ts))::BIGINT AS age_seconds FROM bars
+GROUP BY ALL HAVING epoch(TIMESTAMP '2024-02-01' - max(ts)) > 3600""")
+def stream_staleness(spark, sf):
+    path = _folder(spark, "newest")
+    newest = L.stream_staleness(stored_stream(spark, hourly(spark, sf).coalesce(1)))
+    run_batches(spark, newest, lambda batch, i: batch.write.mode("append").parquet(path), "update")
+    return L.stale_series(spark.read.parquet(path), "2024-02-01 00:00:00", 3600)

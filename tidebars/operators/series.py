@@ -152,23 +152,23 @@ def scan(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Seque
             name: _JOINED[kind](F.lit(None), _over(kind, value, whole.rowsBetween(
                 Window.unboundedPreceding, -1 if exclusive else Window.currentRow)))
             for name, (kind, value, exclusive) in outs.items()})
-    df = df.withColumn("_b", bucket)
-    local = Window.partitionBy(*keys, "_b").orderBy(*[turn(c) for c in order])
-    across = Window.partitionBy(*keys).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__bucket", bucket)
+    local = Window.partitionBy(*keys, "__bucket").orderBy(*[turn(c) for c in order])
+    across = Window.partitionBy(*keys).orderBy(turn("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.struct(*[F.col(c) for c in order])
-    totals = df.groupBy(*keys, "_b").agg(
+    totals = df.groupBy(*keys, "__bucket").agg(
         *[_total(kind, value, rank, reverse).alias(f"_t_{name}") for name, (kind, value, _) in outs.items()]
     )
     carried = totals.select(
-        *keys, "_b",
+        *keys, "__bucket",
         *[_over(kind, F.col(f"_t_{name}"), across).alias(f"_c_{name}") for name, (kind, _, _) in outs.items()],
     )
     df = df.withColumns({
         f"_l_{name}": _over(kind, value, local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
         for name, (kind, value, exclusive) in outs.items()})
-    joined = df.join(carried, [*keys, "_b"]).withColumns({
+    joined = df.join(carried, [*keys, "__bucket"]).withColumns({
         name: _JOINED[kind](F.col(f"_c_{name}"), F.col(f"_l_{name}")) for name, (kind, _, _) in outs.items()})
-    return joined.drop("_b", *[f"_{p}_{name}" for name in outs for p in "lc"])
+    return joined.drop("__bucket", *[f"_{p}_{name}" for name in outs for p in "lc"])
 
 
 def chunk_of(idx: str = "idx", chunk_rows: int | None = CHUNK_ROWS) -> Column | None:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebars.operators.series import index_bounded
 from tidebars.schema import BARS, KEYS, tf_dim, validate_schema
@@ -75,7 +76,7 @@ def coarser(fine: DataFrame, timeframes: Sequence[str]) -> DataFrame:
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """All stored bars; filters on ticker, timeframe and ts reach the scan."""
-    return validate_schema(spark.read.parquet(path), BARS)
+    return validate_schema(read_partitioned(spark, path), BARS)
 
 
 def valid_close(df: DataFrame) -> DataFrame:
@@ -121,10 +122,18 @@ def within_lookback(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts") -
     )
 
 
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table partitioned by timeframe. Folder names are text: left to
+    type inference a timeframe like 1d would become a number."""
+    found = spark.read.parquet(path).schema
+    text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("timeframe", "month") else f for f in found.fields])
+    return spark.read.schema(text).parquet(path)
+
+
 def read_window(spark: SparkSession, path: str, min_rows: int = 5) -> DataFrame:
     """A prepared window with ``idx``; missing open, high and low come from the
     close and series of fewer than ``min_rows`` rows are left out."""
-    df = spark.read.parquet(path)
+    df = read_partitioned(spark, path)
     for c in ("open", "high", "low"):
         df = df.withColumn(c, F.coalesce(F.col(c), F.col("close")) if c in df.columns else F.col("close"))
     return index_bounded(df).where(F.col("n") >= min_rows)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebars.operators.quality import merge_bars
 from tidebars.schema import KEYS
-from tidebars.sources.bars import coarser
+from tidebars.sources.bars import coarser, read_partitioned
 
 # Fixed values: (length, offset from the epoch) of the bar windows. The epoch
 # is a Thursday, so Monday weeks are shifted by four days.
@@ -75,7 +75,7 @@ def upsert_partitions(batch: DataFrame, path: str, arrival: str | None = None) -
         hit = F.lit(False)
         for tf, month in touched:
             hit = hit | ((F.col("timeframe") == tf) & (F.col("month") == month))
-        base = spark.read.parquet(bars).where(hit).select(*cols)
+        base = read_partitioned(spark, bars).where(hit).select(*cols)
         newest = _heads(spark, heads)
     else:
         base, newest = batch.where("false").select(*cols), None
@@ -119,7 +119,7 @@ def rollup_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         upsert_partitions(batch, path)
         spark = batch.sparkSession
-        daily = spark.read.parquet(f"{path}/bars").where("timeframe = '1d'")
+        daily = read_partitioned(spark, f"{path}/bars").where("timeframe = '1d'")
         quarter = lambda c: F.date_trunc("quarter", c).cast("timestamp_ntz")
         spans = batch.select("ticker", quarter(F.col("ts")).alias("_q")).distinct()
         # weeks cross quarter ends, so the quarters around are read as well
