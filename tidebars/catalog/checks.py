@@ -154,7 +154,7 @@ def fingerprint(spark, sf):
 @register("fingerprint_by_year", CAL + f"""SELECT ticker, timeframe, md5(string_agg(d, '' ORDER BY part)) AS fingerprint FROM (
 SELECT ticker, timeframe, date_trunc('year', ts) AS part, md5(string_agg({LINE}, '' ORDER BY ts)) AS d FROM bars GROUP BY ALL) GROUP BY ALL""")
 def fingerprint_by_year(spark, sf):
-    return Q.fingerprint(calendar_bars(spark, sf), bucket="year")
+    return Q.fingerprint_by(calendar_bars(spark, sf), "year")
 
 
 MERGED = """, newest AS (SELECT ticker, timeframe, max(ts) AS m FROM base GROUP BY ALL),

@@ -56,7 +56,7 @@ def signal_runs(spark, sf):
 @register("signal_pairs", with_(*SIGNAL, PAIRS) + """SELECT ticker, timeframe, pair_id::INTEGER AS pair_id, start_idx, end_idx, v1, v2 FROM pairs""")
 def signal_pairs(spark, sf):
     s, limit = signal_and_limit(spark, sf)
-    return G.find_pairs(s, chunk_rows=limit)
+    return G.find_pairs(s, chunk_rows=limit).drop("n")
 
 
 def pairs_and_rows(spark, sf):
@@ -131,7 +131,7 @@ def attach_fit(spark, sf):
 
 def entered(spark, sf):
     s, p, rows = pairs_and_rows(spark, sf)
-    return s, T.entries(p, P.fit_pairs(rows), s, 8)
+    return s, T.entries(p, P.fit_pairs(rows), 8)
 
 
 @register("entries", with_(*TRADED) + "SELECT ticker, timeframe, entry_idx, type, entry_price FROM entries")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, scan
@@ -111,15 +111,17 @@ def events_to_bars(trades: DataFrame, higher: DataFrame, aligned: DataFrame,
         "return_pct", "exit_reason")
 
 
-def next_exit(markers: DataFrame, bar_counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def next_exit(markers: DataFrame, bar_counts: DataFrame, keys: Sequence[str] = KEYS,
+              chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """For every entry marker the first exit of the same side strictly after
     it, else the last bar. ``bar_counts`` has one ``n`` per series."""
-    # read from the end, so the frame only grows: strictly later bars
-    w = Window.partitionBy(*keys, "side").orderBy(F.col("bar_idx").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    later = F.min(F.when(F.col("kind") == "exit", F.col("bar_idx"))).over(w)
+    keys = list(keys)
+    # read from the end; on one bar the entry comes before the exit is seen
+    rows = markers.select(*keys, "side", "kind", "bar_idx", (F.col("kind") == "entry").cast("int").alias("_is"))
+    found = scan(rows, [*keys, "side"], chunk_of("bar_idx", chunk_rows), ["bar_idx", "_is"], {
+        "_later": ("last", F.when(F.col("kind") == "exit", F.col("bar_idx")), False)}, reverse=True)
     return (
-        markers.withColumn("_later", later).where("kind = 'entry'")
-        .join(bar_counts.select(*keys, "n"), list(keys))
+        found.where("kind = 'entry'").join(bar_counts.select(*keys, "n"), keys)
         .select(*keys, "side", F.col("bar_idx").alias("entry_bar"),
                 F.coalesce("_later", F.col("n") - 1).alias("exit_bar"))
     )

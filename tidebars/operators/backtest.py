@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.operators.fits import at, attach_fit, direction
@@ -16,39 +16,39 @@ def _good(p: Column) -> Column:
     return p.isNotNull() & ~F.isnan(p) & (p > 0)
 
 
-def entries(pairs: DataFrame, fits: DataFrame, bars: DataFrame, n_ext: int | str = 10,
-            keys: Sequence[str] = KEYS, price: str = "filtered") -> DataFrame:
+def entries(pairs: DataFrame, fits: DataFrame, n_ext: int | str = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """Pairs whose predicted direction agrees with the signal that ends them,
-    entered on their last row when its price is valid."""
-    keys = list(keys)
+    entered on their last row when its price is valid. ``pairs`` carry that
+    price (``find_pairs`` with ``x``), so the bars are not needed."""
     aimed = direction(attach_fit(pairs, fits, keys), n_ext)
     side = F.when((F.col("v2") == 1) & F.col("up"), "long").when((F.col("v2") == -1) & ~F.col("up"), "short")
-    at_end = bars.select(*keys, F.col("idx").alias("end_idx"), "n", F.col(price).alias("entry_price"))
     return (
-        aimed.withColumn("type", side).where("type is not null")
-        .join(at_end, [*keys, "end_idx"]).where(_good(F.col("entry_price")))
-        .withColumnRenamed("end_idx", "entry_idx")
+        aimed.withColumn("type", side).where(F.col("type").isNotNull() & _good(F.col("y_end")))
+        .withColumnsRenamed({"end_idx": "entry_idx", "y_end": "entry_price"})
     )
 
 
 def reverse_signals(bars: DataFrame, entered: DataFrame, keys: Sequence[str] = KEYS, price: str = "filtered",
                     chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """Per entry the first later row with a valid price and the opposite
-    signal, read backwards over the rows that carry a signal."""
+    """Per entry the first later row (``idx``, ``p``) with a valid price and the
+    opposite signal, read backwards over the rows that carry a signal."""
     keys = list(keys)
-    live = bars.where((F.col("sig") != 0) & _good(F.col(price))).select(*keys, "idx", "sig", F.lit(0).alias("_is"))
-    asked = entered.select(*keys, F.col("entry_idx").alias("idx"), F.lit(None).cast("int").alias("sig"), F.lit(1).alias("_is"))
+    live = bars.where((F.col("sig") != 0) & _good(F.col(price))).select(
+        *keys, "idx", "sig", F.col(price).alias("p"), F.lit(0).alias("_is"))
+    asked = entered.select(*keys, F.col("entry_idx").alias("idx"), F.lit(None).cast("int").alias("sig"),
+                           F.lit(None).cast("double").alias("p"), F.lit(1).alias("_is"))
     found = scan(live.unionByName(asked), keys, chunk_of(chunk_rows=chunk_rows), ["idx", "_is"], {
-        "_next_up": ("last", F.when(F.col("sig") == 1, F.col("idx")), False),
-        "_next_down": ("last", F.when(F.col("sig") == -1, F.col("idx")), False)}, reverse=True)
+        "_next_up": ("last", F.when(F.col("sig") == 1, F.struct("idx", "p")), False),
+        "_next_down": ("last", F.when(F.col("sig") == -1, F.struct("idx", "p")), False)}, reverse=True)
     return found.where("_is = 1").select(*keys, F.col("idx").alias("entry_idx"), "_next_up", "_next_down")
 
 
 def first_exit(entered: DataFrame, bars: DataFrame, stop_loss_pct: float | str = 2.0, n_ext: int | str = 10,
                keys: Sequence[str] = KEYS, price: str = "filtered", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """Exit row and reason. Within ``n_ext`` rows after the entry a price beyond
-    the stop around the prediction ends the trade, at any time the reverse
-    signal does; the stop wins a tie. Otherwise the last row of the series."""
+    """Exit row, price and reason. Within ``n_ext`` rows after the entry a price
+    beyond the stop around the prediction ends the trade, at any time the
+    reverse signal does; the stop wins a tie. Otherwise the last row of the
+    series. Exits without a valid price are dropped."""
     keys = list(keys)
     steps = F.col(n_ext) if isinstance(n_ext, str) else F.lit(n_ext)
     share = (F.col(stop_loss_pct) if isinstance(stop_loss_pct, str) else F.lit(float(stop_loss_pct))) / 100.0
@@ -56,36 +56,36 @@ def first_exit(entered: DataFrame, bars: DataFrame, stop_loss_pct: float | str =
     priced = guarded.join(bars.select(*keys, "idx", F.col(price).alias("_p")), [*keys, "idx"]).where(_good(F.col("_p")))
     pred = at(F.col("idx").cast("double"))
     stop = F.when(F.col("type") == "long", F.col("_p") < pred * (1 - share)).otherwise(F.col("_p") > pred * (1 + share))
-    stops = priced.where(_good(pred) & stop).groupBy(*keys, "entry_idx").agg(F.min("idx").alias("_stop"))
+    stops = priced.where(_good(pred) & stop).groupBy(*keys, "entry_idx").agg(
+        F.min("idx").alias("_stop"), F.min_by("_p", "idx").alias("_stop_price"))
     turns = reverse_signals(bars, entered, keys, price, chunk_rows)
-    out = entered.join(stops, [*keys, "entry_idx"], "left").join(turns, [*keys, "entry_idx"])
+    ends = bars.where(F.col("idx") == F.col("n") - 1).select(*keys, F.col(price).alias("_last_price"))
+    out = entered.join(stops, [*keys, "entry_idx"], "left").join(turns, [*keys, "entry_idx"]).join(ends, keys)
     turn = F.when(F.col("type") == "long", F.col("_next_down")).otherwise(F.col("_next_up"))
     out = out.withColumn("_turn", turn)
-    reason = (
-        F.when(F.col("_stop").isNotNull() & (F.col("_turn").isNull() | (F.col("_stop") <= F.col("_turn"))), "stop_loss")
-        .when(F.col("_turn").isNotNull(), "take_profit").otherwise("eod")
-    )
-    exit_idx = F.coalesce(F.least("_stop", "_turn"), F.col("n") - 1)
+    stopped = F.col("_stop").isNotNull() & (F.col("_turn").isNull() | (F.col("_stop") <= F.col("_turn.idx")))
+    pick = lambda s, t, e: F.when(stopped, s).when(F.col("_turn").isNotNull(), t).otherwise(e)
     return (
-        out.withColumn("exit_reason", reason).withColumn("exit_idx", exit_idx)
-        .where(F.col("exit_idx") > F.col("entry_idx"))
-        .drop("_stop", "_turn", "_next_up", "_next_down")
+        out.withColumns({
+            "exit_reason": pick(F.lit("stop_loss"), F.lit("take_profit"), F.lit("eod")),
+            "exit_idx": pick(F.col("_stop"), F.col("_turn.idx"), F.col("n") - 1),
+            "exit_price": pick(F.col("_stop_price"), F.col("_turn.p"), F.col("_last_price"))})
+        .where((F.col("exit_idx") > F.col("entry_idx")) & _good(F.col("exit_price")))
+        .drop("_stop", "_stop_price", "_turn", "_next_up", "_next_down", "_last_price")
     )
 
 
-def make_trades(exits: DataFrame, bars: DataFrame, keys: Sequence[str] = KEYS, price: str = "filtered",
-                cost_bps: float = 0.0) -> DataFrame:
+def make_trades(exits: DataFrame, keys: Sequence[str] = KEYS, cost_bps: float = 0.0,
+                chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Trades with return and id in entry order; ``cost_bps`` is taken off the
-    return of every trade. Trades per series are few rows."""
+    return of every trade."""
     keys = list(keys)
-    out = exits.join(bars.select(*keys, F.col("idx").alias("exit_idx"), F.col(price).alias("exit_price")),
-                     [*keys, "exit_idx"]).where(_good(F.col("exit_price")))
-    gain = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price")
-    loss = (F.col("entry_price") - F.col("exit_price")) / F.col("entry_price")
-    ret = F.when(F.col("type") == "long", gain).otherwise(loss) - F.lit(cost_bps / 10_000.0)
-    order = Window.partitionBy(*keys).orderBy("entry_idx")
-    return out.withColumn("id", F.row_number().over(order)).select(
-        *keys, "id", "type", "entry_idx", "exit_idx", "entry_price", "exit_price",
+    move = F.when(F.col("type") == "long", F.col("exit_price") - F.col("entry_price")).otherwise(
+        F.col("entry_price") - F.col("exit_price"))
+    ret = move / F.col("entry_price") - F.lit(cost_bps / 10_000.0)
+    numbered = scan(exits, keys, chunk_of("entry_idx", chunk_rows), ["entry_idx"], {"id": ("sum", F.lit(1), False)})
+    return numbered.select(
+        *keys, F.col("id").cast("int").alias("id"), "type", "entry_idx", "exit_idx", "entry_price", "exit_price",
         (ret * 100.0).alias("return_pct"), "exit_reason")
 
 
@@ -93,33 +93,33 @@ def with_costs(trades: DataFrame, bps: float) -> DataFrame:
     return trades.withColumn("return_pct", F.col("return_pct") - F.lit(bps / 100.0))
 
 
-def capital(trades: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def capital(trades: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Capital before and after every trade, compounded from 100 per side."""
-    w = Window.partitionBy(*keys, "type").orderBy("entry_idx")
-    growth = F.product(1.0 + F.col("return_pct") / 100.0)
-    before = growth.over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        trades.withColumn("capital_before", 100.0 * F.coalesce(before, F.lit(1.0)))
-        .withColumn("capital_after", 100.0 * growth.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    )
+    growth = 1.0 + F.col("return_pct") / 100.0
+    grown = scan(trades, [*keys, "type"], chunk_of("entry_idx", chunk_rows), ["entry_idx"], {
+        "capital_before": ("product", growth, True), "capital_after": ("product", growth, False)})
+    return grown.withColumns({c: F.col(c) * 100.0 for c in ("capital_before", "capital_after")})
 
 
 def equity(bars: DataFrame, trades: DataFrame, keys: Sequence[str] = KEYS, price: str = "filtered",
            chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``long_pnl`` and ``short_pnl`` on every bar: 100 before the first trade,
     marked to the price while a trade is open, flat after it. An invalid price
-    inside a trade repeats the last mark."""
+    inside a trade repeats the last mark. Bars and trades go through one scan."""
     keys = list(keys)
-    held = capital(trades, keys).select(
-        *keys, F.col("entry_idx").alias("idx"), "type",
-        F.struct("exit_idx", "entry_price", "capital_before", "capital_after").alias("_t"))
-    per_side = held.groupBy(*keys, "idx").agg(
-        F.max(F.when(F.col("type") == "long", F.col("_t"))).alias("_long"),
-        F.max(F.when(F.col("type") == "short", F.col("_t"))).alias("_short"))
-    rows = bars.join(per_side, [*keys, "idx"], "left")
-    rows = scan(rows, keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {
-        "_lt": ("last", F.col("_long"), False), "_st": ("last", F.col("_short"), False),
-        "_mark": ("last", F.when(_good(F.col(price)), F.col(price)), False)})
+    others = [c for c in bars.columns if c not in keys]
+    t_type = "struct<exit_idx:bigint,entry_price:double,capital_before:double,capital_after:double>"
+    none = F.lit(None)
+    rows = bars.select(*keys, "idx", F.lit(1).alias("_side"), F.struct(*others).alias("_row"),
+                       F.when(_good(F.col(price)), F.col(price)).alias("_p"), none.cast(t_type).alias("_t"), none.cast("string").alias("_type"))
+    opened = capital(trades, keys, chunk_rows).select(
+        *keys, F.col("entry_idx").alias("idx"), F.lit(0).alias("_side"), none.cast(rows.schema["_row"].dataType).alias("_row"),
+        none.cast("double").alias("_p"), F.struct("exit_idx", "entry_price", "capital_before", "capital_after").alias("_t"),
+        F.col("type").alias("_type"))
+    found = scan(rows.unionByName(opened), keys, chunk_of(chunk_rows=chunk_rows), ["idx", "_side"], {
+        "_long": ("last", F.when(F.col("_type") == "long", F.col("_t")), False),
+        "_short": ("last", F.when(F.col("_type") == "short", F.col("_t")), False),
+        "_mark": ("last", F.col("_p"), False)})
 
     def curve(t: str, sign: int) -> Column:
         entry = F.col(f"{t}.entry_price")
@@ -130,8 +130,8 @@ def equity(bars: DataFrame, trades: DataFrame, keys: Sequence[str] = KEYS, price
             .otherwise(F.col(f"{t}.capital_after"))
         )
 
-    return rows.withColumn("long_pnl", curve("_lt", 1)).withColumn("short_pnl", curve("_st", -1)).drop(
-        "_long", "_short", "_lt", "_st", "_mark")
+    return found.where(F.col("_row").isNotNull()).select(
+        *keys, "_row.*", curve("_long", 1).alias("long_pnl"), curve("_short", -1).alias("short_pnl"))
 
 
 def summary(trades: DataFrame, curves: DataFrame, keys: Sequence[str] = KEYS,
@@ -198,13 +198,14 @@ def gate(entered: DataFrame, bars: DataFrame, fast: str | None = None, slow: str
     return out.drop(*[f"_g_{c}" for c in names])
 
 
-def rolling_perf(trades: DataFrame, n: int = 30, keys: Sequence[str] = KEYS) -> DataFrame:
+def rolling_perf(trades: DataFrame, n: int = 30, keys: Sequence[str] = KEYS,
+                 chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Sharpe ratio and win rate over the last ``n`` trades."""
-    frame = Window.partitionBy(*keys).orderBy("id").rowsBetween(-(n - 1), 0)
+    rows = trades.withColumns({"idx": F.col("id").cast("long"), "n": F.lit(2**60)})
+    cut = chunked(rows, n, 0, chunk_rows)
+    frame = in_chunk(keys).rowsBetween(-(n - 1), 0)
     ret = F.col("return_pct")
-    sharpe = F.try_divide(F.avg(ret).over(frame), F.stddev_samp(ret).over(frame))
-    return (
-        trades.withColumn("sharpe", sharpe)
-        .withColumn("win_rate", F.avg((ret > 0).cast("double")).over(frame))
-        .withColumn("window_trades", F.count(F.lit(1)).over(frame))
-    )
+    return core_rows(cut.withColumns({
+        "sharpe": F.try_divide(F.avg(ret).over(frame), F.stddev_samp(ret).over(frame)),
+        "win_rate": F.avg((ret > 0).cast("double")).over(frame),
+        "window_trades": F.count(F.lit(1)).over(frame)})).drop("idx", "n")

@@ -25,9 +25,11 @@ def segment_rows(bars: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS,
     left = bars.select(*keys, "idx", x)
     found = asof_backward(left, right, keys, "idx", cols, chunk_of(chunk_rows=chunk_rows))
     inner = found.where(F.col("idx") < F.col("end_idx"))
-    ends = pairs.select(*keys, F.col("end_idx").alias("idx"), "pair_id", "start_idx",
-                        "end_idx").join(left, [*keys, "idx"])
-    ends = ends.withColumn("y_end", F.col(x))
+    at_end = F.col("end_idx").alias("idx")
+    if "y_end" in pairs.columns:
+        ends = pairs.select(*keys, at_end, F.col("y_end").alias(x), "pair_id", "start_idx", "end_idx", "y_end")
+    else:
+        ends = pairs.select(*keys, at_end, "pair_id", "start_idx", "end_idx").join(left, [*keys, "idx"]).withColumn("y_end", F.col(x))
     return inner.unionByName(ends.select(*inner.columns))
 
 

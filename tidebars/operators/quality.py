@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebars.functions.scalars import fixed4, known
 from tidebars.schema import KEYS, tf_dim
@@ -45,26 +48,30 @@ def _days_between(a: Column, b: Column) -> Column:
     return micros / F.lit(86_400_000_000.0)
 
 
-def gap_count(df: DataFrame, factor: float = 3.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Gaps wider than ``factor`` expected steps. Stamps are compared inside
-    months; the step across a month end joins two aggregate rows, so a long
-    series is never sorted in one task."""
-    keys = list(keys)
-    dim = F.broadcast(tf_dim(df.sparkSession).where("expected_days is not null").select("timeframe", "expected_days"))
-    rows = df.select(*keys, "ts").withColumn("_month", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+def _by_month(df: DataFrame, factor: float, keys: list[str]) -> DataFrame:
+    """Counts, ends and gaps per series and month from one pass. Stamps are
+    compared inside months; the step over a month end joins two summary rows,
+    so a long series is never sorted in one task."""
+    dim = F.broadcast(tf_dim(df.sparkSession).select("timeframe", "expected_days"))
     inside = Window.partitionBy(*keys, "_month").orderBy("ts")
     across = Window.partitionBy(*keys).orderBy("_month")
     limit = F.col("expected_days") * factor
-    wide = lambda a, b: F.count_if(_days_between(a, b) > limit)
-    per_month = (
-        rows.join(dim, "timeframe")
-        .withColumn("_prev", F.lag("ts").over(inside))
-        .groupBy(*keys, "_month", "expected_days")
-        .agg(wide(F.col("ts"), F.col("_prev")).alias("_in"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
-        .withColumn("_before", F.lag("_last").over(across))
+    wide = lambda a, b: F.coalesce(_days_between(a, b) > limit, F.lit(False)).cast("long")
+    rows = (
+        df.select(*keys, "ts", "close").join(dim, "timeframe", "left")
+        .withColumn("_month", F.date_trunc("month", "ts").cast("timestamp_ntz"))
     )
-    return per_month.groupBy(*keys).agg(
-        (F.sum("_in") + wide(F.col("_first"), F.col("_before"))).alias("gaps"))
+    per_month = rows.withColumn("_prev", F.lag("ts").over(inside)).groupBy(*keys, "_month", "expected_days").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(known("close").isNull()).alias("null_close"),
+        F.sum(wide(F.col("ts"), F.col("_prev"))).alias("_in"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    return per_month.withColumn("gaps", F.col("_in") + wide(F.col("_first"), F.lag("_last").over(across)))
+
+
+def gap_count(df: DataFrame, factor: float = 3.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Gaps wider than ``factor`` expected steps; timeframes without an
+    expected step (weeks and longer) are left out."""
+    months = _by_month(df, factor, list(keys)).where("expected_days is not null")
+    return months.groupBy(*keys).agg(F.sum("gaps").alias("gaps"))
 
 
 def staleness(df: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -75,9 +82,11 @@ def staleness(df: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 
 def data_health(df: DataFrame, as_of: str, stale_days: int = 7, factor: float = 3.0) -> DataFrame:
-    """One row per series with counts and status. A stale daily series is
+    """One row per series with counts and status, from one pass. A stale daily series is
     reported as stale whatever else was found and counts one more warning."""
-    base = completeness(df).join(gap_count(df, factor), KEYS, "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
+    base = _by_month(df, factor, KEYS).groupBy(*KEYS).agg(
+        F.sum("rows").alias("rows"), F.to_date(F.min("_first")).alias("first_day"), F.to_date(F.max("_last")).alias("last_day"),
+        F.sum("null_close").alias("null_close"), F.sum("gaps").alias("gaps"))
     age = F.datediff(F.lit(as_of).cast("date"), "last_day")
     stale = (F.col("timeframe") == "1d") & (age > stale_days)
     found = F.when(F.col("null_close") > 0, "null_values").when(F.col("gaps") > 0, "gaps").otherwise("ok")
@@ -124,20 +133,43 @@ def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     return one_sided(a, b, "only_a").join(one_sided(b, a, "only_b"), KEYS, "full_outer").na.fill(0, ["only_a", "only_b"])
 
 
-def fingerprint(df: DataFrame, value: str = "close", keys: Sequence[str] = KEYS, out: str = "fingerprint",
-                bucket: str | None = None) -> DataFrame:
-    """MD5 over ``stamp:value`` in time order. With ``bucket`` (a calendar unit)
-    every bucket is digested on its own and the digests are digested again: a
-    different value, but no task holds a whole series."""
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(":"), fixed4(F.col(value)))
+def _line(value: str) -> Column:
+    return F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(":"), fixed4(F.col(value)))
+
+
+def fingerprint(df: DataFrame, value: str = "close", keys: Sequence[str] = KEYS, out: str = "fingerprint") -> DataFrame:
+    """MD5 over all ``stamp:value`` of a series in time order. The digest needs
+    the order of the whole series, so a series streams through one task, but
+    only one batch of it is in memory at a time. ``fingerprint_by`` spreads it."""
+    keys = list(keys)
+    lines = df.select(*keys, "ts", _line(value).alias("_line")).repartition(*keys).sortWithinPartitions(*keys, "ts")
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(out, T.StringType())])
+
+    def digest(batches):
+        held, md5 = None, None
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                if key != held:
+                    if md5 is not None:
+                        yield pd.DataFrame([(*held, md5.hexdigest())], columns=[*keys, out])
+                    held, md5 = key, hashlib.md5()
+                md5.update("".join(part["_line"]).encode())
+        if md5 is not None:
+            yield pd.DataFrame([(*held, md5.hexdigest())], columns=[*keys, out])
+
+    return lines.drop("ts").mapInPandas(digest, schema)
+
+
+def fingerprint_by(df: DataFrame, bucket: str = "month", value: str = "close", keys: Sequence[str] = KEYS,
+                   out: str = "fingerprint") -> DataFrame:
+    """MD5 of the MD5s of calendar buckets: another value than ``fingerprint``,
+    equal under the same conditions, and no task holds a whole series."""
 
     def digest(parts: Column) -> Column:
         return F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda s: s["s"]), ""))
 
-    if bucket is None:
-        return df.groupBy(*keys).agg(digest(F.struct("ts", line.alias("s"))).alias(out))
-    part = F.date_trunc(bucket, "ts").alias("_part")
-    per = df.groupBy(*keys, part).agg(digest(F.struct("ts", line.alias("s"))).alias("_d"))
+    per = df.groupBy(*keys, F.date_trunc(bucket, "ts").alias("_part")).agg(
+        digest(F.struct("ts", _line(value).alias("s"))).alias("_d"))
     return per.groupBy(*keys).agg(digest(F.struct("_part", F.col("_d").alias("s"))).alias(out))
 
 

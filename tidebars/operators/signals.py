@@ -205,13 +205,17 @@ def pair_starts(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig",
 def find_pairs(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", x: str | None = None,
                chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """(start, end) of every stretch up to the entry of the opposite one. With
-    ``x`` the value at the end is kept as ``y_end``. The window runs over the
-    stretch starts only."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    starts = pair_starts(df, keys, sig, chunk_rows)
-    value = [F.lead(x).over(w).alias("y_end")] if x else []
-    return starts.where("n >= 3").select(
-        *keys, (F.row_number().over(w) - 1).cast("int").alias("pair_id"),
-        F.col("idx").alias("start_idx"), F.lead("idx").over(w).alias("end_idx"),
-        F.col(sig).alias("v1"), F.lead(sig).over(w).alias("v2"), *value,
-    ).where("end_idx is not null")
+    ``x`` the value at the end is kept as ``y_end``."""
+    from tidebars.sources.storage import materialize
+
+    keys, value = list(keys), [x] if x else []
+    starts = pair_starts(df, keys, sig, chunk_rows).where("n >= 3").select(*keys, "idx", "n", sig, *value)
+    if chunk_rows is not None:
+        starts = materialize(starts, "starts")
+    part = chunk_of(chunk_rows=chunk_rows)
+    here = F.struct(F.col("idx").alias("end_idx"), F.col(sig).alias("v2"), *[F.col(x).alias("y_end") for x in value])
+    numbered = scan(starts, keys, part, ["idx"], {"pair_id": ("sum", F.lit(1), True)})
+    closed = scan(numbered, keys, part, ["idx"], {"_next": ("last", here, True)}, reverse=True)
+    return closed.where("_next is not null").select(
+        *keys, F.col("pair_id").cast("int").alias("pair_id"), F.col("idx").alias("start_idx"), "_next.end_idx",
+        F.col(sig).alias("v1"), "_next.v2", *["_next.y_end" for _ in value], "n")

@@ -59,9 +59,10 @@ def trade(signal: DataFrame, s: Settings, keys: Sequence[str] = KEYS, sets: Data
     # pairs, fits and entries are read again by the exits, trades and curves
     fit = materialize(fits.fit_pairs(rows, s.fit_mode, keys), "fits")
     aimed = pairs if sets is None else pairs.join(F.broadcast(sets), "param_id")
-    entered = materialize(backtest.entries(aimed, fit, signal, s.n_ext, keys), "entries")
+    entered = materialize(backtest.entries(aimed, fit, s.n_ext, keys), "entries")
     exits = backtest.first_exit(entered, signal, s.stop_loss_pct, s.n_ext, keys, chunk_rows=s.chunk_rows)
-    trades = materialize(backtest.make_trades(exits, signal, keys), "trades")
+    exits = materialize(exits, "exits") if s.chunk_rows is not None else exits
+    trades = materialize(backtest.make_trades(exits, keys, chunk_rows=s.chunk_rows), "trades")
     curves = backtest.equity(signal, trades, keys, chunk_rows=s.chunk_rows)
     return Analysis(signal, pairs, fit, trades, curves, backtest.summary(trades, curves, keys, s.chunk_rows))
 

@@ -27,12 +27,24 @@ def bar_start(ts: Column, timeframe: str) -> Column:
     raise ValueError(f"unknown timeframe {timeframe!r}")
 
 
+def _tick_order(ticks: DataFrame, ts: str, tie: str | None) -> Column:
+    """Order of ticks as one number. Number-typed keys keep open and close in a
+    hash aggregate; a struct would force a sort of all ticks."""
+    if tie is None:
+        return F.col(ts)
+    if dict(ticks.dtypes)[tie] not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(ts, tie)
+    number = lambda c: c.cast("decimal(20,0)")
+    micros = number(F.unix_micros(F.col(ts).cast("timestamp"))) * F.lit(10**17).cast("decimal(18,0)") * F.lit(1000).cast("decimal(4,0)")
+    return (micros.cast("decimal(38,0)") + number(F.col(tie).cast("bigint")) + number(F.lit(2**63 - 1))).cast("decimal(38,0)")
+
+
 def ohlcv(ticks: DataFrame, timeframe: str, ticker: str = "ticker", ts: str = "ts",
           price: str = "price", volume: str = "volume", tie: str | None = None) -> DataFrame:
-    """Bars of one timeframe. A single aggregate with map-side partial sums, so
-    a ticker that holds a third of all ticks does not load one task.
-    ``tie`` orders ticks of equal time."""
-    when = F.struct(ts, tie) if tie else F.col(ts)
+    """Bars of one timeframe. A single hash aggregate with map-side partial
+    results, so a ticker that holds a third of all ticks does not load one
+    task. ``tie`` orders ticks of equal time."""
+    when = _tick_order(ticks, ts, tie)
     return (
         ticks.groupBy(F.col(ticker).cast("string").alias("ticker"), bar_start(F.col(ts), timeframe).alias("_start"))
         .agg(

@@ -89,8 +89,10 @@ def upsert_partitions(batch: DataFrame, path: str, arrival: str | None = None) -
     new_heads = batch.groupBy(*KEYS).agg(F.max("ts").alias("_newest"))
     if newest is not None:
         new_heads = newest.unionByName(new_heads).groupBy(*KEYS).agg(F.max("_newest").alias("_newest"))
-    version = len(_head_versions(spark, heads))
+    done = _head_versions(spark, heads)
+    version = int(done[-1][2:]) + 1 if done else 0
     new_heads.write.mode("overwrite").parquet(f"{heads}/v={version:012d}")
+    _drop_old_heads(spark, heads)
 
 
 def _head_versions(spark: SparkSession, heads: str) -> list[str]:
@@ -102,6 +104,12 @@ def _head_versions(spark: SparkSession, heads: str) -> list[str]:
     return sorted(p.getName() for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def _drop_old_heads(spark: SparkSession, heads: str, keep: int = 3) -> None:
+    for name in _head_versions(spark, heads)[:-keep]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{heads}/{name}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def _heads(spark: SparkSession, heads: str) -> DataFrame | None:
     found = _head_versions(spark, heads)
     return spark.read.parquet(f"{heads}/{found[-1]}") if found else None
