@@ -129,7 +129,34 @@ def filter_kalman(spark, sf):
     return _out(apply_filter(indexed(spark, sf), "kalman", {"Q": 0.01, "R": 1.0}))
 
 
-@register("filter_butterworth")
+def _lowpass_sql(cutoff: float) -> str:
+    """Fourth order, forward and backward over the extended series, sample by
+    sample. Two second-order sections from the textbook formula with quality
+    factors 0.5412 and 1.3066."""
+    w0 = math.tan(math.pi * cutoff)
+    secs = []
+    for q in (1 / (2 * math.cos(math.pi / 8)), 1 / (2 * math.cos(3 * math.pi / 8))):
+        d = 1 + w0 / q + w0 * w0
+        secs.append((w0 * w0 / d, 2 * w0 * w0 / d, w0 * w0 / d, 2 * (w0 * w0 - 1) / d, (1 - w0 / q + w0 * w0) / d))
+    (b0, b1, b2, a1, a2), (c0, c1, c2, e1, e2) = [[f"({v!r}::DOUBLE)" for v in sec] for sec in secs]
+
+    def run(name: str, src: str, x: str) -> str:
+        u, y = f"({b0} * i.{x} + p.z1)", f"({c0} * ({b0} * i.{x} + p.z1) + p.z3)"
+        return f"""{name} AS (SELECT ticker, timeframe, j, {x} AS y, {b1} * {x} - {a1} * {x} + ({b2} - {a2}) * {x} AS z1, {b2} * {x} - {a2} * {x} AS z2,
+    {c1} * {x} - {e1} * {x} + ({c2} - {e2}) * {x} AS z3, {c2} * {x} - {e2} * {x} AS z4 FROM {src} WHERE j = 0 UNION ALL
+  SELECT i.ticker, i.timeframe, i.j, {y}, {b1} * i.{x} - {a1} * {u} + p.z2, {b2} * i.{x} - {a2} * {u}, {c1} * {u} - {e1} * {y} + p.z4, {c2} * {u} - {e2} * {y}
+  FROM {name} p JOIN {src} i ON i.ticker = p.ticker AND i.timeframe = p.timeframe AND i.j = p.j + 1)"""
+
+    return with_(*SERIES, """pad AS (SELECT s.ticker, s.timeframe, s.idx + 15 AS j, s.close AS x, s.n FROM s UNION ALL
+  SELECT s.ticker, s.timeframe, 15 - s.idx, 2 * f.close - s.close, s.n FROM s JOIN s f ON f.ticker = s.ticker AND f.timeframe = s.timeframe AND f.idx = 0 WHERE s.idx BETWEEN 1 AND 15 UNION ALL
+  SELECT s.ticker, s.timeframe, 15 + 2 * (s.n - 1) - s.idx, 2 * l.close - s.close, s.n FROM s JOIN s l ON l.ticker = s.ticker AND l.timeframe = s.timeframe AND l.idx = s.n - 1
+   WHERE s.idx BETWEEN s.n - 16 AND s.n - 2)""", run("fw", "pad", "x"),
+                 "rev AS (SELECT f.ticker, f.timeframe, p.n + 29 - f.j AS j, f.y AS x FROM fw f JOIN pad p USING (ticker, timeframe, j))", run("bw", "rev", "x")) + """
+SELECT b.ticker, b.timeframe, p.n + 14 - b.j AS idx, round(b.y, 6) AS filtered FROM bw b JOIN (SELECT DISTINCT ticker, timeframe, n FROM s) p USING (ticker, timeframe)
+WHERE p.n + 14 - b.j BETWEEN 0 AND p.n - 1"""
+
+
+@register("filter_butterworth", _lowpass_sql(0.15))
 def filter_butterworth(spark, sf):
     return _out(apply_filter(indexed(spark, sf), "butterworth", {"order": 4, "cutoff": 0.15}))
 
@@ -163,7 +190,26 @@ def filter_lowess_plain(spark, sf):
     return _out(apply_filter(indexed(spark, sf), "lowess", {"frac": 0.1, "passes": 0, "rule": "round"}))
 
 
-@register("filter_lowess_robust")
+def _robust_sql() -> str:
+    """The plain regression four times, re-weighted by the residuals in between."""
+    ctes = [*SERIES, "p AS (SELECT *, greatest(1, floor(n * 0.1 + 1e-10))::BIGINT AS k FROM s)",
+            "q AS (SELECT *, greatest(0, least(n - k, ceil(idx - k / 2.0)))::BIGINT AS lo FROM p)",
+            "d0 AS (SELECT *, greatest(idx - lo, lo + k - 1 - idx) AS rad, 1.0::DOUBLE AS wt FROM q)"]
+    for i in range(4):
+        ctes.append(f"""m{i} AS MATERIALIZED (SELECT r.ticker, r.timeframe, r.idx, x.idx - r.idx AS d, x.close AS y,
+ x.wt * CASE WHEN abs(x.idx - r.idx) > 0.999 * r.rad THEN 0.0 WHEN abs(x.idx - r.idx) <= 0.001 * r.rad THEN 1.0
+  ELSE pow(1 - pow(abs(x.idx - r.idx) / r.rad::DOUBLE, 3), 3) END AS w
+ FROM d{i} r JOIN d{i} x ON x.ticker = r.ticker AND x.timeframe = r.timeframe AND x.idx BETWEEN r.lo AND r.lo + r.k - 1)""")
+        ctes.append(f"""f{i} AS MATERIALIZED (SELECT ticker, timeframe, idx, (sum(w*d*d) * sum(w*y) - sum(w*d) * sum(w*d*y)) / (sum(w) * sum(w*d*d) - sum(w*d) * sum(w*d)) AS fit
+ FROM m{i} GROUP BY ALL)""")
+        ctes.append(f"""e{i} AS MATERIALIZED (SELECT d.* EXCLUDE (wt), abs(d.close - f.fit) AS e, median(abs(d.close - f.fit)) OVER (PARTITION BY d.ticker, d.timeframe) AS md
+ FROM d{i} d JOIN f{i} f USING (ticker, timeframe, idx))""")
+        ctes.append(f"""d{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (e, md), CASE WHEN e / (6 * md) >= 0.999 THEN 0.0 WHEN e / (6 * md) <= 0.001 THEN 1.0
+ ELSE pow(1 - pow(e / (6 * md), 2), 2) END::DOUBLE AS wt FROM e{i})""")
+    return with_(*ctes) + "SELECT ticker, timeframe, idx, round(fit, 6) AS filtered FROM f3"
+
+
+@register("filter_lowess_robust", _robust_sql())
 def filter_lowess_robust(spark, sf):
     return _out(apply_filter(indexed(spark, sf), "lowess", {"frac": 0.1}))
 

@@ -143,8 +143,8 @@ def _savgol(x, p, w, edge):
     head = _dot(end_values(F.col("idx") < width), weights_at(F.col("idx")))
     tail = _dot(end_values(F.col("idx") >= F.col("n") - width), weights_at(F.col("idx") - F.col("n") + width))
     return F.when(F.col("n") >= width,
-                  F.when((F.col("idx") < h) & (F.col("idx") >= 0), head)
-                  .when(F.col("idx") >= F.col("n") - h, tail).otherwise(middle))
+                  F.when((F.col("idx") < h) & (F.col("idx") >= 0), known(head))
+                  .when(F.col("idx") >= F.col("n") - h, known(tail)).otherwise(middle))
 
 
 def _median(x, p, w, edge):
