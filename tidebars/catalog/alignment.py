@@ -9,9 +9,8 @@ from tidebars.catalog.base import (
 )
 from tidebars.functions.scalars import net_position
 from tidebars.operators import align as A
-from tidebars.operators.series import with_index
-from tidebars.plans.pipeline import Settings, analyse, run_all
-from tidebars.sources.bars import ohlcv
+from tidebars.operators.backtest import entries, gate
+from tidebars.plans.pipeline import analyse, run_all
 
 K3 = ("ticker", "timeframe")
 
@@ -173,3 +172,15 @@ def net_positions(spark, sf):
     c = combined(spark, sf)
     up, low = F.coalesce(F.col("sig_1d"), F.lit(0)), F.coalesce(F.col("sig_60m"), F.lit(0))
     return c.select(*K3, "idx", net_position(up, low).alias("net"))
+
+
+@register("gate_confirmed", with_(*LEVEL_TRADED) + """SELECT e.ticker, e.timeframe, e.entry_idx, e.type FROM entries e
+JOIN r ON r.ticker = e.ticker AND r.timeframe = e.timeframe AND r.idx = e.entry_idx
+ASOF JOIN (SELECT ticker, ts, sig FROM r WHERE timeframe = '1d') d ON r.ticker = d.ticker AND r.ts >= d.ts
+WHERE e.timeframe = '60m' AND d.sig = CASE WHEN e.type = 'long' THEN 1 ELSE -1 END""")
+def gate_confirmed(spark, sf):
+    """Hourly entries that the daily signal confirms."""
+    a, _ = levels(spark, sf)
+    entered = entries(a.pairs, a.fits, LEVELS.n_ext)
+    higher = A.asof_higher(a.signal, a.signal.withColumnRenamed("sig", "higher_sig"), ["higher_sig"])
+    return gate(entered, higher, higher_sig="higher_sig").select(*K3, "entry_idx", "type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidebars.catalog.base import (
@@ -13,6 +15,7 @@ from tidebars.operators import metrics as M
 from tidebars.operators.filters import apply_filter
 from tidebars.operators.series import with_index
 from tidebars.plans.pipeline import compare_filters, sweep_summary
+from tidebars.sources.storage import scratch_root, write_ranking
 
 K3 = ("ticker", "timeframe")
 
@@ -136,6 +139,13 @@ def rank_filters(spark, sf):
     return _r(r.select(F.col("rank").cast("long").alias("rank"), "filter", "mse", "composite"), "mse", "composite")
 
 
+@register("ranking_csv", with_(*RESULTS, "me AS (SELECT filter, avg(mse) AS mse FROM res GROUP BY filter)") + "SELECT filter, round(mse, 6) AS mse FROM me")
+def ranking_csv(spark, sf):
+    path = f"{scratch_root(spark)}/ranking-{uuid.uuid4().hex}"
+    write_ranking(M.rank_filters(compared(spark, sf)).select("filter", "mse"), path)
+    return spark.read.option("header", True).schema("filter string, mse double").csv(path)
+
+
 @register("best_filter", with_(*RESULTS) + """SELECT ticker, timeframe, filter, round(mse, 6) AS mse FROM res
 QUALIFY row_number() OVER (PARTITION BY ticker, timeframe ORDER BY mse, filter) = 1""")
 def best_filter(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidebars.catalog.base import (
@@ -26,6 +28,15 @@ def bars_60m(spark, sf):
     return _bar_cols(hourly(spark, sf))
 
 
+@register("read_bars", with_(TICKS, bars_sql("60m", "1d")) + f"SELECT {BAR_COLS} FROM bars WHERE timeframe = '1d' AND ts >= TIMESTAMP '2024-01-10'")
+def read_bars(spark, sf):
+    """Bars written by timeframe; the filters prune folders and row groups."""
+    path = f"{ST.scratch_root(spark)}/bars-{uuid.uuid4().hex}"
+    B.ohlcv_all(ticks(spark, sf), ["60m", "1d"], base="60m", tie="tick_id").write.partitionBy("timeframe").parquet(path)
+    day = F.lit("2024-01-10").cast("timestamp_ntz")
+    return _bar_cols(B.read_bars(spark, path).where((F.col("timeframe") == "1d") & (F.col("ts") >= day)))
+
+
 @register("bars_all_timeframes", with_(TICKS, bars_sql(*BAR_START)) + f"SELECT {BAR_COLS} FROM bars")
 def bars_all_timeframes(spark, sf):
     return _bar_cols(B.ohlcv_all(ticks(spark, sf), list(BAR_START), tie="tick_id"))
@@ -109,7 +120,7 @@ def within_lookback(spark, sf):
           "(PARTITION BY ticker, timeframe ORDER BY ts DESC) <= 120)") + """SELECT ticker, timeframe, ts, close,
 row_number() OVER (PARTITION BY ticker, timeframe ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY ticker, timeframe) AS n FROM bars1""")
 def window_round_trip(spark, sf):
-    path = f"{ST.scratch_root(spark)}/window-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = f"{ST.scratch_root(spark)}/window-{uuid.uuid4().hex}"
     B.write_window(B.latest_n(hourly(spark, sf), 120), path)
     return B.read_window(spark, path).select("ticker", "timeframe", "ts", "close", "idx", "n")
 
@@ -240,11 +251,9 @@ def with_param_names(spark, sf):
 @register("versions", "SELECT o_orderpriority AS ticker, count(*) AS n FROM orders GROUP BY 1")
 def versions(spark, sf):
     """Three versions of a table, pruned to two, the newest restored."""
-    root = f"{ST.scratch_root(spark)}/versions-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    root = f"{ST.scratch_root(spark)}/versions-{uuid.uuid4().hex}"
     base = order_ticks(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    have = {r[0] for r in ST.list_versions(spark, root).collect()}
     for v in ("20240101T000000", "20240102T000000", "20240103T000000"):
-        if v not in have:
-            ST.snapshot(base, root, v)
+        ST.snapshot(base, root, v)
     ST.prune(spark, root, keep=2)
     return ST.restore(spark, root, "20240103T000000")

@@ -23,7 +23,7 @@ K3 = ("ticker", "timeframe")
 def signal_and_limit(spark, sf):
     """Stored: pairs, segments and trades read it several times. With the chunk
     size, None where no series needs more than one chunk."""
-    rows = stored(indexed(spark, sf))
+    rows = stored(indexed(spark, sf).select(*K3, "ts", "idx", "n", "close"))
     limit = chunk_limit(rows)
     return stored(signal_rows(rows, replace(HOURLY, chunk_rows=limit))), limit
 
@@ -35,7 +35,7 @@ def _rounded(df, *cols, digits=6):
 @register("trigger", with_(*SIGNAL) + """SELECT ticker, timeframe, idx, round(mu, 6) AS mu, round(sigma, 6) AS sigma,
 round(0.15 * greatest(sigma, 0.05), 6) AS eps, sig FROM r""")
 def trigger(spark, sf):
-    rows = stored(indexed(spark, sf))
+    rows = stored(indexed(spark, sf).select(*K3, "ts", "idx", "n", "close"))
     s = signal_rows(rows, replace(HOURLY, chunk_rows=chunk_limit(rows)))
     return _rounded(s.select(*K3, "idx", "mu", "sigma", "eps", "sig"), "mu", "sigma", "eps")
 

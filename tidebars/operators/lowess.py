@@ -36,19 +36,27 @@ def _neighbours_col(n: Column, frac: float, rule: str) -> Column:
     return F.greatest(F.lit(1), F.floor(n * F.lit(frac) + 1e-10)).cast("long")
 
 
-def _sums(target: np.ndarray, source: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
-    """S0, S1, S2, T0, T1 of every target row over the given source rows."""
-    left = np.clip(np.ceil(target - k / 2), 0, n - k)
-    right = left + k - 1
-    radius = np.maximum(target - left, right - target)[:, None]
-    d = source[None, :] - target[:, None]
-    inside = (source[None, :] >= left[:, None]) & (source[None, :] <= right[:, None])
+def _tricube(target: np.ndarray, source: np.ndarray, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and weight of the sources (one row of them per target)."""
+    radius = np.maximum(target - left, left + k - 1 - target)[:, None]
+    d = source - target[:, None]
     away = np.abs(d)
     u = away / np.maximum(radius, 1e-300)
-    w = np.where(away > 0.999 * radius, 0.0, np.where(away <= 0.001 * radius, 1.0, (1 - u**3) ** 3))
-    w = np.where(inside, w, 0.0) * weight[None, :]
-    wy = w * y[None, :]
-    return np.stack([w.sum(1), (w * d).sum(1), (w * d * d).sum(1), wy.sum(1), (wy * d).sum(1)])
+    w = 1.0 - u * u * u
+    w = np.where(away > 0.999 * radius, 0.0, np.where(away <= 0.001 * radius, 1.0, w * w * w))
+    return d, np.where((source >= left[:, None]) & (source <= left[:, None] + k - 1), w, 0.0)
+
+
+def _first_row(target: np.ndarray, n: int, k: int) -> np.ndarray:
+    return np.clip(np.ceil(target - k / 2), 0, n - k)
+
+
+def _sums(target: np.ndarray, source: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """S0, S1, S2, T0, T1 of every target row over one block of source rows."""
+    d, w = _tricube(target, source[None, :], _first_row(target, n, k), k)
+    wd = w * d
+    wy = weight * y
+    return np.stack([w @ weight, wd @ weight, (wd * d) @ weight, w @ wy, wd @ wy])
 
 
 def _solve(s, y):
@@ -68,22 +76,42 @@ def _bisquare(y, fit):
     return (1 - r * r) ** 2
 
 
+# Weights of a whole series are kept between the passes up to this many cells.
+KEEP_CELLS = 4_000_000
+
+
+def _neighbour_blocks(n: int, k: int):
+    """Per block of target rows: first row of each neighbourhood and the weights
+    times the distance to the power of 0, 1 and 2."""
+    for lo in range(0, n, BLOCK):
+        target = np.arange(lo, min(n, lo + BLOCK), dtype=float)
+        left = _first_row(target, n, k)
+        d, w = _tricube(target, left[:, None] + np.arange(k), left, k)
+        wd = w * d
+        yield lo, left.astype(int), w, wd, wd * d
+
+
 def _fit_short(y: np.ndarray, frac: float, passes: int, rule: str) -> np.ndarray:
-    n = len(y)
-    if np.isnan(y).all():
-        return y
+    out = np.full(len(y), np.nan)
     seen = ~np.isnan(y)
-    t, v = np.arange(seen.sum(), dtype=float), y[seen]
-    m = len(v)
-    k = min(neighbours(m, frac, rule), m)
-    weight, fit = np.ones(m), v
+    v = y[seen]
+    n = len(v)
+    if n == 0:
+        return out
+    k = min(neighbours(n, frac, rule), n)
+    blocks = list(_neighbour_blocks(n, k)) if n * k <= KEEP_CELLS else None
+    weight, fit = np.ones(n), v
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
     for turn in range(passes + 1):
         if turn:
             weight = _bisquare(v, fit)
-        fit = np.concatenate([
-            _solve(_sums(t[i:i + BLOCK], t, v, weight, m, k), v[i:i + BLOCK]) for i in range(0, m, BLOCK)
-        ])
-    out = np.full(n, np.nan)
+        near_w = np.lib.stride_tricks.sliding_window_view(weight, k)
+        near_y = np.lib.stride_tricks.sliding_window_view(weight * v, k)
+        parts = []
+        for lo, left, w, wd, wdd in blocks or _neighbour_blocks(n, k):
+            a, b = near_w[left], near_y[left]
+            parts.append(_solve((dot(w, a), dot(wd, a), dot(wdd, a), dot(w, b), dot(wd, b)), v[lo:lo + len(left)]))
+        fit = np.concatenate(parts)
     out[seen] = fit
     return out
 

@@ -19,6 +19,10 @@ from tidebars.sources.params import cross_params
 from tidebars.sources.storage import materialize
 
 
+# Window operators copy whole rows, so only these columns go through them.
+NEEDED = ("ts", "close")
+
+
 @dataclass(frozen=True)
 class Settings:
     filter_id: str = "savgol"
@@ -70,7 +74,7 @@ def trade(signal: DataFrame, s: Settings, keys: Sequence[str] = KEYS, sets: Data
 def analyse(bars: DataFrame, s: Settings = Settings(), keys: Sequence[str] = KEYS) -> Analysis:
     """``bars`` should be a stored table. Whether any series needs more than one
     chunk is looked up once; if none does, nothing is carried between chunks."""
-    indexed = materialize(with_index(valid_close(bars), keys), "indexed")
+    indexed = materialize(with_index(valid_close(bars).select(*keys, *NEEDED), keys), "indexed")
     s = replace(s, chunk_rows=chunk_limit(indexed, s.chunk_rows))
     return trade(materialize(signal_rows(indexed, s, keys), "signal"), s, keys)
 
@@ -119,7 +123,7 @@ def sweep_summary(bars: DataFrame, sets: Sequence[dict], keys: Sequence[str] = K
             "stop_loss_pct": float(row.get("stop_loss_pct", base.stop_loss_pct)),
         })
     spark = bars.sparkSession
-    indexed = materialize(with_index(valid_close(bars), keys), "indexed")
+    indexed = materialize(with_index(valid_close(bars).select(*keys, *NEEDED), keys), "indexed")
     wide_keys = [*keys, "param_id"]
     out = []
     limit = chunk_limit(indexed, base.chunk_rows)
