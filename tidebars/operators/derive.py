@@ -24,6 +24,26 @@ def slope(x: str, w) -> Column:
     )
 
 
+def slopes(x: str, w) -> tuple[Column, Column]:
+    """``slope`` and the slope of that slope from one window: both only need
+    the rows up to two places away."""
+    def value(k: int) -> Column:
+        return F.col(x) if k == 0 else F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w)
+
+    def first(k: int) -> Column:
+        at = F.col("idx") + k
+        return (
+            F.when(at == 0, value(k + 1) - value(k)).when(at == F.col("n") - 1, value(k) - value(k - 1))
+            .otherwise((value(k + 1) - value(k - 1)) / 2.0)
+        )
+
+    second = (
+        F.when(F.col("idx") == 0, first(1) - first(0)).when(F.col("idx") == F.col("n") - 1, first(0) - first(-1))
+        .otherwise((first(1) - first(-1)) / 2.0)
+    )
+    return first(0), second
+
+
 def gradient(df: DataFrame, x: str = "filtered", out: str = "v", keys: Sequence[str] = KEYS,
              shift: int = 0, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """First derivative; ``shift=1`` uses closed bars only, the first value
@@ -45,8 +65,8 @@ def derivatives(df: DataFrame, x: str = "filtered", keys: Sequence[str] = KEYS,
     if shift:
         src = "_x"
         cut = cut.withColumn("_x", F.when(F.col("idx") < shift, F.first(x).over(w)).otherwise(F.lag(x, shift).over(w)))
-    cut = cut.withColumn("v", slope(src, w)).withColumn("a", slope("v", w))
-    return core_rows(cut.drop("_x"))
+    v, a = slopes(src, w)
+    return core_rows(cut.withColumns({"v": v, "a": a}).drop("_x"))
 
 
 def smooth_chunks(cut: DataFrame, filter_id: str, params: dict | None, x: str, keys: Sequence[str],
@@ -57,7 +77,8 @@ def smooth_chunks(cut: DataFrame, filter_id: str, params: dict | None, x: str, k
         cut = cut.where((F.col("idx") >= 0) & (F.col("idx") < F.col("n")))
     if decimals is not None:
         cut = cut.withColumn("filtered", F.round("filtered", decimals))
-    return cut.withColumn("v", slope("filtered", w)).withColumn("a", slope("v", w))
+    v, a = slopes("filtered", w)
+    return cut.withColumns({"v": v, "a": a})
 
 
 def smooth_and_derive(df: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",
@@ -96,10 +117,19 @@ def with_blocks(cut: DataFrame, span: int) -> DataFrame:
     return cut.withColumn("_blk", F.floor(F.col("idx") / F.lit(decay_rows(1.0 - 2.0 / (span + 1.0)))))
 
 
-def ewma_chunks(cut: DataFrame, keys: Sequence[str], v: str, span: int) -> DataFrame:
+def chunk_start(before: int, chunk_rows: int | None) -> Column:
+    """Index of the first row in a chunk, halo included."""
+    if chunk_rows is None:
+        return F.lit(0).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.col("chunk") * chunk_rows - before)
+
+
+def ewma_chunks(cut: DataFrame, keys: Sequence[str], v: str, span: int, start: Column,
+                also: dict[str, Column] | None = None) -> DataFrame:
     """``mu`` and ``sigma`` of ``v`` inside chunks with ``_blk``: exponential
-    mean and exponential mean square around it, started at v and 0. Missing
-    values count as zero here; what follows them is blanked by the callers.
+    mean and exponential mean square around it, started at v and 0 on the row
+    ``start``. Missing values count as zero here; what follows them is blanked
+    by the callers. ``also``: more columns over ``block_window``.
 
     Within a block the recursion is a running sum of scaled terms; of the
     blocks before only the last one still contributes. One sort serves all.
@@ -109,21 +139,19 @@ def ewma_chunks(cut: DataFrame, keys: Sequence[str], v: str, span: int) -> DataF
     at = F.col("idx") - F.col("_blk") * rows
     run = Window.partitionBy(*keys, "chunk", "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = block_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    up = F.pow(F.lit(keep), at)
     value = F.coalesce(known(v), F.lit(0.0))
+    opens = F.col("idx") == start
 
-    def decayed(frame: DataFrame, term: Column, out: str) -> DataFrame:
-        frame = frame.withColumn("_y", F.col("_up") * F.sum(term / F.col("_up")).over(run))
-        ends = F.when(F.col("_end"), F.col("_y"))
-        carried = F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0.0))
-        return frame.withColumn(out, F.col("_y") + F.col("_up") * keep * carried)
+    def decayed(frame: DataFrame, term: Column, out: str, more: dict[str, Column]) -> DataFrame:
+        frame = frame.withColumn("_y", up * F.sum(term / up).over(run))
+        carried = F.coalesce(F.last(F.when(at == rows - 1, F.col("_y")), ignorenulls=True).over(before), F.lit(0.0))
+        return frame.withColumns({out: F.col("_y") + up * keep * carried, **more})
 
-    cut = cut.withColumns({
-        "_up": F.pow(F.lit(keep), at), "_end": at == rows - 1,
-        "_start": F.lag("idx").over(block_window(keys)).isNull()})
-    cut = decayed(cut, F.when(F.col("_start"), value).otherwise(value * (1.0 - keep)), "mu")
+    cut = decayed(cut, F.when(opens, value).otherwise(value * (1.0 - keep)), "mu", also or {})
     miss = value - F.col("mu")
-    cut = decayed(cut, F.when(F.col("_start"), 0.0).otherwise(miss * miss * (1.0 - keep)), "_var")
-    return cut.withColumn("sigma", F.sqrt("_var")).drop("_up", "_end", "_start", "_y", "_var")
+    cut = decayed(cut, F.when(opens, 0.0).otherwise(miss * miss * (1.0 - keep)), "_var", {})
+    return cut.withColumn("sigma", F.sqrt("_var")).drop("_y", "_var")
 
 
 def ewma_reach(span: int) -> int:
@@ -139,7 +167,7 @@ def ewma_volatility(df: DataFrame, v: str = "v", span: int = 60, keys: Sequence[
                     chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``mu`` and ``sigma``; a missing value makes both missing from there on."""
     cut = with_blocks(chunked(df, ewma_reach(span), 0, chunk_rows), span)
-    cut = core_rows(ewma_chunks(cut, keys, v, span)).drop("_blk")
+    cut = core_rows(ewma_chunks(cut, keys, v, span, chunk_start(ewma_reach(span), chunk_rows))).drop("_blk")
     holed = cut.join(first_missing(df, keys, v), list(keys), "left")
     good = F.col("_missing_from").isNull() | (F.col("idx") < F.col("_missing_from"))
     return (

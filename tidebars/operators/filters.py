@@ -81,10 +81,12 @@ def tap_sum(x: Column | str, taps: dict[int, float], w, pad: float | None) -> Co
 def _sma(x, p, w, edge):
     width = int(p["window"])
     ahead = (width - 1) // 2
-    frame = w.rowsBetween(ahead - width + 1, ahead)
-    rows, good = F.count(F.lit(1)).over(frame), F.count(x).over(frame)
-    whole = rows == good if edge == "zero" else (rows == good) & (rows == width)
-    return F.when(whole, F.sum(x).over(frame) / F.lit(float(width)))
+    # one aggregate per row: a missing value makes the sum NaN
+    total = F.sum(F.coalesce(F.col(x), F.lit(float("nan")))).over(w.rowsBetween(ahead - width + 1, ahead))
+    mean = known(total / F.lit(float(width)))
+    if edge == "zero":
+        return mean
+    return F.when((F.col("idx") + ahead - width + 1 >= 0) & (F.col("idx") + ahead < F.col("n")), mean)
 
 
 def _padded_taps(table: Callable):

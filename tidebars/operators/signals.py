@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebars.functions.scalars import known
 from tidebars.operators.derive import (
-    block_window, chunk_filter, deadband, ewma_chunks, ewma_reach, smooth_and_derive, smooth_chunks, with_blocks,
+    block_window, chunk_filter, chunk_start, deadband, ewma_chunks, ewma_reach, smooth_and_derive, smooth_chunks, with_blocks,
 )
 from tidebars.operators.filters import filter_reach
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, chunked, core_rows, in_chunk, scan
@@ -17,6 +17,9 @@ from tidebars.schema import KEYS
 
 STATES = (-1, 0, 1)
 
+# Kinds of runs, see _states_in_chunk.
+KIND_A, KIND_B, KIND_C = 0, 1, 2
+
 
 def _states_in_chunk(cut: DataFrame, keys: Sequence[str], states: Sequence[int]) -> DataFrame:
     """State of every row for each of the states the chunk may be entered with,
@@ -36,46 +39,49 @@ def _states_in_chunk(cut: DataFrame, keys: Sequence[str], states: Sequence[int])
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
-    push, opens = F.col("_push"), F.col("_opens")
+    push, opens, run = F.col("_push"), F.col("_opens"), F.col("_run")
 
     cut = cut.withColumns({"_prev": last(push, before), "_seen": F.count(push).over(upto)})
     cut = cut.withColumn("_opens", push.isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != push)))
     cut = cut.withColumns({
         "_run": F.sum(opens.cast("long")).over(upto),
-        "_dir": last(F.when(opens, push), upto),
-        "_at": last(F.when(opens, F.col("_seen")), upto),
-        "_first": last(F.when(opens, F.col("_strong")), upto),
+        # what opened the run: its place among the pushes, strong or not, up or down
+        "_open": last(F.when(opens, F.col("_seen") * 4 + F.col("_strong").cast("int") * 2 + (push > 0).cast("int")), upto),
         "_last_strong": last(F.when(F.col("_strong"), F.col("_seen")), upto),
     })
-    cut = cut.withColumn("_later", F.coalesce(F.col("_last_strong") > F.col("_at"), F.lit(False)))
-    kind = F.when(F.col("_later"), "c").when(F.col("_first"), "b").otherwise("a")
-    cut = cut.withColumn("_kind", F.when(push.isNotNull(), F.struct(kind.alias("kind"), F.col("_dir").alias("dir"))))
+    first = F.col("_open").bitwiseAND(2) == 2
+    up = F.col("_open").bitwiseAND(1) == 1
+    cut = cut.withColumns({
+        "_dir": F.when(up, 1).when(~up, -1), "_first": first,
+        "_later": F.coalesce(F.col("_last_strong") > F.floor(F.col("_open") / 4), F.lit(False))})
+    kind = F.when(F.col("_later"), KIND_C).when(F.col("_first"), KIND_B).otherwise(KIND_A)
+    cut = cut.withColumn("_kind", F.when(push.isNotNull(), kind * 2 + (F.col("_dir") > 0).cast("int")))
     cut = cut.withColumn("_was", last(F.col("_kind"), before))
     # At the row that opens run r >= 2: does run r - 1 fix the state by itself?
-    fixed = F.when(opens & (F.col("_run") > 1) & ((F.col("_was.kind") != "b") | (F.col("_run") == 2)),
-                   F.struct((F.col("_run") - 1).alias("run"), F.col("_was.kind").alias("kind"),
-                            F.col("_was.dir").alias("dir")))
-    cut = cut.withColumn("_fixed", last(fixed, upto))
+    fixes = opens & (run > 1) & ((F.floor(F.col("_was") / 2) != KIND_B) | (run == 2))
+    cut = cut.withColumn("_fixed", last(F.when(fixes, (run - 1) * 8 + F.col("_was")), upto))
+    fixed_run, fixed_kind = F.floor(F.col("_fixed") / 8), F.floor(F.col("_fixed") / 2) % 4
+    fixed_dir = F.when(F.col("_fixed") % 2 == 1, 1).otherwise(-1)
 
     def state(s: int) -> Column:
         came = F.lit(s)
         outcome = (
-            F.when(F.col("_fixed.kind") == "c", True)
-            .when(F.col("_fixed.run") > 1, False)
-            .when(F.col("_fixed.kind") == "a", came == F.col("_fixed.dir"))
-            .otherwise(came != -F.col("_fixed.dir"))
+            F.when(fixed_kind == KIND_C, True)
+            .when(fixed_run > 1, False)
+            .when(fixed_kind == KIND_A, came == fixed_dir)
+            .otherwise(came != -fixed_dir)
         )
-        odd = (F.col("_run") - 1 - F.col("_fixed.run")) % 2 == 1
-        entered = F.when(F.col("_run") == 1, came).otherwise(F.when(outcome != odd, -F.col("_dir")).otherwise(0))
+        odd = (run - 1 - fixed_run) % 2 == 1
+        entered = F.when(run == 1, came).otherwise(F.when(outcome != odd, -F.col("_dir")).otherwise(0))
         return (
-            F.when(F.col("_run") == 0, came)
+            F.when(run == 0, came)
             .when(entered == F.col("_dir"), F.col("_dir"))
             .when(entered == 0, F.when(F.col("_first") | F.col("_later"), F.col("_dir")).otherwise(0))
             .otherwise(F.when(F.col("_later"), F.col("_dir")).otherwise(0))
         ).cast("int")
 
     return cut.withColumns({f"_s{s}": state(s) for s in states}).drop(
-        "_prev", "_seen", "_opens", "_run", "_dir", "_at", "_first", "_last_strong", "_later", "_kind", "_was", "_fixed")
+        "_prev", "_seen", "_opens", "_run", "_open", "_dir", "_first", "_last_strong", "_later", "_kind", "_was", "_fixed")
 
 
 def _entered_with(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,7 +105,7 @@ def _entered_with(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def trigger_chunks(cut: DataFrame, span: int, k_eps: float | str, sigma_min: float | str, keys: Sequence[str],
-                   decimals: int | None, chunked_series: bool) -> DataFrame:
+                   decimals: int | None, before: int, chunk_rows: int | None) -> DataFrame:
     """Trigger on chunks that carry ``v``, ``a``, ``_blk`` and halo rows; the
     result holds the core rows. Chunks are read on as maps of the state only
     where a series has several."""
@@ -107,17 +113,18 @@ def trigger_chunks(cut: DataFrame, span: int, k_eps: float | str, sigma_min: flo
 
     keys = list(keys)
     as_col = lambda p: F.col(p) if isinstance(p, str) else F.lit(float(p))
-    cut = ewma_chunks(cut, keys, "v", span).where("core")
+    # A missing v freezes everything after it, also in later chunks. Halo rows
+    # do not count: what is missing there is missing in the chunk before.
+    holes = F.when(F.col("core") & known("v").isNull(), 1)
+    frozen = F.count(holes).over(block_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0
+    cut = ewma_chunks(cut, keys, "v", span, chunk_start(before, chunk_rows), {"_frozen": frozen}).where("core")
     exact = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
     cut = cut.withColumn("eps", deadband(F.col("sigma"), as_col(k_eps), as_col(sigma_min)))
     a, v, band = exact(known("a")), exact(known("v")), exact(F.col("eps"))
-    push = F.when(v.isNotNull(), F.when(a > band, 1).when(a < -band, -1))
-    # A missing v freezes everything after it, also in later chunks.
-    frozen = F.max(known("v").isNull().cast("int")).over(
-        block_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1
-    cut = cut.withColumns({"_frozen": frozen, "_push": push, "_strong": F.coalesce(push * v > 0, F.lit(False))})
-    cut = cut.withColumns({"_push": F.when(~F.col("_frozen"), F.col("_push")), "_strong": F.col("_strong") & ~F.col("_frozen")})
-    if chunked_series:
+    push = F.when(v.isNotNull() & ~F.col("_frozen"), F.when(a > band, 1).when(a < -band, -1))
+    cut = cut.withColumn("_push", push)
+    cut = cut.withColumn("_strong", F.coalesce(F.col("_push") * v > 0, F.lit(False)))
+    if chunk_rows is not None:
         rows = materialize(_states_in_chunk(cut, keys, STATES).drop("_push", "_strong"), "states")
         ends = rows.groupBy(*keys, "chunk").agg(
             *[F.max_by(f"_s{s}", "idx").alias(f"_m{s}") for s in STATES], F.max("_frozen").alias("_holed"))
@@ -150,7 +157,7 @@ def schmitt(df: DataFrame, span: int = 60, k_eps: float | str = 0.15, sigma_min:
     ``decimals`` rounds a, v and eps before they are compared.
     """
     cut = with_blocks(chunked(df, ewma_reach(span), 0, chunk_rows), span)
-    return trigger_chunks(cut, span, k_eps, sigma_min, keys, decimals, chunk_rows is not None)
+    return trigger_chunks(cut, span, k_eps, sigma_min, keys, decimals, ewma_reach(span), chunk_rows)
 
 
 def smooth_and_trigger(df: DataFrame, filter_id: str, params: dict | None = None, edge: str | None = None,
@@ -164,9 +171,10 @@ def smooth_and_trigger(df: DataFrame, filter_id: str, params: dict | None = None
         rows = smooth_and_derive(df, filter_id, params, x, keys, edge, decimals, chunk_rows)
         return schmitt(rows, span, k_eps, sigma_min, keys, chunk_rows, finer)
     before, after, mirror = filter_reach(filter_id, params, edge)
-    cut = chunked(df, before + 2 + ewma_reach(span), after + 2, chunk_rows, mirror)
+    reach = before + 2 + ewma_reach(span)
+    cut = chunked(df, reach, after + 2, chunk_rows, mirror)
     cut = smooth_chunks(with_blocks(cut, span), filter_id, params, x, keys, edge, decimals, block_window(keys))
-    return trigger_chunks(cut, span, k_eps, sigma_min, keys, finer, chunk_rows is not None)
+    return trigger_chunks(cut, span, k_eps, sigma_min, keys, finer, reach, chunk_rows)
 
 
 def state_duration(df: DataFrame, keys: Sequence[str] = KEYS, sig: str = "sig", out: str = "dur",
