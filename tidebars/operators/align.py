@@ -153,11 +153,12 @@ def aligned_equity(df: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int |
 
     w = in_chunk(keys)
     cut = chunked(df, before=1, chunk_rows=chunk_rows)
+    cut = cut.withColumns({f"_prev_{side}": F.lag(f"{side}_pnl").over(w) for side in ("long", "short")})
     for side in ("long", "short"):
-        prev = F.lag(f"{side}_pnl").over(w)
+        prev = F.col(f"_prev_{side}")
         moves = F.col(f"{side}_mask") & (F.col("idx") > 0) & (prev != 0)
         cut = cut.withColumn(f"_{side}", F.when(moves, F.try_divide(F.col(f"{side}_pnl"), prev)).otherwise(1.0))
-    grown = scan(core_rows(cut), keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {
+    grown = scan(core_rows(cut.drop("_prev_long", "_prev_short")), keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {
         f"_{side}_f": ("product", F.col(f"_{side}"), False) for side in ("long", "short")})
     return (
         grown.withColumn("long_filtered", F.col("_long_f") * 100.0)

@@ -158,9 +158,9 @@ def atr(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS, out: str = "atr"
     """Mean of the last ``n`` true ranges, NULL until there are ``n``."""
     w = in_chunk(keys)
     cut = chunked(df, n, 0, chunk_rows)
-    before = F.lag("close").over(w)
-    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    cut = cut.withColumn("_tr", reach)
+    cut = cut.withColumn("_before", F.lag("close").over(w))
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_before")), F.abs(F.col("low") - F.col("_before")))
+    cut = cut.withColumn("_tr", reach).drop("_before")
     frame = w.rowsBetween(-(n - 1), 0)
     mean = F.when(F.col("idx") >= n - 1, F.avg("_tr").over(frame))
     return core_rows(cut.withColumn(out, mean).drop("_tr"))

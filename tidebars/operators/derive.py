@@ -17,18 +17,19 @@ from tidebars.schema import KEYS
 def slope(x: str, w) -> Column:
     """Central difference, one-sided at both ends of the series."""
     ahead, back = F.lead(x).over(w), F.lag(x).over(w)
-    return (
-        F.when(F.col("idx") == 0, ahead - F.col(x))
-        .when(F.col("idx") == F.col("n") - 1, F.col(x) - back)
-        .otherwise((ahead - back) / 2.0)
-    )
+    # the two window values stand once each: at an end both sides use the row itself
+    left = F.when(F.col("idx") == 0, F.col(x)).otherwise(back)
+    right = F.when(F.col("idx") == F.col("n") - 1, F.col(x)).otherwise(ahead)
+    one_sided = (F.col("idx") == 0) | (F.col("idx") == F.col("n") - 1)
+    return F.when(F.col("n") > 1, (right - left) / F.when(one_sided, 1.0).otherwise(2.0))
 
 
-def slopes(x: str, w) -> tuple[Column, Column]:
-    """``slope`` and the slope of that slope from one window: both only need
-    the rows up to two places away."""
-    def value(k: int) -> Column:
-        return F.col(x) if k == 0 else F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w)
+def with_slopes(cut: DataFrame, x: str, w) -> DataFrame:
+    """``v``, the slope of ``x``, and ``a``, the slope of that, behind one
+    window: both only need the rows up to two places away."""
+    near = {k: F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w) for k in (-2, -1, 1, 2)}
+    cut = cut.withColumns({f"_near{k}": c for k, c in near.items()})
+    value = lambda k: F.col(x) if k == 0 else F.col(f"_near{k}")
 
     def first(k: int) -> Column:
         at = F.col("idx") + k
@@ -41,7 +42,7 @@ def slopes(x: str, w) -> tuple[Column, Column]:
         F.when(F.col("idx") == 0, first(1) - first(0)).when(F.col("idx") == F.col("n") - 1, first(0) - first(-1))
         .otherwise((first(1) - first(-1)) / 2.0)
     )
-    return first(0), second
+    return cut.withColumns({"v": first(0), "a": second}).drop(*[f"_near{k}" for k in near])
 
 
 def gradient(df: DataFrame, x: str = "filtered", out: str = "v", keys: Sequence[str] = KEYS,
@@ -65,8 +66,7 @@ def derivatives(df: DataFrame, x: str = "filtered", keys: Sequence[str] = KEYS,
     if shift:
         src = "_x"
         cut = cut.withColumn("_x", F.when(F.col("idx") < shift, F.first(x).over(w)).otherwise(F.lag(x, shift).over(w)))
-    v, a = slopes(src, w)
-    return core_rows(cut.withColumns({"v": v, "a": a}).drop("_x"))
+    return core_rows(with_slopes(cut, src, w).drop("_x"))
 
 
 def smooth_chunks(cut: DataFrame, filter_id: str, params: dict | None, x: str, keys: Sequence[str],
@@ -77,8 +77,7 @@ def smooth_chunks(cut: DataFrame, filter_id: str, params: dict | None, x: str, k
         cut = cut.where((F.col("idx") >= 0) & (F.col("idx") < F.col("n")))
     if decimals is not None:
         cut = cut.withColumn("filtered", F.round("filtered", decimals))
-    v, a = slopes("filtered", w)
-    return cut.withColumns({"v": v, "a": a})
+    return with_slopes(cut, "filtered", w)
 
 
 def smooth_and_derive(df: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",
@@ -196,5 +195,5 @@ def roughness(df: DataFrame, x: str = "filtered", out: str = "roughness", keys:
     """Sum of squared second differences per series, 0 for fewer than 3 rows."""
     w = in_chunk(keys)
     bend = F.col(x) - 2.0 * F.lag(x, 1).over(w) + F.lag(x, 2).over(w)
-    cut = chunked(df.select(*keys, "idx", "n", x), 2, 0, chunk_rows).withColumn("_bend", bend * bend)
-    return core_rows(cut).groupBy(*keys).agg(F.coalesce(F.sum("_bend"), F.lit(0.0)).alias(out))
+    cut = chunked(df.select(*keys, "idx", "n", x), 2, 0, chunk_rows).withColumn("_bend", bend)
+    return core_rows(cut).groupBy(*keys).agg(F.coalesce(F.sum(F.col("_bend") * F.col("_bend")), F.lit(0.0)).alias(out))

@@ -27,10 +27,13 @@ from tidebars.schema import KEYS
 
 @dataclass(frozen=True)
 class FilterSpec:
-    """``kind`` is ``window`` (build returns a Column over the chunk window),
-    ``frame`` (chunked frame to frame), ``grouped`` (build returns a pandas
-    function per chunk) or ``table`` (whole frame to frame). ``reach`` gives the
-    rows needed before, after and mirrored beyond the ends."""
+    """``kind`` says what ``build`` gets: ``window`` (cut, x, out, params, w,
+    edge) adds a column over the chunk window ``w``, ``frame`` (cut, keys, x,
+    out, params, edge) does so with windows of its own, ``grouped`` (params)
+    returns a function of the arrays of one chunk (idx, n, x), ``table`` (df,
+    keys, x, out, params, edge) takes the uncut frame. ``reach`` gives the rows
+    needed before, after and mirrored beyond the ends. Missing values reach a
+    grouped function as NaN and go out as such."""
 
     filter_id: str
     name: str
@@ -78,20 +81,25 @@ def tap_sum(x: Column | str, taps: dict[int, float], w, pad: float | None) -> Co
     return total
 
 
-def _sma(x, p, w, edge):
+# A window value that an expression needs twice goes into a column of its own:
+# written twice, it would be computed twice.
+
+
+def _sma(cut, x, out, p, w, edge):
     width = int(p["window"])
     ahead = (width - 1) // 2
     # one aggregate per row: a missing value makes the sum NaN
     total = F.sum(F.coalesce(F.col(x), F.lit(float("nan")))).over(w.rowsBetween(ahead - width + 1, ahead))
-    mean = known(total / F.lit(float(width)))
+    cut = cut.withColumn(out, total / F.lit(float(width)))
     if edge == "zero":
-        return mean
-    return F.when((F.col("idx") + ahead - width + 1 >= 0) & (F.col("idx") + ahead < F.col("n")), mean)
+        return cut.withColumn(out, known(out))
+    inside = (F.col("idx") + ahead - width + 1 >= 0) & (F.col("idx") + ahead < F.col("n"))
+    return cut.withColumn(out, F.when(inside, known(out)))
 
 
 def _padded_taps(table: Callable):
-    def build(x, p, w, edge):
-        return tap_sum(x, table(p), w, 0.0 if edge == "zero" else None)
+    def build(cut, x, out, p, w, edge):
+        return cut.withColumn(out, tap_sum(x, table(p), w, 0.0 if edge == "zero" else None))
 
     return build
 
@@ -100,62 +108,67 @@ def _wma_table(p):
     return K.linear_taps(int(p["window"]), newest=p.get("direction") == "newest")
 
 
-def _alma(x, p, w, edge):
-    if edge == "causal":
-        taps = K.alma_taps(int(p["window"]), p["offset"], p["sigma"], causal=True)
-        first = F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        total = None
-        for o in sorted(taps):
-            at = F.when(F.col("idx") + o >= 0, F.lag(x, -o).over(w)).otherwise(first)
-            term = at * F.lit(taps[o])
-            total = term if total is None else total + term
-        return total
-    return tap_sum(x, K.alma_taps(int(p["window"]), p["offset"], p["sigma"]), w,
-                   0.0 if edge == "zero" else None)
+def _alma(cut, x, out, p, w, edge):
+    if edge != "causal":
+        taps = K.alma_taps(int(p["window"]), p["offset"], p["sigma"])
+        return cut.withColumn(out, tap_sum(x, taps, w, 0.0 if edge == "zero" else None))
+    taps = K.alma_taps(int(p["window"]), p["offset"], p["sigma"], causal=True)
+    cut = cut.withColumn("_lead", F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    total = None
+    for o in sorted(taps):
+        at = F.when(F.col("idx") + o >= 0, F.lag(x, -o).over(w)).otherwise(F.col("_lead"))
+        term = at * F.lit(taps[o])
+        total = term if total is None else total + term
+    return cut.withColumn(out, total).drop("_lead")
 
 
 def _gaussian_radius(p, edge):
     return math.ceil(3 * p["sigma"]) if edge == "nan" else int(4.0 * p["sigma"] + 0.5)
 
 
-def _gaussian(x, p, w, edge):
-    return tap_sum(x, K.gaussian_taps(p["sigma"], _gaussian_radius(p, edge)), w, None)
+def _gaussian(cut, x, out, p, w, edge):
+    return cut.withColumn(out, tap_sum(x, K.gaussian_taps(p["sigma"], _gaussian_radius(p, edge)), w, None))
 
 
 def _dot(values: Column, weights: Column) -> Column:
     return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def _savgol(x, p, w, edge):
+def _savgol(cut, x, out, p, w, edge):
     width, h = int(p["window"]), int(p["window"]) // 2
     hat = K.savgol_matrix(width, int(p["order"]))
     middle = tap_sum(x, {o: float(hat[h, o + h]) for o in range(-h, h + 1)}, w, None)
     if edge == "nan":
-        return middle
+        return cut.withColumn(out, middle)
     # End rows evaluate the polynomial through the first or last whole window.
+    # Only chunks that hold an end of the series collect anything.
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value = F.struct("idx", F.coalesce(F.col(x), F.lit(float("nan"))).alias("v"))
+    from_end = F.col("n") - F.col("idx")
+    cut = cut.withColumns({
+        out: middle,
+        "_head": F.collect_list(F.when(F.col("idx") < width, value)).over(whole),
+        "_tail": F.collect_list(F.when(from_end <= width, value)).over(whole),
+    })
 
-    def end_values(mask):
-        kept = F.collect_list(F.when(mask, F.struct("idx", F.coalesce(F.col(x), F.lit(float("nan"))).alias("v")))).over(whole)
-        return F.transform(F.array_sort(kept), lambda s: s["v"])
-
-    def weights_at(row):
-        return F.get(F.lit(hat.tolist()), row.cast("int"))
+    def end_value(kept: str, row: Column) -> Column:
+        values = F.transform(F.array_sort(kept), lambda s: s["v"])
+        return _dot(values, F.get(F.lit(hat.tolist()), row.cast("int")))
 
-    head = _dot(end_values(F.col("idx") < width), weights_at(F.col("idx")))
-    tail = _dot(end_values(F.col("idx") >= F.col("n") - width), weights_at(F.col("idx") - F.col("n") + width))
-    return F.when(F.col("n") >= width,
-                  F.when((F.col("idx") < h) & (F.col("idx") >= 0), known(head))
-                  .when(F.col("idx") >= F.col("n") - h, known(tail)).otherwise(middle))
+    edge_value = F.when(F.col("idx") < h, end_value("_head", F.col("idx"))).when(
+        from_end <= h, end_value("_tail", F.lit(width) - from_end)).otherwise(F.col(out))
+    return cut.withColumn(out, F.when(F.col("n") >= width, edge_value)).withColumn(out, known(out)).drop("_head", "_tail")
 
 
-def _median(x, p, w, edge):
+def _median(cut, x, out, p, w, edge):
     width, h = int(p["window"]), int(p["window"]) // 2
     frame = w.rowsBetween(-h, h)
-    seen = F.collect_list(F.coalesce(F.col(x), F.lit(float("nan")))).over(frame)
-    full = F.concat(seen, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(seen)))
-    middle = known(F.element_at(F.array_sort(full), h + 1))
-    return middle if edge == "zero" else F.when(F.size(seen) == width, middle)
+    cut = cut.withColumn("_seen", F.collect_list(F.coalesce(F.col(x), F.lit(float("nan")))).over(frame))
+    full = F.concat("_seen", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("_seen")))
+    middle = F.element_at(F.array_sort(full), h + 1)
+    if edge != "zero":
+        middle = F.when(F.size("_seen") == width, middle)
+    return cut.withColumn(out, middle).withColumn(out, known(out)).drop("_seen")
 
 
 # --- recursions -----------------------------------------------------------
@@ -351,7 +364,7 @@ def filter_chunks(cut: DataFrame, filter_id: str, params: dict | None = None, x:
     replaces the chunk window by one with the same row order."""
     spec, p, edge = REGISTRY[filter_id], _repaired(filter_id, params), edge or "zero"
     if spec.kind == "window":
-        return cut.withColumn(out, spec.build(x, p, w or in_chunk(keys), edge))
+        return spec.build(cut, x, out, p, w or in_chunk(keys), edge)
     if spec.kind == "frame":
         return spec.build(cut, keys, x, out, p, edge)
     return _grouped(cut, keys, x, out, spec.build(p))
