@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebars.operators import backtest as T
-from tidebars.plans.pipeline import Settings, analyse, sweep_summary, trade
+from tidebars.plans.analysis import Settings, analyse, sweep_summary, trade
 
 
 def signal_frame(spark, data):
@@ -155,7 +155,8 @@ def test_sweep_equals_single_runs(spark, series):
     bars = spark.createDataFrame(rows, "ticker string, timeframe string, i int, close double").selectExpr(
         "ticker", "timeframe", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,i) as ts", "close")
     base = Settings("sma", {"window": 5}, span=20)
-    sets = [{"param_id": 1, "k_eps": 0.1}, {"param_id": 2, "k_eps": 0.4, "stop_loss_pct": 0.5}, {"param_id": 3, "filter_params": {"window": 9}}]
+    sets = [{"param_id": 1, "k_eps": 0.1}, {"param_id": 2, "k_eps": 0.4, "stop_loss_pct": 0.5}, {"param_id": 3, "filter_params": {"window": 9}, "n_ext": 3},
+            {"param_id": 4, "fit_mode": "poly2", "span": 30}]
     got = {(r.ticker, r.param_id): r for r in sweep_summary(bars, sets, base=base).collect()}
     from dataclasses import replace
     for s in sets:

@@ -68,6 +68,14 @@ def test_even_window_grows(series, values):
     assert values(apply_filter(df, "sma", {"window": 4})) == values(apply_filter(df, "sma", {"window": 5}))
 
 
+@pytest.mark.parametrize("window", [2, 4, 7])
+def test_even_windows_on_request(series, values, window):
+    x = np.random.RandomState(8).randn(30)
+    for fid, kernel in (("sma", np.ones(window) / window), ("wma", np.arange(window, 0, -1) / (window * (window + 1) / 2))):
+        got = values(apply_filter(series({"a": x}), fid, {"window": window, "keep_even": True, "direction": "newest"}))
+        assert np.allclose(got, np.convolve(x, kernel, mode="same")), fid
+
+
 def test_median_cases(series, values):
     assert values(apply_filter(series({"a": [1, 100, 2, 1, 2]}), "median", {"window": 3}))[1] == 2
     assert values(apply_filter(series({"a": [0, 0, 0, 100, 0, 0, 0]}), "median", {"window": 3}, edge="nan"))[3] == 0

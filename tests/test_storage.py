@@ -110,6 +110,12 @@ def test_windows_and_versions(spark, bars, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first().mse == "0.123457"
 
 
+def test_materialized_tables(spark):
+    df = spark.range(10).withColumn("x", F.col("id") * 2)
+    back = ST.materialize(df)
+    assert back.dtypes == df.dtypes and back.count() == 10 and len(back.inputFiles()) > 0
+
+
 def test_schema_check(spark, bars):
     df = bars([1, 2])
     assert validate_schema(df.withColumn("more", F.lit(1)), BARS).columns == BARS.fieldNames()

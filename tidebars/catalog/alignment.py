@@ -10,7 +10,7 @@ from tidebars.catalog.base import (
 from tidebars.functions.scalars import net_position
 from tidebars.operators import align as A
 from tidebars.operators.backtest import entries, gate
-from tidebars.plans.pipeline import analyse, run_all
+from tidebars.plans.analysis import analyse, run_all
 
 K3 = ("ticker", "timeframe")
 
@@ -41,7 +41,8 @@ def asof_backward(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"), "ts")
     o = table(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderkey").alias("o_orderkey")).select(
         F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(1400))).alias("ts"), "o_orderkey")
-    return A.asof_backward(e, o, ["k"], "ts", ["o_orderkey"], A.month_of("ts")).select("event_id", "o_orderkey")
+    # a busy key may hold a third of all events, so the buckets are hours
+    return A.asof_backward(e, o, ["k"], "ts", ["o_orderkey"], F.date_trunc("hour", "ts")).select("event_id", "o_orderkey")
 
 
 @register("higher_timeframe", with_(ORDER_TICKS, bars_sql("1d", "1wk", "1mo", "3mo"), HIGHER) + """SELECT ticker, timeframe, higher_tf, count(*) AS "rows"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.operators.series import with_index
-from tidebars.plans.pipeline import Settings
+from tidebars.plans.analysis import Settings
 from tidebars.sources.bars import ohlcv, ohlcv_all
 from tidebars.sources.storage import materialize
 

@@ -9,7 +9,7 @@ from tidebars.catalog.base import (
 )
 from tidebars.catalog.storage import BAR_COLS, NULLED, _bar_cols, nulled_bars
 from tidebars.operators import quality as Q
-from tidebars.sources.bars import coarser, ohlcv
+from tidebars.sources.bars import coarser, ohlcv, ohlcv_all
 
 CAL = with_(ORDER_TICKS, bars_sql("1d", "1wk", "1mo", "3mo"))
 AS_OF = "2001-08-12"
@@ -76,8 +76,7 @@ USER_TICKS = "ticks AS (SELECT event_id AS tick_id, user_id::VARCHAR AS ticker,
 def user_bars(spark, sf):
     t = table(spark, sf, "events").select(F.col("event_id").alias("tick_id"), F.col("user_id").cast("string").alias("ticker"), "ts",
                                          F.col("value").alias("price"), F.col("value").alias("volume"))
-    hours = ohlcv(t, "60m", tie="tick_id")
-    return hours.unionByName(ohlcv(t, "1d", tie="tick_id"))
+    return ohlcv_all(t, ["60m", "1d"], base="60m", tie="tick_id")
 
 
 @register("gap_count", with_(USER_TICKS, bars_sql("60m", "1d"), GAPS) + "SELECT ticker, timeframe, gaps FROM gap")
@@ -101,8 +100,7 @@ HEALTH = with_(NULLED, bars_sql("60m", "1d"), GAPS, """health AS (SELECT *, CASE
 
 def _health(spark, sf):
     t = ticks(spark, sf).withColumn("price", F.when(F.col("tick_id") % 53 != 0, F.col("price")))
-    bars = ohlcv(t, "60m", tie="tick_id").unionByName(ohlcv(t, "1d", tie="tick_id"))
-    return Q.data_health(bars, "2024-02-05")
+    return Q.data_health(ohlcv_all(t, ["60m", "1d"], base="60m", tie="tick_id"), "2024-02-05")
 
 
 @register("data_health", HEALTH + 'SELECT ticker, timeframe, "rows", first_day::VARCHAR AS first_day, last_day::VARCHAR AS last_day, null_close, gaps, status, warnings FROM health')

@@ -14,7 +14,7 @@ from tidebars.operators import extensions as E
 from tidebars.operators import metrics as M
 from tidebars.operators.filters import apply_filter
 from tidebars.operators.series import with_index
-from tidebars.plans.pipeline import compare_filters, sweep_summary
+from tidebars.plans.analysis import compare_filters, sweep_summary
 from tidebars.sources.storage import scratch_root, write_ranking
 
 K3 = ("ticker", "timeframe")

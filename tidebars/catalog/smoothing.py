@@ -238,9 +238,10 @@ round(last(a ORDER BY idx), 8) AS last_a, round(avg(abs(filtered - close)), 6) A
 def flagship(spark, sf):
     """Newest 120 hourly bars per series: smoothed, derived, summarised."""
     bars = index_bounded(latest_n(hourly(spark, sf), 120))
-    rows = D.residual(D.smooth_and_derive(bars, "sma", {"window": 11}, decimals=6))
+    # at most 120 rows per series: one chunk each
+    rows = D.residual(D.smooth_and_derive(bars, "sma", {"window": 11}, decimals=6, chunk_rows=None))
     w = D.in_chunk(["ticker", "timeframe"])
-    cut = D.chunked(rows, before=2)
+    cut = D.chunked(rows, chunk_rows=None)
     bend = F.col("filtered") - 2.0 * F.lag("filtered", 1).over(w) + F.lag("filtered", 2).over(w)
     return D.core_rows(cut.withColumn("_b", bend)).groupBy("ticker", "timeframe").agg(
         F.count(F.lit(1)).alias("points"), F.max_by("close", "ts").alias("last_close"),
@@ -304,6 +305,16 @@ def tema(spark, sf):
     return _out(E.tema(indexed(spark, sf), 10), "tema")
 
 
-@register("hp_filter")
+# (I + lambda D'D) t = close row by row: elimination forward, substitution back.
+HP_SQL = """m AS (SELECT *, 1 + 1600.0::DOUBLE * (CASE WHEN idx <= n - 3 THEN 1 ELSE 0 END + CASE WHEN idx BETWEEN 1 AND n - 2 THEN 4 ELSE 0 END + CASE WHEN idx >= 2 THEN 1 ELSE 0 END) AS c0,
+  -3200.0::DOUBLE * (CASE WHEN idx <= n - 3 THEN 1 ELSE 0 END + CASE WHEN idx BETWEEN 1 AND n - 2 THEN 1 ELSE 0 END) AS c1, CASE WHEN idx <= n - 3 THEN 1600.0::DOUBLE ELSE 0.0 END AS c2 FROM s),
+fw AS (SELECT ticker, timeframe, idx, n, c0 AS d, c1 AS u1, c2 AS u2, close AS z, 1.0::DOUBLE AS pd, 0.0::DOUBLE AS pu1, 0.0::DOUBLE AS pu2, 0.0::DOUBLE AS pz FROM m WHERE idx = 0 UNION ALL
+ SELECT m.ticker, m.timeframe, m.idx, m.n, m.c0 - f.u1 * f.u1 / f.d - f.pu2 * f.pu2 / f.pd, m.c1 - f.u1 * f.u2 / f.d, m.c2, m.close - f.u1 / f.d * f.z - f.pu2 / f.pd * f.pz,
+  f.d, f.u1, f.u2, f.z FROM fw f JOIN m ON m.ticker = f.ticker AND m.timeframe = f.timeframe AND m.idx = f.idx + 1),
+bk AS (SELECT ticker, timeframe, idx, z / d AS t, 0.0::DOUBLE AS nt FROM fw WHERE idx = n - 1 UNION ALL
+ SELECT f.ticker, f.timeframe, f.idx, (f.z - f.u1 * b.t - f.u2 * b.nt) / f.d, b.t FROM bk b JOIN fw f ON f.ticker = b.ticker AND f.timeframe = b.timeframe AND f.idx = b.idx - 1)"""
+
+
+@register("hp_filter", with_(*SERIES, HP_SQL) + "SELECT ticker, timeframe, idx, round(t, 6) AS trend, round(s.close - t, 6) AS cycle FROM bk JOIN s USING (ticker, timeframe, idx)")
 def hp_filter(spark, sf):
     return _out(E.hp_filter(indexed(spark, sf), 1600.0), "trend", "cycle")

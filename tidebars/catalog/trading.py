@@ -15,7 +15,7 @@ from tidebars.operators import signals as G
 from tidebars.operators.derive import smooth_and_derive
 from tidebars.operators.filters import apply_filter
 from tidebars.operators.series import chunk_limit
-from tidebars.plans.pipeline import analyse, signal_rows
+from tidebars.plans.analysis import analyse, signal_rows
 
 K3 = ("ticker", "timeframe")
 

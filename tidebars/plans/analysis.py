@@ -106,36 +106,43 @@ def run_all(bars: DataFrame, settings: dict[str, Settings] | None = None,
 def sweep_summary(bars: DataFrame, sets: Sequence[dict], keys: Sequence[str] = KEYS,
                   base: Settings = Settings()) -> DataFrame:
     """One summary row per series and parameter set. ``sets``: dicts with
-    ``param_id`` and any of the settings. Sets that share filter and span run
-    as one plan with their thresholds and stops as columns."""
-    fixed = ("filter_id", "filter_params", "edge", "span", "fit_mode", "n_ext")
-    groups: list[tuple[Settings, list[dict]]] = []
-    for row in sets:
-        s = replace(base, **{k: row[k] for k in fixed if k in row})
-        match = next((g for g in groups if g[0] == s), None)
-        if match is None:
-            match = (s, [])
-            groups.append(match)
-        match[1].append({
-            "param_id": row["param_id"],
-            "k_eps": float(row.get("k_eps", base.k_eps)),
-            "sigma_min": float(row.get("sigma_min", base.sigma_min)),
-            "stop_loss_pct": float(row.get("stop_loss_pct", base.stop_loss_pct)),
-        })
+    ``param_id`` and any of the settings. Every different filter runs once per
+    series, sets of one filter and span share a trigger plan with their
+    thresholds as columns, and all sets go through the backtest together with
+    stops and horizons as columns."""
     spark = bars.sparkSession
+    rows = [replace(base, **{k: v for k, v in row.items() if k != "param_id"}) for row in sets]
+    ids = [row["param_id"] for row in sets]
     indexed = materialize(with_index(valid_close(bars).select(*keys, *NEEDED), keys), "indexed")
-    wide_keys = [*keys, "param_id"]
-    out = []
     limit = chunk_limit(indexed, base.chunk_rows)
-    for s, rows in groups:
-        s = replace(s, chunk_rows=limit)
-        smooth = smooth_and_derive(indexed, s.filter_id, s.filter_params, "close", keys, s.edge, s.decimals, s.chunk_rows)
-        params = spark.createDataFrame(rows)
-        crossed = cross_params(smooth, params.drop("stop_loss_pct"))
+    wide_keys = [*keys, "param_id"]
+
+    def grouped(key) -> list[list[int]]:
+        groups: list[tuple[object, list[int]]] = []
+        for i, s in enumerate(rows):
+            match = next((g for g in groups if g[0] == key(s)), None)
+            if match is None:
+                match = (key(s), [])
+                groups.append(match)
+            match[1].append(i)
+        return [g for _, g in groups]
+
+    parts = []
+    for members in grouped(lambda s: (s.filter_id, s.filter_params, s.edge, s.decimals, s.span)):
+        s = rows[members[0]]
+        smooth = smooth_and_derive(indexed, s.filter_id, s.filter_params, "close", keys, s.edge, s.decimals, limit)
+        params = spark.createDataFrame([(ids[i], float(rows[i].k_eps), float(rows[i].sigma_min)) for i in members],
+                                       ["param_id", "k_eps", "sigma_min"])
         finer = None if s.decimals is None else s.decimals + 3
-        signal = materialize(signals.schmitt(crossed, s.span, "k_eps", "sigma_min", wide_keys, s.chunk_rows, finer), "sweep")
-        out.append(trade(signal, replace(s, stop_loss_pct="stop_loss_pct"), wide_keys,
-                         params.select("param_id", "stop_loss_pct")).summary)
+        parts.append(signals.schmitt(cross_params(smooth, params), s.span, "k_eps", "sigma_min", wide_keys, limit, finer))
+    signal = materialize(reduce(DataFrame.unionByName, parts), "sweep")
+    out = []
+    for members in grouped(lambda s: s.fit_mode):
+        exits = spark.createDataFrame([(ids[i], float(rows[i].stop_loss_pct), int(rows[i].n_ext)) for i in members],
+                                      ["param_id", "stop_loss_pct", "n_ext"])
+        s = replace(rows[members[0]], stop_loss_pct="stop_loss_pct", n_ext="n_ext", chunk_rows=limit)
+        mine = signal.join(F.broadcast(exits.select("param_id")), "param_id", "left_semi")
+        out.append(trade(mine, s, wide_keys, exits).summary)
     return reduce(DataFrame.unionByName, out)
 
 

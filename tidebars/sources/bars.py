@@ -152,12 +152,10 @@ def read_window(spark: SparkSession, path: str, min_rows: int = 5) -> DataFrame:
 
 
 def write_window(df: DataFrame, path: str, min_rows: int = 5) -> None:
-    """Store the window of every series that has at least ``min_rows`` rows."""
-    sizes = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    (
-        df.join(sizes, KEYS, "left_semi")
-        .write.mode("overwrite").partitionBy("timeframe").parquet(path)
-    )
+    """Store the window of every series that has at least ``min_rows`` rows.
+    ``df`` is a prepared window (``latest_n``), so a series is short."""
+    sized = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
+    sized.where(F.col("_n") >= min_rows).drop("_n").write.mode("overwrite").partitionBy("timeframe").parquet(path)
 
 
 def calendar_flag(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:

@@ -23,14 +23,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tidebars-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table that several consumers read, and read it back. It survives
     lost executors, keeps column pruning and cuts the lineage."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote for this application; call
+    it when no result that reads them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_ranking(df: DataFrame, path: str, decimals: int = 6) -> None:
     """One CSV file with a header, doubles rounded. A ranking has one row per
     filter, so a single file is fine."""
