@@ -233,24 +233,21 @@ def _ema(cut, keys, x, out, p, edge):
 def _kalman(p):
     model = p.get("model", "piecewise")
     dt = float(p.get("dt", 1.0))
-    gains, _ = K.kalman_gains(float(p["Q"]), float(p["R"]), dt, model)
-    starts_raw = model != "piecewise"
+    gains = K.kalman_gains(float(p["Q"]), float(p["R"]), dt, model)[0].tolist()
+    # all but the first model hand the first value out as it is
+    late = 0 if model == "piecewise" else 1
 
     def run(idx: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
-        y = np.empty(len(x))
-        pos, vel, last = x[0], 0.0, len(gains) - 1
-        for i in range(len(x)):
-            step = int(idx[i]) - (1 if starts_raw else 0)
-            if step < 0:
-                y[i] = pos
-                continue
-            gain = gains[min(step, last)]
-            pos += dt * vel
-            miss = x[i] - pos
-            pos += gain[0] * miss
-            vel += gain[1] * miss
-            y[i] = pos
-        return y
+        pos, vel, last, y = float(x[0]), 0.0, len(gains) - 1, []
+        for step, value in enumerate(x.tolist(), int(idx[0]) - late):
+            if step >= 0:
+                to_pos, to_vel = gains[step if step < last else last]
+                pos += dt * vel
+                miss = value - pos
+                pos += to_pos * miss
+                vel += to_vel * miss
+            y.append(pos)
+        return np.array(y)
 
     return run
 
