@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import quality, secrets
+from tidebars.llm import near_duplicates, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("name").alias("doc_id"), *[count(k) for k, *_ in secrets.KINDS], F.sha2(told(F.col("base_spans")), 256).alias("base_sha256"),
         told(F.sort_array(F.concat("base_spans", "added_spans"))).alias("spans"))
+
+
+@register
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(noted(spark, sf_dir))
+    return found.select(F.col("name").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
