@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import near_duplicates, quality, secrets
+from tidebars.llm import near_duplicates, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(noted(spark, sf_dir))
     return found.select(F.col("name").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+def byte_tokens() -> dict:
+    """The 50k byte-level vocabulary: the same ids as the file for the library tokenizers,
+    special strings included."""
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
+
+
+@register
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_sets(noted(spark, sf_dir), **byte_tokens())
+    return packed.select(F.col("name").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
