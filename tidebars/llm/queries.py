@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import near_duplicates, packing, quality, secrets
+from tidebars.llm import byte_pairs, near_duplicates, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,12 @@ def byte_tokens() -> dict:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_sets(noted(spark, sf_dir), **byte_tokens())
     return packed.select(F.col("name").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = byte_pairs.decode(byte_pairs.encode(noted(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return done.select(F.col("name").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
