@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import byte_pairs, near_duplicates, packing, quality, secrets, token_counts
+from tidebars.llm import byte_pairs, near_duplicates, nearest, packing, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,10 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(noted(spark, sf_dir), path, public_tokenizers.PATTERN).withColumnRenamed("name", "doc_id")
+
+
+@register
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("window_id"), F.col("embedding").alias("closes"))
+    found = nearest.nearest(vectors, F.col("window_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
