@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import byte_pairs, near_duplicates, nearest, packing, quality, secrets, token_counts
+from tidebars.llm import byte_pairs, near_duplicates, nearest, packing, quality, revisits, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,72 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("window_id"), F.col("embedding").alias("closes"))
     found = nearest.nearest(vectors, F.col("window_id") % 50 == 0)
     return found.select(F.col("query").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures made of the pages: each page is a full response, a third of them are
+    asked for again a day later, with an entity tag, a time of last modification, or
+    the tag of something else. Payloads go no further than their digest."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)")
+    m = F.col("page_id") % 12
+    tag = F.when(m < 9, F.concat(F.lit('W/"'), F.substring("digest", 1, 8), F.lit('"')))
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 30).cast("string"))
+    stored = F.map_filter(F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), modified, F.lit("Date"), at.cast("string"), F.lit("Content-Type"), F.lit("text/html")), lambda k, v: v.isNotNull())
+    again = F.map_filter(F.create_map(
+        F.lit("etag"), F.when(m == 0, F.concat(F.lit('"'), F.substring("digest", 1, 8), F.lit('"'))).when(m == 6, F.lit('"other"')),
+        F.lit("last-modified"), F.when(m == 9, modified).when(m == 3, F.lit("day 99")), F.lit("date"), (at + F.expr("interval 1 day")).cast("string"),
+        F.lit("content-type"), F.lit("none")), lambda k, v: v.isNotNull())
+    full = pages.select((F.col("page_id") * 2).alias("record_id"), "url", at.alias("ts"), F.lit(200).alias("status"), stored.alias("headers"), "digest")
+    revisits = pages.where("page_id % 3 = 0").select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (at + F.expr("interval 1 day")).alias("ts"),
+                                                     F.lit(304).alias("status"), again.alias("headers"), F.lit(None).cast("string").alias("digest"))
+    return full.unionByName(revisits)
+
+
+@register
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = revisits.resolve_revisits(captures(spark, sf_dir))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return done.select("record_id", "canonical", "resolution", "refers_to", "matched_by", told.alias("headers"), "digest")
+
+
+ORACLES["op7_revisit_resolution"] = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS digest, TIMESTAMP '2024-01-01' + to_seconds(page_id) AS seen, page_id % 12 AS m,
+         'day ' || (page_id % 30) AS modified, regexp_replace(trim(url), '#.*$', '', 's') AS bare
+  FROM pages
+), q AS (
+  SELECT *, regexp_matches(bare, '^(?i)https?://') AS web, regexp_extract(bare, '^(?i)https?://([^/?]*)([^?]*)\??(.*)$', 1) AS host,
+         regexp_extract(bare, '^(?i)https?://([^/?]*)([^?]*)\??(.*)$', 2) AS path, regexp_extract(bare, '^(?i)https?://([^/?]*)([^?]*)\??(.*)$', 3) AS query
+  FROM p
+), u AS (
+  SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x),
+           '^(utm_[^=]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') AS params
+  FROM q
+), c AS (
+  SELECT *, CASE WHEN web THEN regexp_replace(regexp_replace(regexp_replace(lower(host), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '')
+           || regexp_replace(path, '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END ELSE bare END AS canonical
+  FROM u
+), f AS (
+  SELECT page_id * 2 AS record_id, canonical, seen, digest, modified, CASE WHEN m < 9 THEN '"' || left(digest, 8) || '"' END AS tag FROM c WHERE canonical IS NOT NULL
+), r AS (
+  SELECT page_id * 2 + 1 AS record_id, canonical, seen + INTERVAL 1 DAY AS seen,
+         CASE m WHEN 0 THEN '"' || left(digest, 8) || '"' WHEN 6 THEN '"other"' END AS tag, CASE m WHEN 9 THEN modified WHEN 3 THEN 'day 99' END AS modified
+  FROM c WHERE page_id % 3 = 0
+), j AS (
+  SELECT r.*, f.record_id AS refers_to, f.digest AS f_digest, f.tag AS f_tag, f.modified AS f_modified, f.seen AS f_seen,
+         row_number() OVER (PARTITION BY r.record_id ORDER BY f.seen DESC, f.record_id DESC) AS n
+  FROM r LEFT JOIN f ON f.canonical = r.canonical AND (f.seen < r.seen OR f.seen = r.seen AND f.record_id < r.record_id)
+), k AS (
+  SELECT *, CASE WHEN tag IS NOT NULL AND f_tag IS NOT NULL THEN 'etag' WHEN modified IS NOT NULL AND f_modified IS NOT NULL THEN 'last-modified' END AS how FROM j WHERE n = 1
+), l AS (
+  SELECT *, CASE WHEN refers_to IS NULL THEN 'missing' WHEN how IS NULL THEN 'unchecked'
+         WHEN CASE how WHEN 'etag' THEN tag = f_tag ELSE modified = f_modified END THEN 'resolved' ELSE 'mismatch' END AS resolution FROM k
+)
+SELECT record_id, canonical, resolution, refers_to, CASE WHEN resolution = 'resolved' THEN how END AS matched_by,
+       CASE WHEN resolution = 'resolved' THEN
+         'content-type=text/html;date=' || strftime(seen, '%Y-%m-%d %H:%M:%S') || coalesce(';etag=' || coalesce(tag, 'W/' || f_tag), '') || ';last-modified=' || coalesce(modified, f_modified)
+       ELSE 'content-type=none;date=' || strftime(seen, '%Y-%m-%d %H:%M:%S') || coalesce(';etag=' || tag, '') || coalesce(';last-modified=' || modified, '') END AS headers,
+       CASE WHEN resolution = 'resolved' THEN f_digest END AS digest
+FROM l
+"""
