@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import byte_pairs, near_duplicates, nearest, packing, quality, revisits, secrets, token_counts
+from tidebars.llm import byte_pairs, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,8 @@ SELECT record_id, canonical, resolution, refers_to, CASE WHEN resolution = 'reso
        CASE WHEN resolution = 'resolved' THEN f_digest END AS digest
 FROM l
 """
+
+
+@register
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
