@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import byte_pairs, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, token_counts
+from tidebars.llm import byte_pairs, language_model, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,9 @@ FROM l
 @register
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@register
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("name").cast("string")) % 10 == 0
+    return language_model.score_sets(noted(spark, sf_dir), held_out).withColumnRenamed("name", "doc_id")
