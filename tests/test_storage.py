@@ -166,9 +166,24 @@ def test_parameter_files(spark, tmp_path):
     assert v1.fit_mode == "poly2" and v1.n == 120 and v1.filter_params == {"window": 21.0, "order": 2.0}
 
 
-def test_cross_params_refuses_large_tables(spark):
-    with pytest.raises(ValueError, match="parameter sets"):
-        P.cross_params(spark.range(1), spark.range(P.SMALL_ROWS + 1))
+def test_cross_params_takes_any_number_of_sets(spark):
+    sets = spark.range(12_345).withColumnRenamed("id", "param_id")
+    done = P.cross_params(spark.range(7), sets)
+    assert done.count() == done.distinct().count() == 7 * 12_345
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            applicationId = "app"
+            _jsc = spark.sparkContext._jsc
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ST.scratch_root(Cluster)
 
 
 def test_open_and_closed_bars_in_the_sink(spark, bars, tmp_path):

@@ -47,7 +47,9 @@ PARAM_LABELS = [
     ("lowess", "frac", "平滑比例"),
 ]
 
-SMALL_ROWS = 10_000
+# Parameter sets that share one key of the join with the rows, and the rows' keys.
+SETS_PER_PART = 1_000
+ROW_PARTS = 64
 
 
 def filter_dim(spark: SparkSession) -> DataFrame:
@@ -57,12 +59,6 @@ def filter_dim(spark: SparkSession) -> DataFrame:
         rows, "filter string, param string, label string, low double, high double, step double, default double")
 
 
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a look at limit+1 rows proves it small; otherwise
-    leave the join to the optimizer."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def parsed(text: Column) -> Column:
     """JSON object as a text map; NULL when it is broken or no object."""
     return F.from_json(text, "map<string,string>")
@@ -178,16 +174,14 @@ def param_views(spark: SparkSession, path: str) -> DataFrame:
 
 def with_param_names(results: DataFrame, sets: DataFrame) -> DataFrame:
     """Name and category of the parameter set on result rows."""
-    return results.join(small(sets.select("param_id", "name", "category")), "param_id", "left")
+    return results.join(sets.select("param_id", "name", "category"), "param_id", "left")
 
 
 def cross_params(df: DataFrame, params: DataFrame, id_col: str = "param_id") -> DataFrame:
-    """Every row with every parameter set; the sets must be provably few."""
-    limit = SMALL_ROWS
-    if params.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} parameter sets; split the sweep")
-    return df.crossJoin(F.broadcast(params))
-
-
-def sets_from_list(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
-    return spark.createDataFrame([dict(r) for r in rows])
+    """Every row with every parameter set, however many there are. Rows and sets meet on
+    (part of the sets, part of the rows), so no task holds all sets or all rows."""
+    parts = max(1, -(-params.count() // SETS_PER_PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = df.withColumn("_rows", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(ROW_PARTS)).cast("int")).withColumn("_sets", every(parts))
+    right = params.withColumn("_sets", F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int")).withColumn("_rows", every(ROW_PARTS))
+    return left.join(right, ["_sets", "_rows"]).drop("_sets", "_rows")

@@ -12,10 +12,15 @@ _LOCAL_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints. Only where none is
-    set (tests, a laptop) a local folder is chosen."""
+    """The shared folder the cluster names for checkpoints. Only in local mode, where
+    one machine does everything, may a folder of this machine be chosen instead."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = named.get() if named.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tidebars-")
