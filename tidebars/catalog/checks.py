@@ -172,7 +172,7 @@ base AS (SELECT * FROM raw WHERE event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-2
 newest AS (SELECT ticker, max(ts) AS m FROM base GROUP BY ALL),
 ranked AS (SELECT ticker, timeframe, ts, close, 1 AS c, 0 AS o FROM base UNION ALL
  SELECT r.ticker, r.timeframe, r.ts, r.close, CASE WHEN r.ts >= m THEN 0 ELSE 2 END, CASE WHEN r.ts >= m THEN -event_id ELSE event_id END
- FROM raw r JOIN newest USING (ticker) WHERE event_id % 10 = 3)
+ FROM raw r JOIN newest USING (ticker) WHERE event_id % 10 <> 0)
 SELECT ticker, timeframe, ts, close FROM ranked QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY c, o) = 1""")
 def merge_bars_repeated(spark, sf):
     """A batch with repeated stamps: first fills, last replaces."""
@@ -185,7 +185,7 @@ def merge_bars_repeated(spark, sf):
     first = Window.partitionBy("ticker", "ts").orderBy("event_id")
     base = raw.where("event_id % 10 = 0").where(F.col("ts") < _at("2024-01-20")).withColumn(
         "_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "event_id")
-    return Q.merge_bars(base, raw.where("event_id % 10 = 3"), "event_id").select("ticker", "timeframe", "ts", "close")
+    return Q.merge_bars(base, raw.where("event_id % 10 <> 0"), "event_id").select("ticker", "timeframe", "ts", "close")
 
 
 @register("force_merge", with_(TWO) + f"""SELECT {BAR_COLS} FROM other UNION ALL

@@ -57,15 +57,15 @@ def bars_per_user(spark, sf):
 
 @register("bars_per_supplier", """WITH ticks AS (SELECT l_orderkey * 10 + l_linenumber AS tick_id, l_suppkey::VARCHAR AS ticker,
   l_shipdate AS ts, l_extendedprice AS price, l_quantity AS volume, l_partkey AS p FROM lineitem),
-bars AS (SELECT ticker, '1mo' AS timeframe, date_trunc('month', ts)::TIMESTAMP AS ts, max(price) AS high, min(price) AS low,
-  sum(volume) AS volume FROM ticks GROUP BY ALL)
-SELECT ticker, timeframe, ts, high, low, round(volume, 4) AS volume FROM bars""")
+bars AS (SELECT ticker, '1mo' AS timeframe, date_trunc('month', ts)::TIMESTAMP AS ts, first(price ORDER BY ts, tick_id, price, volume) AS open, max(price) AS high, min(price) AS low,
+  last(price ORDER BY ts, tick_id, price, volume) AS close, sum(volume) AS volume FROM ticks GROUP BY ALL)
+SELECT ticker, timeframe, ts, open, high, low, close, round(volume, 4) AS volume FROM bars""")
 def bars_per_supplier(spark, sf):
     t = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tick_id"), F.col("l_suppkey").alias("ticker"),
+        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tick_id"), "l_extendedprice", "l_quantity").alias("tick_id"), F.col("l_suppkey").alias("ticker"),
         F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("volume"))
-    # open and close are left out: this key does not order lines of one day
-    return B.ohlcv(t, "1mo", tie="tick_id").select("ticker", "timeframe", "ts", "high", "low", F.round("volume", 4).alias("volume"))
+    # order and line number repeat within a day, so price and quantity order the rest
+    return B.ohlcv(t, "1mo", tie="tick_id").select("ticker", "timeframe", "ts", "open", "high", "low", "close", F.round("volume", 4).alias("volume"))
 
 
 NULLED = """ticks AS (SELECT event_id AS tick_id, event_type AS ticker, ts,
@@ -239,21 +239,28 @@ def with_defaults(spark, sf):
 
 
 @register("with_param_names", """SELECT l_orderkey, l_linenumber, p_brand || '_' || (p_partkey % 50) AS name, p_type AS category
-FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25""")
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
 def with_param_names(spark, sf):
-    sets = table(spark, sf, "part").where("p_size < 25").select(
+    sets = table(spark, sf, "part").select(
         F.col("p_partkey").alias("param_id"),
         F.concat("p_brand", F.lit("_"), (F.col("p_partkey") % 50).cast("string")).alias("name"), F.col("p_type").alias("category"))
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("param_id"))
     return P.with_param_names(rows, sets).select("l_orderkey", "l_linenumber", "name", "category")
 
 
-@register("versions", "SELECT o_orderpriority AS ticker, count(*) AS n FROM orders GROUP BY 1")
+@register("versions", """SELECT 'restored' AS part, o_orderpriority AS ticker, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY ALL
+UNION ALL SELECT 'newest', o_orderpriority, count(*) FROM orders GROUP BY ALL
+UNION ALL SELECT 'kept', v, r FROM (VALUES ('20240103T000000', 1), ('20240102T000000', 2)) t(v, r)""")
 def versions(spark, sf):
-    """Three versions of a table, pruned to two, the newest restored."""
+    """Three different versions of a table, pruned to two; the older and the newer one
+    restored, and the list of what is left."""
     root = f"{ST.scratch_root(spark)}/versions-{uuid.uuid4().hex}"
-    base = order_ticks(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    for v in ("20240101T000000", "20240102T000000", "20240103T000000"):
-        ST.snapshot(base, root, v)
+    orders = order_ticks(spark, sf)
+    count = lambda df: df.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    ST.snapshot(count(orders.where("tick_id % 3 = 0")), root, "20240101T000000")
+    ST.snapshot(count(orders.where("tick_id % 3 <> 1")), root, "20240102T000000")
+    ST.snapshot(count(orders), root, "20240103T000000")
     ST.prune(spark, root, keep=2)
-    return ST.restore(spark, root, "20240103T000000")
+    kept = ST.list_versions(spark, root).select(F.lit("kept").alias("part"), F.col("version").alias("ticker"), F.col("rank").cast("long").alias("n"))
+    part = lambda name, v: ST.restore(spark, root, v).select(F.lit(name).alias("part"), "ticker", "n")
+    return part("restored", "20240102T000000").unionByName(part("newest", "20240103T000000")).unionByName(kept)

@@ -55,9 +55,31 @@ def day_of(ts: Column) -> Column:
     return F.to_date(ts)
 
 
+def clock_micros(ts: Column) -> Column:
+    """Microseconds since 1970 as the clock on the wall shows them: the session's time
+    zone and its summer time play no part."""
+    t = ts.cast("timestamp_ntz")
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    second = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return days * 86_400_000_000 + (F.hour(t).cast("long") * 60 + F.minute(t)) * 60_000_000 + second
+
+
+def start_of(unit: str, ts: Column) -> Column:
+    """Start of the minute, hour, day, week (Monday), month, quarter or year on the wall
+    clock."""
+    t = ts.cast("timestamp_ntz")
+    second = F.date_part(F.lit("SECOND"), t)
+    if unit == "minute":
+        return t - F.make_dt_interval(secs=second)
+    if unit == "hour":
+        return t - F.make_dt_interval(mins=F.minute(t), secs=second)
+    day = F.to_date(t)
+    return (day if unit == "day" else F.trunc(day, unit)).cast("timestamp_ntz")
+
+
 def julian_day(ts: Column) -> Column:
     """Julian day number with fraction."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(86_400_000_000.0) + F.lit(2_440_587.5)
+    return clock_micros(ts) / F.lit(86_400_000_000.0) + F.lit(2_440_587.5)
 
 
 def minus_days(ts: Column, days: Column | int) -> Column:

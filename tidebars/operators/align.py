@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.functions.scalars import start_of
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, scan
 from tidebars.schema import KEYS, tf_dim
 
@@ -35,7 +36,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
 
 
 def month_of(ts: str = "ts") -> Column:
-    return F.date_trunc("month", F.col(ts)).cast("timestamp_ntz")
+    return start_of("month", F.col(ts))
 
 
 def bar_end(ts: Column, timeframe: Column) -> Column:

@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebars.functions import taps as K
-from tidebars.operators.filters import ema_scan
+from tidebars.functions.scalars import start_of
+from tidebars.operators.filters import ema_scan, ema_series
 from tidebars.operators.series import CHUNK_ROWS, chunked, core_rows
 from tidebars.schema import KEYS
 
 
 def _stacked(df: DataFrame, span: int, depth: int, x: str, keys: Sequence[str], chunk_rows: int) -> DataFrame:
     alpha = 2.0 / (span + 1.0)
-    cut = chunked(df, depth * K.settle(1.0 - alpha), 0, chunk_rows)
-    src = x
-    for level in range(1, depth + 1):
-        cut = ema_scan(cut, keys, src, f"_e{level}", alpha)
-        src = f"_e{level}"
+    # From its first value on the first mean has no holes, so the next ones need a halo only.
+    cut = chunked(ema_series(df, keys, x, "_e1", alpha, chunk_rows), (depth - 1) * K.settle(1.0 - alpha), 0, chunk_rows)
+    for level in range(2, depth + 1):
+        cut = ema_scan(cut, keys, f"_e{level - 1}", f"_e{level}", alpha)
     return core_rows(cut)
 
 
@@ -94,7 +94,7 @@ def walk_forward(df: DataFrame, train: int = 6, test: int = 3, step: int = 1, ke
     """Windows of ``train`` then ``test`` months, moving by ``step`` months,
     that lie within the data of a series."""
     span = df.groupBy(*keys).agg(
-        F.date_trunc("month", F.min(ts)).cast("timestamp_ntz").alias("_first"), F.max(ts).alias("_last"))
+        start_of("month", F.min(ts)).alias("_first"), F.max(ts).alias("_last"))
     months = lambda m: F.make_ym_interval(months=F.lit(m))
     last_start = F.col("_last") - months(train + test) + F.make_dt_interval(days=F.lit(1))
     starts = F.when(last_start >= F.col("_first"),
@@ -110,7 +110,7 @@ def window_rows(df: DataFrame, windows: DataFrame, keys: Sequence[str] = KEYS, t
     """Rows of every walk-forward window with ``part`` train or test. Windows
     start on month firsts, so rows meet them on the month, without a range
     join."""
-    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz")
+    month = lambda c: start_of("month", F.col(c) if isinstance(c, str) else c)
     spread = windows.withColumn("_month", F.explode(F.sequence(
         "train_start", F.col("test_end") - F.make_dt_interval(days=F.lit(1)), F.expr("interval 1 month"))))
     rows = df.withColumn("_month", month(F.col(ts))).join(spread, [*keys, "_month"]).drop("_month")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidebars.functions import taps as K
 from tidebars.functions.scalars import known
 from tidebars.operators.lowess import lowess
-from tidebars.operators.series import CHUNK_ROWS, chunked, core_rows, in_chunk
+from tidebars.operators.series import CHUNK_ROWS, chunk_of, chunked, core_rows, in_chunk, scan
 from tidebars.schema import KEYS
 
 
@@ -173,29 +173,38 @@ def _median(cut, x, out, p, w, edge):
 
 # --- recursions -----------------------------------------------------------
 
-def affine_scan(cut: DataFrame, keys: Sequence[str], a: Column, b: Column, out: str,
-                floor_per_row: float) -> DataFrame:
+# A block of a recursion ends when its rows have lost so many powers of e.
+BLOCK_DECAY = 40 * math.log(10.0)
+
+
+def affine_scan(cut: DataFrame, keys: Sequence[str], a: Column, b: Column, out: str, factor: str | None = None) -> DataFrame:
     """y = a * y_before + b along each chunk, without leaving the JVM.
 
-    Rows with ``b`` NULL repeat the last y. Inside a block the solution is a
-    running sum scaled by the running product of ``a``; blocks are long enough
-    (40 decades of decay, given at most ``floor_per_row`` per row) that only
-    the block before the current one still contributes.
+    Rows with ``b`` NULL repeat the last y. Rows are cut into blocks by how much
+    decay has added up, whatever a single row loses: inside a block the solution is a
+    running sum scaled by the running product of ``a``, counted from the block's
+    first row, so it neither overflows nor vanishes; and only the block before the
+    current one still contributes. ``factor`` names a column for the product of all
+    ``a`` of the chunk so far.
     """
-    block_rows = decay_rows(floor_per_row)
-    cut = cut.withColumns({"_b": b, "_la": F.ln(F.greatest(a, F.lit(1e-30)))})
-    cut = cut.withColumn("_blk", F.floor((F.count("_b").over(in_chunk(keys)) - 1) / F.lit(block_rows)))
+    w = in_chunk(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.withColumns({"_b": b, "_la": F.when(b.isNotNull(), -F.ln(F.greatest(a, F.lit(1e-300))))})
+    cut = cut.withColumn("_cum", F.sum("_la").over(w))
+    cut = cut.withColumn("_blk", F.floor(F.col("_cum") / F.lit(BLOCK_DECAY)))
+    # blocks follow the index, so these orders need no second sort
     run = Window.partitionBy(*keys, "chunk", "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # blocks follow the index, so this order needs no second sort
-    w = Window.partitionBy(*keys, "chunk").orderBy("_blk", "idx")
-    cut = cut.withColumn("_s", F.sum(F.when(F.col("_b").isNotNull(), F.col("_la"))).over(run))
-    cut = cut.withColumn("_y", F.exp("_s") * F.sum(F.col("_b") * F.exp(-F.col("_s"))).over(run))
+    across = Window.partitionBy(*keys, "chunk").orderBy("_blk", "idx")
+    first = F.first("_cum", ignorenulls=True).over(run)
+    cut = cut.withColumns({"_s": F.col("_cum") - first, "_lead": F.first(F.when(F.col("_b").isNotNull(), F.col("_la")), ignorenulls=True).over(run)})
+    cut = cut.withColumn("_y", F.exp(-F.col("_s")) * F.sum(F.col("_b") * F.exp("_s")).over(run))
     # the end value of the block before: last row whose successor opens a block
-    cut = cut.withColumn("_end", F.when(F.lead("_blk").over(w) != F.col("_blk"), F.col("_y")))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.exp("_s") * F.coalesce(F.last("_end", ignorenulls=True).over(before), F.lit(0.0))
-    return cut.withColumn(out, F.when(F.col("_blk") >= 0, F.col("_y") + carried)).drop(
-        "_b", "_la", "_blk", "_s", "_y", "_end")
+    cut = cut.withColumn("_end", F.when(F.lead("_blk").over(across) != F.col("_blk"), F.col("_y")))
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.exp(-F.col("_s") - F.col("_lead")) * F.coalesce(F.last("_end", ignorenulls=True).over(before), F.lit(0.0))
+    cut = cut.withColumn(out, F.when(F.col("_blk") >= 0, F.col("_y") + carried))
+    if factor:
+        cut = cut.withColumn(factor, F.exp(-F.coalesce("_cum", F.lit(0.0))))
+    return cut.drop("_b", "_la", "_cum", "_blk", "_s", "_lead", "_y", "_end")
 
 
 def decay_rows(keep: float) -> int:
@@ -207,23 +216,54 @@ def smoothing_factor(p: dict) -> float:
     return float(p["alpha"]) if "alpha" in p else 2.0 / (float(p["span"]) + 1.0)
 
 
-def ema_scan(cut: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float) -> DataFrame:
-    """Exponential mean started at the first value. Across missing rows the old
-    mean loses weight per row, as the unadjusted pandas ``ewm`` does."""
+def _ema_step(gap: Column, value: Column, alpha: float) -> tuple[Column, Column]:
+    """Factor and addend of the mean: across missing rows the old mean loses weight per
+    row, as the unadjusted pandas ``ewm`` does; without an earlier value it starts."""
     keep = 1.0 - alpha
+    old = F.pow(F.lit(keep), gap)
+    share = old + F.lit(alpha)
+    next_row = gap == 1
+    a = F.when(gap.isNull(), 1.0).when(next_row, keep).otherwise(old / share)
+    b = F.when(gap.isNull(), 1.0).when(next_row, alpha).otherwise(F.lit(alpha) / share) * value
+    return a, b
+
+
+def ema_scan(cut: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float) -> DataFrame:
+    """Exponential mean along each chunk, started at the chunk's first value: for chunks
+    whose halo holds enough values before them. ``ema_series`` needs no halo."""
     w = in_chunk(keys)
     value = known(x)
-    if keep <= 0.0:
+    if alpha >= 1.0:
         return cut.withColumn(out, F.last(value, ignorenulls=True).over(w))
     last_seen = F.last(F.when(value.isNotNull(), F.col("idx")), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
     cut = cut.withColumn("_gap", F.col("idx") - last_seen)
-    cut = cut.withColumn("_old", F.when(F.col("_gap") == 1, F.lit(keep)).otherwise(F.pow(F.lit(keep), F.col("_gap"))))
-    share = F.col("_old") + F.lit(alpha)
-    started = F.col("_gap").isNotNull()
-    a = F.when(started, F.when(F.col("_gap") == 1, F.lit(keep)).otherwise(F.col("_old") / share)).otherwise(F.lit(1.0))
-    b = F.when(started, F.when(F.col("_gap") == 1, F.lit(alpha)).otherwise(F.lit(alpha) / share)).otherwise(F.lit(1.0)) * value
-    return affine_scan(cut, keys, a, b, out, keep).drop("_gap", "_old")
+    a, b = _ema_step(F.col("_gap"), value, alpha)
+    return affine_scan(cut, keys, a, b, out).drop("_gap")
+
+
+def ema_series(df: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """Exponential mean of whole series, however many rows are missing and whatever
+    ``alpha`` is. Each chunk is solved from zero; its (factor, value) at the end is
+    one row, and a second scan over these rows gives what each chunk starts from."""
+    keys = list(keys)
+    value = known(x)
+    if alpha >= 1.0:
+        return scan(df, keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {out: ("last", value, False)})
+    rows = scan(df, keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {"_last": ("last", F.when(value.isNotNull(), F.col("idx")), True)})
+    a, b = _ema_step(F.col("idx") - F.col("_last"), value, alpha)
+    rows = rows.withColumn("chunk", F.lit(0).cast("long") if chunk_rows is None else chunk_of(chunk_rows=chunk_rows))
+    solved = affine_scan(rows, keys, a, b, "_own", "_factor").drop("_last")
+    if chunk_rows is None:
+        return solved.withColumn(out, F.col("_own")).drop("_own", "_factor", "chunk")
+    last = solved.groupBy(*keys, "chunk").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("idx"))).alias("_own"), F.min("_factor").alias("_factor"))
+    steps = affine_scan(last.select(*keys, F.lit(0).cast("long").alias("chunk"), F.col("chunk").alias("idx"), "_own", F.col("_factor").alias("_f")),
+                        keys, F.col("_f"), F.col("_own"), "_value")
+    entered = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    carry = steps.withColumn("_in", entered).select(*keys, F.col("idx").alias("chunk"), "_in")
+    own = F.coalesce("_own", F.when(F.col("_in").isNotNull(), 0.0))
+    return solved.join(carry, [*keys, "chunk"]).withColumn(out, own + F.coalesce(F.col("_factor") * F.col("_in"), F.lit(0.0))).drop(
+        "_own", "_factor", "_in", "chunk")
 
 
 def _ema(cut, keys, x, out, p, edge):
@@ -339,6 +379,10 @@ for _spec in [
     register_filter(_spec)
 
 
+# What a missing value takes away, at every length of a series: all of it, or the rest.
+_ENDED_BY_HOLES = {"kalman": "rest", "butterworth": "whole"}
+
+
 def filter_reach(filter_id: str, params: dict | None = None, edge: str | None = None) -> tuple[int, int, int]:
     spec = REGISTRY[filter_id]
     return spec.reach(_repaired(filter_id, params), edge or "zero")
@@ -376,9 +420,17 @@ def apply_filter(df: DataFrame, filter_id: str, params: dict | None = None, x: s
         return df.withColumn(out, F.lit(None).cast("double"))
     if spec.kind == "table":
         return spec.build(df, keys, x, out, _repaired(filter_id, params), edge or "zero")
+    if filter_id == "ema":
+        return ema_series(df, keys, x, out, smoothing_factor(_repaired(filter_id, params)), chunk_rows)
     before, after, mirror = filter_reach(filter_id, params, edge)
     cut = chunked(df, before, after, chunk_rows, mirror)
-    return core_rows(filter_chunks(cut, filter_id, params, x, out, keys, edge))
+    done = core_rows(filter_chunks(cut, filter_id, params, x, out, keys, edge))
+    if filter_id not in _ENDED_BY_HOLES:
+        return done
+    holes = df.where(known(x).isNull()).groupBy(*keys).agg(F.min("idx").alias("_hole"))
+    whole = F.col("_hole").isNull()
+    good = whole if _ENDED_BY_HOLES[filter_id] == "whole" else whole | (F.col("idx") < F.col("_hole"))
+    return done.join(holes, list(keys), "left").withColumn(out, F.when(good, F.col(out))).drop("_hole")
 
 
 def dual_filter(df: DataFrame, first: tuple[str, dict], second: tuple[str, dict], **kw) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebars.functions.scalars import known
+from tidebars.operators.series import seen_only
 from tidebars.schema import KEYS
 
 BLOCK = 1024
@@ -204,11 +205,16 @@ def _long(df, keys, x, out, frac, passes, rule):
 def lowess(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "close", out: str = "filtered",
            params: dict | None = None, edge: str = "zero", short_rows: int = SHORT) -> DataFrame:
     """``params``: frac, passes (3 re-weighting passes; 0 for the plain rule),
-    rule (``floor`` or ``round`` for the neighbourhood size). Input must not
-    hold missing values when a series is longer than ``short_rows``."""
+    rule (``floor`` or ``round`` for the neighbourhood size). Missing rows are
+    left out at every length: the others are numbered without them, and only
+    they get a value."""
     p = {"frac": 0.1, "passes": 3, "rule": "floor", **(params or {})}
     short = _short(df.where(F.col("n") <= short_rows), keys, x, out, p["frac"], int(p["passes"]), p["rule"])
-    if df.where(F.col("n") > short_rows).isEmpty():
+    long = df.where(F.col("n") > short_rows)
+    if long.isEmpty():
         return short
-    long = _long(df.where(F.col("n") > short_rows), keys, x, out, p["frac"], int(p["passes"]), p["rule"])
-    return short.unionByName(long)
+    keys = list(keys)
+    narrow = long.select(*keys, "idx", "n", F.col(x).alias("_x"))
+    fitted = _long(seen_only(narrow, keys, known("_x").isNotNull()), keys, "_x", out, p["frac"], int(p["passes"]), p["rule"])
+    back = fitted.select(*keys, F.col("_row").alias("idx"), out)
+    return short.unionByName(long.join(back, [*keys, "idx"], "left").select(*short.columns))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidebars.functions.scalars import known
 from tidebars.operators.derive import roughness
 from tidebars.operators.filters import apply_filter
-from tidebars.operators.series import with_index
+from tidebars.operators.series import seen_only, with_index
 from tidebars.schema import KEYS
 
 BLOCK = 1024
@@ -64,10 +64,14 @@ def xcorr_lag(df: DataFrame, keys: Sequence[str] = KEYS, noisy: str = "noisy", f
     """Lag at which filtered and noisy correlate best, the smallest of equal
     ones. Products are summed per pair of row blocks and added up, so neither a
     long series nor a wide lag range meets in one task. ``max_lag`` None tries
-    every lag; a bound keeps the work linear."""
+    every lag; a bound keeps the work linear. Rows on which either is missing are
+    left out before; fewer than three rows have lag 0."""
     keys = list(keys)
+    every = df.select(*keys).distinct()
+    both = known(noisy).isNotNull() & known(filtered).isNotNull()
+    df = seen_only(df.select(*keys, "idx", "n", noisy, filtered), keys, both)
     means = df.groupBy(*keys).agg(F.avg(filtered).alias("_mf"), F.avg(noisy).alias("_mn"))
-    rows = df.select(*keys, "idx", "n", F.col(filtered).alias("_f0"), F.col(noisy).alias("_n0")).join(means, keys)
+    rows = df.where("n >= 3").select(*keys, "idx", "n", F.col(filtered).alias("_f0"), F.col(noisy).alias("_n0")).join(means, keys)
     rows = rows.select(*keys, "idx", "n", (F.col("_f0") - F.col("_mf")).alias("_f"),
                        (F.col("_n0") - F.col("_mn")).alias("_n"), F.expr(f"idx div {BLOCK}").alias("_home"))
     last = F.expr(f"(n - 1) div {BLOCK}")
@@ -95,7 +99,8 @@ def xcorr_lag(df: DataFrame, keys: Sequence[str] = KEYS, noisy: str = "noisy", f
     sums = roles.groupBy(*keys, "p", "q").applyInPandas(per_pair, schema).groupBy(*keys, "lag").agg(F.sum("c").alias("c"))
     if max_lag is not None:
         sums = sums.where(F.abs("lag") <= max_lag)
-    return sums.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round("c", 9), -F.col("lag"))).alias("lag"))
+    best = sums.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round("c", 9), -F.col("lag"))).alias("lag"))
+    return every.join(best, keys, "left").withColumn("lag", F.coalesce("lag", F.lit(0).cast("long")))
 
 
 def edge_ratio(df: DataFrame, frac: float = 0.05, keys: Sequence[str] = KEYS, clean: str = "clean",
@@ -104,7 +109,8 @@ def edge_ratio(df: DataFrame, frac: float = 0.05, keys: Sequence[str] = KEYS, cl
     k = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(frac)))
     at_edge = (F.col("idx") < k) | (F.col("idx") >= F.col("n") - k)
     err = F.abs(F.col(clean) - F.col(filtered))
-    return df.groupBy(*keys).agg(
+    known_rows = df.where(known(clean).isNotNull() & known(filtered).isNotNull())
+    return known_rows.groupBy(*keys).agg(
         (F.avg(F.when(at_edge, err)) / (F.avg(F.when(~at_edge, err)) + 1e-15)).alias("edge_ratio"))
 
 

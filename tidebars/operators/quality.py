@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebars.functions.scalars import fixed4, known
+from tidebars.functions.scalars import clock_micros, fixed4, known, start_of
 from tidebars.schema import KEYS, tf_dim
 
 PK = [*KEYS, "ts"]
@@ -44,8 +44,7 @@ def completeness(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def _days_between(a: Column, b: Column) -> Column:
-    micros = F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
-    return micros / F.lit(86_400_000_000.0)
+    return (clock_micros(a) - clock_micros(b)) / F.lit(86_400_000_000.0)
 
 
 def _by_month(df: DataFrame, factor: float, keys: list[str]) -> DataFrame:
@@ -59,7 +58,7 @@ def _by_month(df: DataFrame, factor: float, keys: list[str]) -> DataFrame:
     wide = lambda a, b: F.coalesce(_days_between(a, b) > limit, F.lit(False)).cast("long")
     rows = (
         df.select(*keys, "ts", "close").join(dim, "timeframe", "left")
-        .withColumn("_month", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+        .withColumn("_month", start_of("month", F.col("ts")))
     )
     per_month = rows.withColumn("_prev", F.lag("ts").over(inside)).groupBy(*keys, "_month", "expected_days").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(known("close").isNull()).alias("null_close"),
@@ -168,7 +167,7 @@ def fingerprint_by(df: DataFrame, bucket: str = "month", value: str = "close", k
     def digest(parts: Column) -> Column:
         return F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda s: s["s"]), ""))
 
-    per = df.groupBy(*keys, F.date_trunc(bucket, "ts").alias("_part")).agg(
+    per = df.groupBy(*keys, start_of(bucket, F.col("ts")).alias("_part")).agg(
         digest(F.struct("ts", _line(value).alias("s"))).alias("_d"))
     return per.groupBy(*keys).agg(digest(F.struct("_part", F.col("_d").alias("s"))).alias(out))
 
@@ -177,7 +176,8 @@ def merge_bars(base: DataFrame, batch: DataFrame, arrival: str | None = None,
                newest: DataFrame | None = None) -> DataFrame:
     """Upsert: batch rows older than the newest stored bar only fill holes, the
     others replace. Of equal stamps within the batch the first arrival fills,
-    the last one replaces; ``arrival`` orders them. ``newest`` (keys, _newest)
+    the last one replaces; ``arrival`` orders them, without it the smallest
+    values win. ``newest`` (keys, _newest)
     gives the newest stored stamps when ``base`` is only a part of the table."""
     cols = base.columns
     if newest is None:
@@ -188,7 +188,8 @@ def merge_bars(base: DataFrame, batch: DataFrame, arrival: str | None = None,
     ranked = base.select(*cols, F.lit(1).alias("_class"), F.lit(0).cast("long").alias("_order")).unionByName(
         new.select(*cols, F.when(replaces, 0).otherwise(2).alias("_class"),
                    F.when(replaces, -F.col("_come")).otherwise(F.col("_come")).alias("_order")))
-    best = Window.partitionBy(*PK).orderBy("_class", "_order")
+    # without an arrival, rows of one stamp are told apart by their values
+    best = Window.partitionBy(*PK).orderBy("_class", "_order", *[F.col(c) for c in cols if c not in PK])
     return (
         ranked.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
         .withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select(*cols)

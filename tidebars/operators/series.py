@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebars.functions.scalars import start_of
 from tidebars.schema import KEYS
 
 CHUNK_ROWS = 65_536
@@ -28,7 +29,7 @@ def with_index(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts",
     for denser input.
     """
     keys = list(keys)
-    df = df.withColumn("_bucket", F.date_trunc(bucket, order).cast("timestamp_ntz"))
+    df = df.withColumn("_bucket", start_of(bucket, F.col(order)))
     span = Window.partitionBy(*keys)
     before = span.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
@@ -171,5 +172,20 @@ def scan(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Seque
     return joined.drop("__bucket", *[f"_{p}_{name}" for name in outs for p in "lc"])
 
 
+def seen_only(df: DataFrame, keys: Sequence[str], seen: Column, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows for which ``seen`` holds, numbered anew in ``idx`` and ``n``; the old
+    number is kept as ``_row``. Read twice, so hand in a stored table."""
+    keys = list(keys)
+    rows = df.where(seen).withColumn("__bucket", chunk_of(chunk_rows=chunk_rows))
+    span = Window.partitionBy(*keys)
+    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("_rows")).withColumns({
+        "_start": F.coalesce(F.sum("_rows").over(span.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "n": F.sum("_rows").over(span)}).drop("_rows")
+    place = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy("idx")) - 1
+    return (rows.drop("n").withColumn("_pos", place).join(counts, [*keys, "__bucket"])
+            .withColumns({"_row": F.col("idx"), "idx": (F.col("_start") + F.col("_pos")).cast("long")})
+            .drop("_pos", "_start", "__bucket"))
+
+
 def chunk_of(idx: str = "idx", chunk_rows: int | None = CHUNK_ROWS) -> Column | None:
     return None if chunk_rows is None else F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebars.functions.scalars import clock_micros, start_of
 from tidebars.operators.series import index_bounded
 from tidebars.schema import BARS, KEYS, tf_dim, validate_schema
 
@@ -19,11 +20,11 @@ _MINUTES = {"5m": 5, "15m": 15}
 def bar_start(ts: Column, timeframe: str) -> Column:
     """Start of the bar that holds ``ts``; weeks start on Monday."""
     if timeframe in _CALENDAR:
-        return F.date_trunc(_CALENDAR[timeframe], ts).cast("timestamp_ntz")
+        return start_of(_CALENDAR[timeframe], ts)
     if timeframe in _MINUTES:
-        hour = F.date_trunc("hour", ts).cast("timestamp_ntz")
+        hour = start_of("hour", ts)
         step = _MINUTES[timeframe]
-        return hour + F.make_dt_interval(mins=(F.floor(F.minute(ts) / step) * step).cast("int"))
+        return hour + F.make_dt_interval(mins=(F.floor(F.minute(ts.cast("timestamp_ntz")) / step) * step).cast("int"))
     raise ValueError(f"unknown timeframe {timeframe!r}")
 
 
@@ -35,7 +36,7 @@ def _tick_order(ticks: DataFrame, ts: str, tie: str | None) -> Column:
     if dict(ticks.dtypes)[tie] not in ("tinyint", "smallint", "int", "bigint"):
         return F.struct(ts, tie)
     number = lambda c: c.cast("decimal(20,0)")
-    micros = number(F.unix_micros(F.col(ts).cast("timestamp"))) * F.lit(10**17).cast("decimal(18,0)") * F.lit(1000).cast("decimal(4,0)")
+    micros = number(clock_micros(F.col(ts))) * F.lit(10**17).cast("decimal(18,0)") * F.lit(1000).cast("decimal(4,0)")
     return (micros.cast("decimal(38,0)") + number(F.col(tie).cast("bigint")) + number(F.lit(2**63 - 1))).cast("decimal(38,0)")
 
 

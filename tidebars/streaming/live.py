@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidebars.operators.quality import merge_bars
+from tidebars.functions.scalars import clock_micros, start_of
+from tidebars.operators.quality import force_merge, merge_bars
 from tidebars.schema import KEYS
-from tidebars.sources.bars import coarser, read_partitioned
+from tidebars.sources.bars import bar_start, coarser, read_partitioned
 
 # Fixed values: (length, offset from the epoch) of the bar windows. The epoch
 # is a Thursday, so Monday weeks are shifted by four days.
@@ -58,12 +59,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def upsert_partitions(batch: DataFrame, path: str, arrival: str | None = None) -> None:
+def upsert_partitions(batch: DataFrame, path: str, arrival: str | None = None, replace: bool = False) -> None:
     """Merge a batch into the bar table at ``path`` (partitioned by timeframe
     and month). Only the months the batch touches are read and rewritten. The
     newest stamp per series is kept in a small table next to it, so the rule
     for open and closed bars does not scan the bars. Running a batch twice
-    gives the same table."""
+    gives the same table. ``replace``: the batch's bars take the place of stored
+    ones of any age."""
     spark = batch.sparkSession
     batch = batch.withColumn("month", F.date_format("ts", "yyyy-MM"))
     bars, heads = f"{path}/bars", f"{path}/heads"
@@ -79,7 +81,7 @@ def upsert_partitions(batch: DataFrame, path: str, arrival: str | None = None) -
         newest = _heads(spark, heads)
     else:
         base, newest = batch.where("false").select(*cols), None
-    merged = merge_bars(base, batch, arrival, newest)
+    merged = force_merge(base, batch, arrival) if replace else merge_bars(base, batch, arrival, newest)
     (
         merged.withColumn("month", F.date_format("ts", "yyyy-MM"))
         .repartition("timeframe", "month", "ticker")
@@ -128,13 +130,17 @@ def rollup_sink(path: str):
         upsert_partitions(batch, path)
         spark = batch.sparkSession
         daily = read_partitioned(spark, f"{path}/bars").where("timeframe = '1d'")
-        quarter = lambda c: F.date_trunc("quarter", c).cast("timestamp_ntz")
+        quarter = lambda c: start_of("quarter", c)
         spans = batch.select("ticker", quarter(F.col("ts")).alias("_q")).distinct()
         # weeks cross quarter ends, so the quarters around are read as well
         near = spans.select("ticker", F.explode(F.array(
             F.col("_q") - F.make_ym_interval(months=F.lit(3)), F.col("_q"),
             F.col("_q") + F.make_ym_interval(months=F.lit(3)))).alias("_q")).distinct()
-        upsert_partitions(calendar_rollup(daily.withColumn("_q", quarter(F.col("ts"))).join(near, ["ticker", "_q"], "left_semi")), path)
+        rolled = calendar_rollup(daily.withColumn("_q", quarter(F.col("ts"))).join(near, ["ticker", "_q"], "left_semi"))
+        # periods at the edge of what was read lack days: only those that hold a new day are written
+        starts = F.array(*[F.struct(F.lit(tf).alias("timeframe"), bar_start(F.col("ts"), tf).alias("ts")) for tf in ("1wk", "1mo", "3mo")])
+        held = batch.select("ticker", F.explode(starts).alias("_p")).select("ticker", "_p.*").distinct()
+        upsert_partitions(rolled.join(held, [*KEYS, "ts"], "left_semi"), path, replace=True)
 
     return write
 
@@ -157,7 +163,7 @@ def freeze_sink(path: str, keys: Sequence[str] = (*KEYS, "idx")):
 def stale_series(bars: DataFrame, as_of: str, limit_seconds: int) -> DataFrame:
     """Series whose newest bar is older than ``limit_seconds`` at ``as_of``."""
     newest = bars.groupBy(*KEYS).agg(F.max("ts").alias("last_ts"))
-    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
+    age = F.floor((clock_micros(F.lit(as_of)) - clock_micros(F.col("last_ts"))) / 1_000_000).cast("long")
     return newest.withColumn("age_seconds", age).where(F.col("age_seconds") > limit_seconds)
 
 
