@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from tidebars.llm.byte_pairs import decode, encode, replay
+from tidebars.llm.byte_pairs import Merges, _alone, decode, encode, replay
 from tidebars.llm.packing import read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,8 +45,12 @@ def test_no_rows(spark):
 
 
 def test_lower_rank_after_a_merge():
-    # abc (2) comes from a + bc, but bc has the higher rank 3: merging it brings a lower rank about.
-    ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"abc": 2, b"bc": 3, b"abcx": 1}
-    words = [b"abcbc", b"bcabcx", b"abcabcbcx", b""]
-    enc = tiktoken.Encoding("o", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
-    assert replay(words, ranks, {}) == [enc.encode_ordinary(w.decode()) if w else [] for w in words]
+    # bc (3) comes before abc (2) can be made from a and bc: a merge brings a lower rank about.
+    own = {b"abc": 2, b"bc": 3, b"abcx": 1, b"aa": 4, b"aaa": 5, b"xbc": 0, b"cab": 6}
+    merges = Merges({bytes([b]): 1000 + b for b in range(256)} | own)
+    rnd = random.Random(6)
+    words = [b"abcbc", b"bcabcx", b"abcabcbcx", b"", b"aaaaaaa", *["".join(rnd.choice("abcx") for _ in range(rnd.randint(1, 30))).encode() for _ in range(400)]]
+    enc = tiktoken.Encoding("o", pat_str=r"[a-z]+", mergeable_ranks=merges.ranks, special_tokens={})
+    want = [enc.encode_ordinary(w.decode()) if w else [] for w in words]
+    assert [_alone(w, merges) for w in words] == [x if w not in own else _alone(w, merges) for w, x in zip(words, want)]
+    assert all(a == b for w, a, b in zip(words, replay(words, merges), want) if w not in own)

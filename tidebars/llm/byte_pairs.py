@@ -21,77 +21,135 @@ BLOCK_CHARS = 4_000_000
 KNOWN_PARTS = 400_000
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[list[int]]:
-    """Ids of each word. ``pairs`` keeps the rank of each pair of ids seen (-1: none).
-
-    All words lie one after the other; an inverted index has the places of each pair by
-    the rank of what it merges to. The lowest rank in the index is applied at all its
-    places, left to right; only the pairs beside a place change. When a merge brings a
-    lower rank about, the word's later places wait until that one is done, so every
-    word sees its merges in the order it would see alone.
-    """
-    names = {v: k for k, v in ranks.items()}
-    single = [ranks[bytes([b])] for b in range(256)]
-    ids: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts = []
-    for w in words:
-        at = len(ids)
-        starts.append(at)
-        ids += [single[b] for b in w]
-        after += range(at + 1, at + len(w) + 1)
-        before += range(at - 1, at + len(w) - 1)
-        if w:
-            after[-1] = before[at] = -1
-
-    def rank(a: int, b: int) -> int:
-        r = pairs.get((a, b))
+class Merges:
+    """The ranks, and the rank of every pair of ids met so far (-1: none)."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.names = [b""] * (max(ranks.values()) + 1)
+        for name, r in ranks.items():
+            self.names[r] = name
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs: dict[int, int] = {}
+        self.first = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int64)
+
+    def rank(self, a: int, b: int) -> int:
+        r = self.pairs.get(a << 20 | b)
         if r is None:
-            r = pairs[a, b] = ranks.get(names[a] + names[b], -1)
+            r = self.pairs[a << 20 | b] = self.ranks.get(self.names[a] + self.names[b], -1)
         return r
 
-    index: dict[int, list[int]] = {}
-    for i, j in enumerate(after):
-        if j >= 0 and (r := rank(ids[i], ids[j])) >= 0:
-            index.setdefault(r, []).append(i)
-    heap = list(index)
+
+def _alone(word: bytes, merges: Merges) -> list[int]:
+    """Ids of one word: lowest rank first, of equal ones the leftmost."""
+    ids = merges.single[np.frombuffer(word, np.uint8)].tolist()
+    after = [*range(1, len(ids)), -1]
+    before = list(range(-1, len(ids) - 1))
+    heap = [(r, i) for i in range(len(ids) - 1) if (r := merges.rank(ids[i], ids[i + 1])) >= 0]
     heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j < 0 or merges.rank(ids[i], ids[j]) != r:
+            continue
+        ids[i], ids[j] = r, -1
+        n = after[i] = after[j]
+        after[j] = -1
+        if n >= 0:
+            before[n] = i
+        for left, right in ((before[i], i), (i, n)):
+            if left >= 0 and right >= 0 and (q := merges.rank(ids[left], ids[right])) >= 0:
+                heapq.heappush(heap, (q, left))
+    return [x for x in ids if x >= 0]
+
+
+def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
+    """Ids of each word.
+
+    All words lie one after the other; an inverted index has the places of each pair by
+    the rank of what it merges to. The lowest rank in the index is applied at all its
+    places at once, of overlapping ones to the left ones, and only the pairs beside a
+    place are looked up anew. If a merge brings a lower rank about in a word where the
+    same rank was merged more than once, that word is done again alone, so that every
+    word sees its merges in the order it would see by itself.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    total = int(sizes.sum())
+    if not total:
+        return [[] for _ in words]
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    word = np.repeat(np.arange(len(words)), sizes)
+    ids = merges.single[raw]
+    after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+    ends = np.cumsum(sizes)[sizes > 0]
+    after[ends - 1] = -1
+    before[(ends - sizes[sizes > 0])] = -1
+    # The rank of the pair that starts at each place.
+    at = np.full(total, -1)
+    has = np.flatnonzero(after >= 0)
+    at[has] = merges.first[raw[has], raw[has + 1]]
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        firsts = [0, *cuts.tolist()]
+        for r, a, z in zip(ranks[firsts].tolist(), firsts, [*firsts[1:], len(ranks)], strict=True):
+            if r not in index:
+                index[r] = []
+                heapq.heappush(heap, r)
+            index[r].append(places[a:z])
+
+    start = np.flatnonzero(at >= 0)
+    if len(start):
+        enter(start, at[start])
+    alone: set[int] = set()
+    rank = merges.rank
     while heap:
         r = heapq.heappop(heap)
-        wait = -1
-        for i in sorted(index.pop(r, ())):
-            j = after[i]
-            if ids[i] < 0 or j < 0 or rank(ids[i], ids[j]) != r:
-                continue
-            if i <= wait:
-                if r not in index:
-                    heapq.heappush(heap, r)
-                index.setdefault(r, []).append(i)
-                continue
-            ids[i], ids[j] = r, -1
-            n = after[i] = after[j]
-            p = before[i]
-            if n >= 0:
-                before[n] = i
-            for left, right in ((p, i), (i, n)):
-                if left < 0 or right < 0 or (q := rank(ids[left], ids[right])) < 0:
-                    continue
-                if q not in index:
-                    index[q] = []
-                    heapq.heappush(heap, q)
-                index[q].append(left)
-                if q < r:
-                    wait = i
-                    while after[wait] >= 0:
-                        wait = after[wait]
-    out = []
-    for s, w in zip(starts, words, strict=True):
-        found, i = [], s if w else -1
-        while i >= 0:
-            found.append(ids[i])
-            i = after[i]
-        out.append(found)
+        lists = index.pop(r)
+        i = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+        i = i[at[i] == r]
+        if not len(i):
+            continue
+        if len(i) > 1:
+            # Of a chain of overlapping places every other one is merged.
+            chained = np.r_[False, after[i[:-1]] == i[1:]]
+            if chained.any():
+                begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(i))))
+                i = i[(np.arange(len(i)) - begin) % 2 == 0]
+        j = after[i]
+        n = after[j]
+        ids[i], ids[j], at[j] = r, -1, -1
+        after[i] = n
+        some = n >= 0
+        before[n[some]] = i[some]
+        p = before[i]
+        left = np.unique(np.concatenate([p[p >= 0], i])) if len(i) > 1 else np.r_[p[p >= 0], i]
+        right = after[left]
+        at[left] = -1
+        left = left[right >= 0]
+        if not len(left):
+            continue
+        q = np.array([rank(a, b) for a, b in zip(ids[left].tolist(), ids[after[left]].tolist(), strict=True)])
+        at[left] = q
+        if len(i) > 1 and (lower := (q >= 0) & (q < r)).any():
+            w, times = np.unique(word[i], return_counts=True)
+            for x in np.intersect1d(w[times > 1], word[left[lower]]).tolist():
+                alone.add(x)
+                a = int(sizes[:x].sum())
+                at[a:a + int(sizes[x])] = -1
+        good = at[left] >= 0
+        if good.any():
+            enter(left[good], at[left[good]])
+    alive = ids >= 0
+    flat = ids[alive].tolist()
+    stops = np.cumsum(np.bincount(word[alive], minlength=len(words))).tolist()
+    out = [flat[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)]
+    for x in alone:
+        out[x] = _alone(words[x], merges)
     return out
 
 
@@ -99,8 +157,8 @@ class _Block:
     """Ids of parts, kept from block to block of a task."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.merges, self.pattern = Merges(read_ranks(path)), regex.compile(pattern)
+        self.ranks = self.merges.ranks
         self.known: dict[str, list[int]] = {}
 
     def learn(self, parts: set[str]) -> None:
@@ -109,7 +167,7 @@ class _Block:
             self.known.clear()
         new = {p: [w.encode() for w in cut_part(p, self.pattern, [])] for p in parts if p not in self.known}
         words = sorted({w for ws in new.values() for w in ws if w not in self.ranks})
-        ids = dict(zip(words, replay(words, self.ranks, self.pairs), strict=True))
+        ids = dict(zip(words, replay(words, self.merges), strict=True))
         for p, ws in new.items():
             self.known[p] = list(chain.from_iterable(ids[w] if w in ids else (self.ranks[w],) for w in ws))
 
