@@ -172,18 +172,18 @@ def test_cross_params_takes_any_number_of_sets(spark):
     assert done.count() == done.distinct().count() == 7 * 12_345
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
-    class Cluster:
-        class conf:
-            get = staticmethod(lambda key, default: default)
-
-        class sparkContext:
-            master = "spark://host:7077"
-            applicationId = "app"
-            _jsc = spark.sparkContext._jsc
-
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from unittest.mock import MagicMock
+
+    cluster = MagicMock()
+    cluster.conf.get.return_value = None
+    cluster.sparkContext.master = "spark://host:7077"
+    named = cluster.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value
+    named.isDefined.return_value = False
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        ST.scratch_root(Cluster)
+        ST.scratch_root(cluster)
+    named.isDefined.return_value, named.get.return_value = True, "hdfs://shared/x/"
+    assert ST.scratch_root(cluster) == "hdfs://shared/x"
 
 
 def test_open_and_closed_bars_in_the_sink(spark, bars, tmp_path):
