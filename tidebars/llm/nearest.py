@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.sources.storage import materialize
+
 NEAREST = 5
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
@@ -148,6 +150,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "window_id", vector:
     """
     good = vectors.where(usable(vector) & F.col(f"`{key}`").isNotNull()).select(
         F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct()
+    good = materialize(good, "vectors")
     n = good.agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).first()
     blocks, rows = max(1, -(-n["n"] // block_rows)), max(1, -(-n["asks"] // query_rows))
     at = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
