@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.texts import WORD, boxed, text_column
+from tidebars.llm.texts import WORD, boxed, held, text_column
 
 
 class Rule(NamedTuple):
@@ -58,13 +58,13 @@ def _measured(df: DataFrame, keep: list[str]) -> DataFrame:
     of its own where several expressions need its value."""
     inner = F.btrim("text", F.lit(_SPACES))
     # In these patterns \s is exactly blank and \x09 to \x0D.
-    words = df.select(*keep, "text", F.when(inner != "", F.split(inner, r"\s+")).otherwise(F.array().cast("array<string>")).alias("w"))
+    words = df.select(*keep, "text", held(F.when(inner != "", F.split(inner, r"\s+")).otherwise(F.array().cast("array<string>"))).alias("w"))
     has_word = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
     hashed = words.select(
         *keep,
         F.size("w").cast("long").alias("n_words"),
-        F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
-        F.transform(has_word, lambda x: F.xxhash64(x)).alias("lines"),
+        held(F.transform("w", lambda w: F.xxhash64(w))).alias("h"),
+        held(F.transform(has_word, lambda x: F.xxhash64(x))).alias("lines"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
@@ -75,17 +75,17 @@ def _measured(df: DataFrame, keep: list[str]) -> DataFrame:
         *keep, "n_words", "word_chars", "n_symbols", "n_exclamations", "n_stop_words",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform(F.slice("h", 1, F.greatest(F.size("h") - last, F.lit(0))),
-                    lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)])).alias("windows"),
+        held(F.transform(F.slice("h", 1, F.greatest(F.size("h") - last, F.lit(0))),
+                         lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)]))).alias("windows"),
     )
     # Most texts repeat no window; the others sort theirs, so equal ones become neighbours.
     repeats = F.size("windows") > F.size(F.array_distinct("windows"))
-    ordered = counted.withColumn("runs", F.when(repeats, F.sort_array(
-        F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    ordered = counted.withColumn("runs", held(F.when(repeats, F.sort_array(
+        F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))))
     same = lambda a, k: F.get("runs", k)["x"] == a["x"]
-    starts = ordered.withColumn("at", F.sort_array(F.transform(
+    starts = ordered.withColumn("at", held(F.sort_array(F.transform(
         F.filter("runs", lambda a, k: (F.coalesce((k > 0) & same(a, F.greatest(k - 1, F.lit(0))), F.lit(False))) | F.coalesce(same(a, k + 1), F.lit(False))),
-        lambda a: a["i"])))
+        lambda a: a["i"]))))
     # A window covers the words up to the next one's start, five at most.
     covered = F.aggregate(F.transform("at", lambda a, k: F.coalesce(F.least(F.get("at", k + 1) - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")),
                           F.lit(0).cast("long"), lambda s, n: s + n)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.texts import boxed, text_column
+from tidebars.llm.texts import boxed, held, text_column
 
 # Kinds in the order in which ties are listed, their patterns, the group and the length it needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,7 +48,7 @@ def _spans(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``base`` (spans of the patterns) and ``runs`` (spans to judge) of
     column ``text``. Texts without a hit take no part in the running sums."""
     parts = [*KINDS, ("markov", RUN, 0, RUN_LENGTH)]
-    found = df.select(*keep, "text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"h_{k}") for k, p, _, _ in parts])
+    found = df.select(*keep, "text", *[held(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"h_{k}") for k, p, _, _ in parts])
     none = F.array().cast(f"array<{_SPAN}>")
     out = []
     for rank, (kind, pattern, group, least) in enumerate(parts):
@@ -57,7 +57,7 @@ def _spans(df: DataFrame, keep: list[str]) -> DataFrame:
         out.append(F.when(F.size(hits) > 0, _located(F.split("text", pattern, -1), hits, values, rank, kind, least)).otherwise(none).alias(f"s_{kind}"))
     cut = found.select(*keep, *out)
     base = F.concat(*[F.col(f"s_{k}") for k, *_ in KINDS])
-    return cut.select(*keep, F.sort_array(base).alias("base"), F.col("s_markov").alias("runs"))
+    return cut.select(*keep, held(F.sort_array(base)).alias("base"), held(F.col("s_markov")).alias("runs"))
 
 
 def _outside(runs: str, base: str) -> Column:
@@ -113,7 +113,7 @@ def _judged(spans: DataFrame, keep: list[str], table: list[float], min_ratio: fl
     mixed = lambda v: F.regexp_like(v, F.lit("[0-9]")) & F.regexp_like(v, F.lit("[A-Za-z]"))
     added = F.filter(_outside("runs", "base"), lambda r: mixed(r["value"]) & (_ratio(r["value"], table) >= min_ratio))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return spans.select(*keep, bare(F.col("base")).alias("base_spans"), bare(added).alias("added_spans"))
+    return spans.select(*keep, held(bare(F.col("base"))).alias("base_spans"), held(bare(added)).alias("added_spans"))
 
 
 def find_secrets(sets: DataFrame, key: str = "name", text: str = "description", table: list[float] | None = None,
@@ -142,7 +142,7 @@ def mask_secrets(sets: DataFrame, text: str = "description", mask: str = "[SECRE
     if table is None:
         table = train(labelled_samples(sets, text, samples))
     found = _judged(_spans(boxed(sets, text), ["row", "text"]), ["row", "text"], table, min_ratio)
-    spans = found.select("row", "text", F.sort_array(F.concat("base_spans", "added_spans")).alias("s"))
+    spans = found.select("row", "text", held(F.sort_array(F.concat("base_spans", "added_spans"))).alias("s"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):

@@ -24,3 +24,10 @@ def boxed(sets: DataFrame, text: str) -> DataFrame:
     """The whole row as one struct beside its text: columns an operator adds
     meanwhile can't clash with the row's own."""
     return sets.select(F.struct(*[F.col(f"`{c}`") for c in sets.columns]).alias("row"), text_column(text).alias("text"))
+
+
+def held(c: Column) -> Column:
+    """The value as it is, computed once: what uses it, a filter further up too, can't
+    have the expression put in its place, where a function over an array would compute
+    it for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
