@@ -77,7 +77,7 @@ def test_model_is_normalised(rows):
         assert sum(model.p(a, w) for w in [*model.one, "unknown word"]) == pytest.approx(1, abs=1e-9)
 
 
-@pytest.mark.parametrize("tokens", [50, 3_000_000])
+@pytest.mark.parametrize("tokens", [50, 1_000_000])
 def test_scores(spark, rows, tokens, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_TOKENS", tokens)
     monkeypatch.setattr(m, "BUCKET_TOKENS", 500)

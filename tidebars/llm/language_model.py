@@ -31,8 +31,8 @@ from tidebars.sources.storage import materialize
 # words no probability.
 RANGE = 5
 TAIL = 0.01
-BLOCK_TOKENS = 3_000_000
-BUCKET_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_500_000
 SLICE_BYTES = 8_000_000
 # No word has white space.
 _END, _BEGIN = b"\n", b" "
