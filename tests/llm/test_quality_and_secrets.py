@@ -63,6 +63,9 @@ def secret_texts():
     out += [f"token = \"{base64(40)}\" then an{'other' * 5} ordinaryidentifier and some_longer_name_here" for _ in range(40)]
     out += ["ordinary words with internationalisation and 4449473624279964 numbers", None, "", "secret: token: abcdefgh", "API_KEY=abc", "api-key=abcdefg", "passwd='a.b-c_d=e/f+'",
             f"{hexa(40)}\n{hexa(23)}", f"Token={hexa(30)} token='{hexa(30)}'", "AKIAAKIA" + "A" * 11, "tokentoken=abcdef" * 3000]
+    # The models need samples of both kinds.
+    words = ["value", "stream", "signal", "filter", "window", "series", "order", "trade", "close", "volume", "market", "position"]
+    out += [" and ".join("_".join(rnd.choices(words, k=4)) for _ in range(5)) for _ in range(60)]
     return out, f"stray {base64(40)} value"
 
 

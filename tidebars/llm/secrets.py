@@ -81,23 +81,26 @@ def labelled_samples(sets: DataFrame, text: str = "description", samples: int =
     return pick(True).unionByName(pick(False))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 5.0) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each pair of neighbouring
     characters. ``samples``: rows of ``random`` and ``value``; at most (characters
-    + 1) squared sums, so they fit the driver. A label without samples counts as
-    evenly distributed."""
+    + 1) squared sums, so they fit the driver. What follows a character is smoothed
+    by ``smoothing`` samples of how often characters occur at all, so one that a label
+    hardly has is unlikely after any other. A label without samples counts as evenly
+    distributed."""
     n = len(ALPHABET) + 1
     at = lambda c: F.instr(F.lit(ALPHABET), c)
     chars = samples.where(F.length("value") > 1).select("random", F.transform(F.split("value", ""), lambda c: F.when(c == "", 0).otherwise(at(c))).alias("c"))
     pairs = chars.select("random", F.explode(F.transform(F.slice("c", 1, F.size("c") - 1), lambda x, i: F.struct(x.alias("a"), F.get("c", i + 1).alias("b")))).alias("p"))
-    counts = {True: [[smoothing] * n for _ in range(n)], False: [[smoothing] * n for _ in range(n)]}
+    counts = {True: [[0.0] * n for _ in range(n)], False: [[0.0] * n for _ in range(n)]}
     for r in pairs.groupBy("random", "p.a", "p.b").count().collect():
         counts[r["random"]][r["a"]][r["b"]] += r["count"]
-    table = []
-    for a in range(n):
-        one, two = sum(counts[True][a]), sum(counts[False][a])
-        table += [math.log(counts[True][a][b] / one) - math.log(counts[False][a][b] / two) for b in range(n)]
-    return table
+    chance = {}
+    for label, c in counts.items():
+        seen = [sum(row[b] for row in c) + 0.5 for b in range(n)]
+        share = [x / sum(seen) for x in seen]
+        chance[label] = [[(row[b] + smoothing * share[b]) / (sum(row) + smoothing) for b in range(n)] for row in c]
+    return [math.log(chance[True][a][b] / chance[False][a][b]) for a in range(n) for b in range(n)]
 
 
 def _ratio(value: Column, table: list[float]) -> Column:
