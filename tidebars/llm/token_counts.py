@@ -15,7 +15,6 @@ from tokenizers import Tokenizer
 
 from tidebars.llm.pretokens import PARTS, cut_part
 from tidebars.llm.texts import keyed_texts
-from tidebars.sources.storage import materialize
 
 # Texts of a block: their places in it take two bytes.
 BLOCK_ROWS = 1 << 15
@@ -64,10 +63,11 @@ def _frequencies(rows: Iterator[tuple[int, str]], cut) -> tuple[list[str], np.nd
 
 
 def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str]) -> Iterator[pa.RecordBatch]:
-    """Blocks: a row with the keys and sizes of their texts, and a row for each word."""
+    """Blocks: a row with the keys and sizes of their texts (under a word of its own, so
+    such rows spread), and a row for each word."""
     rx = regex.compile(pattern)
     names = ["word", "base", "entries", "keys", "sizes"]
-    base = TaskContext.get().partitionId() << 32
+    base = TaskContext.get().partitionId() << 20
     for b in batches:
         at = 0
         while at < len(b):
@@ -81,7 +81,7 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
             words, word, row, n = _frequencies(rows, lambda p: cut_part(p, rx, special))
             one = pa.array([0, stop - at], pa.int32())
             keys = pa.ListArray.from_arrays(one, b.column(0).slice(at, stop - at))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([base]), pa.nulls(1, pa.binary()), keys,
+            yield pa.RecordBatch.from_arrays([pa.array([f"\0{base}"]), pa.array([base]), pa.nulls(1, pa.binary()), keys,
                                               pa.ListArray.from_arrays(one, pa.array(sizes, pa.int64()))], names=names)
             own, base, at = base, base + 1, stop
             if not words:
@@ -98,32 +98,54 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
                 yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), own)), lists.slice(start, len(w)), pa.nulls(len(w), keys.type), pa.nulls(len(w), pa.list_(pa.int64()))], names=names)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], kind: np.dtype, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """(base, row) sums of entries times column ``pieces``, packed by base; what has
-    gathered is passed on whenever ``limit`` entries have."""
+_PASSED = ["base", "entries", "keys", "sizes"]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by word: each distinct word is counted once by the library, its count
+    meets the word's frequencies, which lie beside it, and products are added up by
+    (base, row); what has gathered is passed on whenever ``limit`` entries have."""
+    tok = Tokenizer.from_file(tokenizer_path)
+    last, known = None, 0
     rows, sums, held = [], [], 0
 
-    def told() -> Iterator[pa.RecordBatch]:
+    def told(types: pa.Schema) -> Iterator[pa.RecordBatch]:
         code, back = np.unique(np.concatenate(rows), return_inverse=True)
-        total = np.bincount(back, np.concatenate(sums), len(code))
         out = np.empty(len(code), _SUM)
-        out["row"], out["n"] = code & 0xFFFF, total
+        out["row"], out["n"] = code & 0xFFFF, np.bincount(back, np.concatenate(sums), len(code))
         bases, first = np.unique(code >> 16, return_index=True)
         lists = [out[a:z].tobytes() for a, z in zip(first, [*first[1:], len(code)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bases), pa.array(lists, pa.binary())], names=["base", "entries"])
+        n = len(bases)
+        yield pa.RecordBatch.from_arrays([pa.array(bases), pa.array(lists, pa.binary()), pa.nulls(n, types.field("keys").type), pa.nulls(n, types.field("sizes").type)], names=_PASSED)
 
     for b in batches:
-        lists = b.column(1)
-        e = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in lists]) if len(b) else np.empty(0, kind)
-        sizes = np.array([len(x.as_buffer()) for x in lists], np.int64) // kind.itemsize
-        rows.append((np.repeat(b.column(0).to_numpy(), sizes) << 16) | e["row"])
-        sums.append(e["n"].astype(np.float64) * np.repeat(b.column(2).to_numpy(), sizes))
+        types = b.schema
+        heads = b.filter(b.column(3).is_valid())
+        if len(heads):
+            yield pa.RecordBatch.from_arrays(heads.columns[1:], names=_PASSED)
+        b = b.filter(b.column(2).is_valid())
+        if not len(b):
+            continue
+        coded = b.column(0).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w != last]
+        pieces = dict(zip(new, (len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        if last in words:
+            pieces[last] = known
+        last = b.column(0)[-1].as_py()
+        known = pieces[last]
+        each = np.array([pieces[w] for w in words], np.float64)[coded.indices.to_numpy()]
+        lists = b.column(2)
+        sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1]) // _ENTRY.itemsize
+        e = np.frombuffer(b"".join(lists.to_pylist()), _ENTRY)
+        rows.append((np.repeat(b.column(1).to_numpy(), sizes) << 16) | e["row"])
+        sums.append(e["n"] * np.repeat(each, sizes))
         held += len(e)
         if held > limit:
-            yield from told()
+            yield from told(types)
             rows, sums, held = [], [], 0
     if held:
-        yield from told()
+        yield from told(types)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +157,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for i in range(len(b)):
-            if b.column(3)[i].as_py():
+            if b.column(2)[i].is_valid:
                 if keys is not None:
                     yield told()
-                keys, sizes = b.column(1)[i].values, b.column(2)[i].values
+                keys, sizes = b.column(2)[i].values, b.column(3)[i].values
                 total = np.zeros(len(keys), np.int64)
             else:
-                e = np.frombuffer(b.column(4)[i].as_buffer(), _SUM)
+                e = np.frombuffer(b.column(1)[i].as_buffer(), _SUM)
                 np.add.at(total, e["row"], e["n"].astype(np.int64))
     if keys is not None:
         yield told()
@@ -152,8 +174,8 @@ def count_tokens(sets: DataFrame, tokenizer_path: str, pattern: str, key: str =
     byte-level BPE file of the library tokenizers.
 
     Blocks of texts give each of their pre-tokens with the texts it is in and how
-    often. Each distinct pre-token of all texts is counted once by the library, joined
-    to the frequencies, and products are summed by text; no ids are made. A pre-token
+    often, packed. Each distinct pre-token of all texts is counted once by the library,
+    joined to the frequencies, and products are summed by text; no ids are made. A pre-token
     in a third of all texts is one row a block. Special strings of the file that occur
     in texts count as the library counts them. Missing texts are empty and have no
     tokens; keys may be missing or repeat; other columns are left out.
@@ -163,20 +185,10 @@ def count_tokens(sets: DataFrame, tokenizer_path: str, pattern: str, key: str =
     keys = T.ArrayType(rows.schema["key"].dataType)
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("base", T.LongType()), T.StructField("entries", T.BinaryType()),
                            T.StructField("keys", keys), T.StructField("sizes", T.ArrayType(T.LongType()))])
-    # A written table: blocks are the same for all who read it.
-    blocks = materialize(rows.mapInArrow(lambda b: _postings(b, pattern, special), schema), "postings")
-    postings = blocks.where("word is not null").select("word", "base", "entries")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer.from_file(tokenizer_path)
-        for b in batches:
-            n = [len(e) for e in t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["word", "pieces"])
-
-    pieces = postings.select("word").distinct().mapInArrow(count, "word string, pieces long")
-    part = postings.join(pieces, "word").select("base", "entries", "pieces").mapInArrow(lambda b: _summed(b, _ENTRY), "base long, entries binary")
-    heads = blocks.where("word is null").select("base", "keys", "sizes", F.lit(True).alias("head"), F.lit(None).cast("binary").alias("entries"))
-    sums = part.select("base", F.lit(None).cast(keys).alias("keys"), F.lit(None).cast("array<bigint>").alias("sizes"), F.lit(False).alias("head"), "entries")
+    blocks = rows.mapInArrow(lambda b: _postings(b, pattern, special), schema)
+    # A word's rows of all blocks lie together, so its count joins them without another shuffle.
+    sums = blocks.repartition("word").sortWithinPartitions("word").mapInArrow(
+        lambda b: _counted(b, tokenizer_path), T.StructType(schema.fields[1:]))
     out = T.StructType([rows.schema["key"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    done = heads.unionByName(sums).repartition("base").sortWithinPartitions("base", F.desc("head")).mapInArrow(_unpacked, out)
+    done = sums.repartition("base").sortWithinPartitions("base", F.col("keys").isNull()).mapInArrow(_unpacked, out)
     return done.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
