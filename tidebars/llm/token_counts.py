@@ -18,7 +18,7 @@ from tidebars.llm.texts import keyed_texts
 
 # Texts of a block: their places in it take two bytes.
 BLOCK_ROWS = 1 << 15
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 _ENTRY = np.dtype([("row", "<u2"), ("n", "u1")])
 _SUM = np.dtype([("row", "<u2"), ("n", "<u8")])
 
@@ -101,7 +101,7 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
 _PASSED = ["base", "entries", "keys", "sizes"]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by word: each distinct word is counted once by the library, its count
     meets the word's frequencies, which lie beside it, and products are added up by
     (base, row); what has gathered is passed on whenever ``limit`` entries have."""
