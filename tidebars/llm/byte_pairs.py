@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +62,8 @@ def _alone(word: bytes, merges: Merges) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
-    """Ids of each word.
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """Ids of each word, as 32-bit numbers.
 
     All words lie one after the other; an inverted index has the places of each pair by
     the rank of what it merges to. The lowest rank in the index is applied at all its
@@ -76,7 +75,7 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     sizes = np.array([len(w) for w in words], np.int64)
     total = int(sizes.sum())
     if not total:
-        return [[] for _ in words]
+        return [b"" for _ in words]
     raw = np.frombuffer(b"".join(words), np.uint8)
     word = np.repeat(np.arange(len(words)), sizes)
     ids = merges.single[raw]
@@ -133,7 +132,12 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
         left = left[right >= 0]
         if not len(left):
             continue
-        q = np.array([rank(a, b) for a, b in zip(ids[left].tolist(), ids[after[left]].tolist(), strict=True)])
+        a, b = ids[left], ids[after[left]]
+        if len(left) > 400:
+            pair, place = np.unique(a << 20 | b, return_inverse=True)
+            q = np.array([rank(x >> 20, x & 0xFFFFF) for x in pair.tolist()])[place]
+        else:
+            q = np.array([rank(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
         at[left] = q
         if len(i) > 1 and (lower := (q >= 0) & (q < r)).any():
             w, times = np.unique(word[i], return_counts=True)
@@ -145,31 +149,35 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
         if good.any():
             enter(left[good], at[left[good]])
     alive = ids >= 0
-    flat = ids[alive].tolist()
-    stops = np.cumsum(np.bincount(word[alive], minlength=len(words))).tolist()
+    flat = ids[alive].astype("<i4").tobytes()
+    stops = (4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))).tolist()
     out = [flat[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)]
     for x in alone:
-        out[x] = _alone(words[x], merges)
+        out[x] = np.array(_alone(words[x], merges), "<i4").tobytes()
     return out
 
 
 class _Block:
-    """Ids of parts, kept from block to block of a task."""
+    """Ids of words and parts as 32-bit numbers, kept from block to block of a task."""
 
     def __init__(self, path: str, pattern: str):
         self.merges, self.pattern = Merges(read_ranks(path)), regex.compile(pattern)
-        self.ranks = self.merges.ranks
-        self.known: dict[str, list[int]] = {}
+        self.tokens = {w: r.to_bytes(4, "little") for w, r in self.merges.ranks.items()}
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, parts: set[str]) -> None:
         """A word that is a token itself is that token; the others are replayed."""
         if len(self.known) > KNOWN_PARTS:
             self.known.clear()
-        new = {p: [w.encode() for w in cut_part(p, self.pattern, [])] for p in parts if p not in self.known}
-        words = sorted({w for ws in new.values() for w in ws if w not in self.ranks})
-        ids = dict(zip(words, replay(words, self.merges), strict=True))
-        for p, ws in new.items():
-            self.known[p] = list(chain.from_iterable(ids[w] if w in ids else (self.ranks[w],) for w in ws))
+        if len(self.words) > KNOWN_PARTS:
+            self.words.clear()
+        tokens, known = self.tokens, self.words
+        cut = [(p, [w.encode() for w in cut_part(p, self.pattern, [])]) for p in parts if p not in self.known]
+        new = list({w for _, ws in cut for w in ws if w not in tokens and w not in known})
+        known.update(zip(new, replay(new, self.merges), strict=True))
+        for p, ws in cut:
+            self.known[p] = b"".join([tokens[w] if w in tokens else known[w] for w in ws])
 
     def encode(self, text: str) -> list[np.ndarray]:
         """Ids of one text, block by block."""
@@ -184,12 +192,12 @@ class _Block:
 
     def ids(self, parts: list[str]) -> np.ndarray:
         try:
-            return np.fromiter(chain.from_iterable(map(self.known.__getitem__, parts)), np.int32)
+            return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<i4")
         except KeyError:
             self.learn(set(parts))
         if missing := {p for p in parts if p not in self.known}:
             self.learn(missing)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, parts)), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<i4")
 
 
 def encode(sets: DataFrame, ranks_path: str, pattern: str, key: str = "name", text: str = "description") -> DataFrame:
