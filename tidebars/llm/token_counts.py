@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -62,11 +63,19 @@ def _frequencies(rows: Iterator[tuple[int, str]], cut) -> tuple[list[str], np.nd
     return list(words), code >> 16, code & 0xFFFF, total
 
 
+def _packed_head(keys: pa.Array, sizes: pa.Array) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([keys, sizes], names=["key", "n_bytes"])
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str]) -> Iterator[pa.RecordBatch]:
     """Blocks: a row with the keys and sizes of their texts (under a word of its own, so
     such rows spread), and a row for each word."""
     rx = regex.compile(pattern)
-    names = ["word", "base", "entries", "keys", "sizes"]
+    names = ["word", "base", "head", "entries"]
     base = TaskContext.get().partitionId() << 20
     for b in batches:
         at = 0
@@ -79,10 +88,9 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
                 stop += 1
             rows = ((i - at, b.column(1)[i].as_py()) for i in range(at, stop))
             words, word, row, n = _frequencies(rows, lambda p: cut_part(p, rx, special))
-            one = pa.array([0, stop - at], pa.int32())
-            keys = pa.ListArray.from_arrays(one, b.column(0).slice(at, stop - at))
-            yield pa.RecordBatch.from_arrays([pa.array([f"\0{base}"]), pa.array([base]), pa.nulls(1, pa.binary()), keys,
-                                              pa.ListArray.from_arrays(one, pa.array(sizes, pa.int64()))], names=names)
+            # Keys and sizes are packed: columns of lists are slow to pass on row by row.
+            head = _packed_head(b.column(0).slice(at, stop - at), pa.array(sizes, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([f"\0{base}"]), pa.array([base]), pa.array([True]), pa.array([head], pa.binary())], names=names)
             own, base, at = base, base + 1, stop
             if not words:
                 continue
@@ -95,10 +103,10 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
             lists = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(entries.tobytes())])
             for start in range(0, len(words), 20_000):
                 w = pa.array(words[start:start + 20_000], pa.string())
-                yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), own)), lists.slice(start, len(w)), pa.nulls(len(w), keys.type), pa.nulls(len(w), pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), own)), pa.array(np.zeros(len(w), bool)), lists.slice(start, len(w))], names=names)
 
 
-_PASSED = ["base", "entries", "keys", "sizes"]
+_PASSED = ["base", "head", "entries"]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
@@ -109,21 +117,20 @@ def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int
     last, known = None, 0
     rows, sums, held = [], [], 0
 
-    def told(types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def told() -> Iterator[pa.RecordBatch]:
         code, back = np.unique(np.concatenate(rows), return_inverse=True)
         out = np.empty(len(code), _SUM)
         out["row"], out["n"] = code & 0xFFFF, np.bincount(back, np.concatenate(sums), len(code))
         bases, first = np.unique(code >> 16, return_index=True)
         lists = [out[a:z].tobytes() for a, z in zip(first, [*first[1:], len(code)], strict=True)]
         n = len(bases)
-        yield pa.RecordBatch.from_arrays([pa.array(bases), pa.array(lists, pa.binary()), pa.nulls(n, types.field("keys").type), pa.nulls(n, types.field("sizes").type)], names=_PASSED)
+        yield pa.RecordBatch.from_arrays([pa.array(bases), pa.array(np.zeros(n, bool)), pa.array(lists, pa.binary())], names=_PASSED)
 
     for b in batches:
-        types = b.schema
-        heads = b.filter(b.column(3).is_valid())
+        heads = b.filter(b.column(2))
         if len(heads):
             yield pa.RecordBatch.from_arrays(heads.columns[1:], names=_PASSED)
-        b = b.filter(b.column(2).is_valid())
+        b = b.filter(pc.invert(b.column(2)))
         if not len(b):
             continue
         coded = b.column(0).dictionary_encode()
@@ -135,17 +142,17 @@ def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int
         last = b.column(0)[-1].as_py()
         known = pieces[last]
         each = np.array([pieces[w] for w in words], np.float64)[coded.indices.to_numpy()]
-        lists = b.column(2)
+        lists = b.column(3)
         sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1]) // _ENTRY.itemsize
         e = np.frombuffer(b"".join(lists.to_pylist()), _ENTRY)
         rows.append((np.repeat(b.column(1).to_numpy(), sizes) << 16) | e["row"])
         sums.append(e["n"] * np.repeat(each, sizes))
         held += len(e)
         if held > limit:
-            yield from told(types)
+            yield from told()
             rows, sums, held = [], [], 0
     if held:
-        yield from told(types)
+        yield from told()
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +164,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for i in range(len(b)):
-            if b.column(2)[i].is_valid:
+            if b.column(1)[i].as_py():
                 if keys is not None:
                     yield told()
-                keys, sizes = b.column(2)[i].values, b.column(3)[i].values
+                keys, sizes = pa.ipc.open_stream(b.column(2)[i].as_buffer()).read_next_batch().columns
                 total = np.zeros(len(keys), np.int64)
             else:
-                e = np.frombuffer(b.column(1)[i].as_buffer(), _SUM)
+                e = np.frombuffer(b.column(2)[i].as_buffer(), _SUM)
                 np.add.at(total, e["row"], e["n"].astype(np.int64))
     if keys is not None:
         yield told()
@@ -182,13 +189,10 @@ def count_tokens(sets: DataFrame, tokenizer_path: str, pattern: str, key: str =
     """
     special = [t.content for t in Tokenizer.from_file(tokenizer_path).get_added_tokens_decoder().values()]
     rows = keyed_texts(sets, key, text)
-    keys = T.ArrayType(rows.schema["key"].dataType)
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("base", T.LongType()), T.StructField("entries", T.BinaryType()),
-                           T.StructField("keys", keys), T.StructField("sizes", T.ArrayType(T.LongType()))])
-    blocks = rows.mapInArrow(lambda b: _postings(b, pattern, special), schema)
+    blocks = rows.mapInArrow(lambda b: _postings(b, pattern, special), "word string, base long, head boolean, entries binary")
     # A word's rows of all blocks lie together, so its count joins them without another shuffle.
     sums = blocks.repartition("word").sortWithinPartitions("word").mapInArrow(
-        lambda b: _counted(b, tokenizer_path), T.StructType(schema.fields[1:]))
+        lambda b: _counted(b, tokenizer_path), "base long, head boolean, entries binary")
     out = T.StructType([rows.schema["key"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    done = sums.repartition("base").sortWithinPartitions("base", F.col("keys").isNull()).mapInArrow(_unpacked, out)
+    done = sums.repartition("base").sortWithinPartitions("base", F.desc("head")).mapInArrow(_unpacked, out)
     return done.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
