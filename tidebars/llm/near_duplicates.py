@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -230,11 +230,11 @@ def near_duplicates(sets: DataFrame, key: str = "name", text: str = "description
     return prints.join(named, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component")
 
 
-def keep_one(sets: DataFrame, key: str = "name", text: str = "description", **options) -> DataFrame:
-    """``sets`` with one row of each class: the one with the smallest key, then the
-    smallest hash of its text; of rows with equal keys and texts any one."""
+def keep_one(sets: DataFrame, key: str = "name", text: str = "description", find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """``sets`` with one row of each class that ``find`` gives: the one with the smallest
+    key, then the smallest hash of its text; of rows with equal keys and texts any one."""
     identity = F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(text_column(text)).alias("hash"))
-    found = near_duplicates(sets.select(identity.alias("name"), text_column(text).alias("description")), **options)
+    found = find(sets.select(identity.alias("name"), text_column(text).alias("description")), **options)
     stay = found.where(F.col("name") == F.col("component")).select(
         F.col("name.key").alias("_stay_key"), F.col("name.hash").alias("_stay_hash")).distinct()
     rows = sets.select(F.struct(*[F.col(f"`{c}`") for c in sets.columns]).alias("row"), F.col(f"`{key}`").alias("_key"), F.xxhash64(text_column(text)).alias("_hash"))
