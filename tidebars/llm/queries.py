@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import byte_pairs, language_model, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, token_counts
+from tidebars.llm import byte_pairs, language_model, manifest, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, texts, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,59 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("name").cast("string")) % 10 == 0
     return language_model.score_sets(noted(spark, sf_dir), held_out).withColumnRenamed("name", "doc_id")
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", texts.UPPER, texts.LOWER)).otherwise(F.col("text"))
+    # Only leaves that tampering changes are carried beside the own ones.
+    shown = F.when(~lower.eqNullSafe(F.col("text")), manifest.leaf_digest([*fields[:-1], lower]))
+    told = manifest.merkle_manifest(docs.withColumn("shown", shown), fields, ["source"], ["doc_id"], ["doc_id", "shown"])
+    told = told.withColumn("folded_root", manifest.folded_root(F.coalesce("row.shown", "leaf"), "path"))
+    return told.select("row.doc_id", "leaf", "subroot", "root", manifest.proof_digest("path").alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _merkle_sql(levels: int = 7, upper: int = 4) -> str:
+    """The trees level by level: enough levels for 16**7 leaves a source."""
+    def tree(name: str, depth: int) -> str:
+        out = ""
+        for k in range(depth):
+            out += f"""
+, {name}r{k} AS (SELECT tree, pos // 16 AS run, any_value(n) AS n, string_agg(h, '' ORDER BY pos) AS kids FROM {name}{k} GROUP BY tree, pos // 16)
+, {name}{k + 1} AS (SELECT tree, run AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN kids ELSE sha256(kids) END AS h FROM {name}r{k})"""
+        return out
+
+    def fold(source: str, name: str, table: str, depth: int, at: str) -> str:
+        out, last = "", source
+        for k in range(depth):
+            left, right = f"left(kids, CAST(64 * (s.{at} % 16) AS INT))", f"substr(kids, CAST(64 * (s.{at} % 16) + 65 AS INT))"
+            out += f"""
+, {name}{k} AS (SELECT s.* REPLACE (CASE WHEN r.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof,
+    CASE WHEN r.n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded, s.{at} // 16 AS {at})
+    FROM {last} s JOIN {table}r{k} r ON r.tree = s.{'tree' if at == 'pos' else 'zero'} AND r.run = s.{at} // 16)"""
+            last = f"{name}{k}"
+        return out
+
+    told = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    bits = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    crc = (f"list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, c: "
+           f"list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: {bits}, xor(x, c)), CAST(4294967295 AS BIGINT))")
+    same, own = "".join(f" || {told(c)}" for c in ("source", "lang", "n_chars"))[4:], "text"
+    lower = f"translate(text, '{texts.UPPER}', '{texts.LOWER}')"
+    return f"""
+WITH d AS (SELECT *, xor({crc}, 4294967295) % 5 = 0 AS tampered FROM documents)
+, e AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+    sha256({told('doc_id')} || {same} || {told(own)}) AS h,
+    sha256({told('doc_id')} || {same} || CASE WHEN tampered THEN {told(lower)} ELSE {told(own)} END) AS shown FROM d)
+, a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS pos FROM e){tree('a', levels)}
+, b0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM a{levels}){tree('b', upper)}
+, s AS (SELECT doc_id, h AS leaf, tree, tree AS above, 0 AS zero, pos, shown AS folded, '' AS proof FROM a0){fold('s', 'f', 'a', levels, 'pos')}{fold(f'f{levels - 1}', 'g', 'b', upper, 'above')}
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.h AS verified
+FROM g{upper - 1} g JOIN a{levels} t ON t.tree = g.tree CROSS JOIN b{upper} u
+"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
