@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import byte_pairs, language_model, manifest, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, texts, token_counts
+from tidebars.llm import alignment, byte_pairs, language_model, manifest, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, texts, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +215,9 @@ FROM g{upper - 1} g JOIN a{levels} t ON t.tree = g.tree CROSS JOIN b{upper} u
 
 
 ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+@register
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(noted(spark, sf_dir), byte_path, piece_path).withColumnRenamed("name", "doc_id")
