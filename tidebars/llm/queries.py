@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import alignment, byte_pairs, language_model, manifest, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, texts, token_counts
+from tidebars.llm import alignment, byte_pairs, language_id, language_model, manifest, near_duplicates, nearest, packing, page_text, quality, revisits, secrets, texts, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +221,12 @@ ORACLES["op11_merkle_manifest"] = _merkle_sql()
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align_tokenizers(noted(spark, sf_dir), byte_path, piece_path).withColumnRenamed("name", "doc_id")
+
+
+@register
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = docs.select(F.col("doc_id").alias("name"), F.col("text").alias("description"), F.col("lang").alias("category"))
+    held_out = F.coalesce(F.crc32(F.col("name").cast("string")) % 4 == 2, F.lit(False))
+    told = language_id.identify(sets, language_id.train(sets, ~held_out))
+    return told.select(F.col("name").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score")
