@@ -1,16 +1,12 @@
-import itertools
-
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidebars.llm.near_duplicates import fingerprint
 from tidebars.llm.quality import quality_report
 from tidebars.llm.secrets import find_secrets, labelled_samples, train
 
-from .helpers import classes_of
 from .test_packing import check, first_fit
+from .test_similar_sets import plain_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,9 +15,8 @@ def test_pipeline_against_plain_steps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     verdict = {r["doc_id"]: r["kept"] for r in quality_report(docs, "doc_id", "text").collect()}
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if verdict[r["doc_id"]])
-    prints = [fingerprint(t or "") for _, t in rows]
-    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if int(np.bitwise_count(np.uint64((prints[i] ^ prints[j]) & (2**64 - 1)))) <= 2]
-    rows = [r for i, r in enumerate(rows) if classes_of(len(rows), near)[i] == i]
+    found = plain_classes([t for _, t in rows])[0]
+    rows = [r for i, r in enumerate(rows) if found[i] == i]
     left = spark.createDataFrame(rows, "name long, description string")
     spans = {r["name"]: sorted([*r["base_spans"], *r["added_spans"]]) for r in find_secrets(left, table=train(labelled_samples(left))).collect()}
     masked = []
