@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from tidebars.sources.storage import materialize
 
 # Characters of a block, whose linked id pairs are counted together; parts remembered.
 BLOCK_CHARS = 1 << 24
-KEPT_PARTS = 100_000
+KEPT_PARTS = 150_000
 # A part ends where a character other than white space meets a space: neither tokenizer
 # has a token across such a place, so what it gives for a part depends on the part alone.
 _WHITE = SPACES.replace(" ", "")
@@ -49,27 +51,28 @@ def align(a: list[int], a_sizes: Iterable[int], b: list[int], b_sizes: Iterable[
 
     Ends of tokens are looked up by byte offset; offsets that both lists have cut them
     into groups, and within a group every pair of tokens that share a byte is a link."""
-    ends_a, ends_b, at = {}, {}, 0
-    for i, size in enumerate(a_sizes):
-        at += size
-        ends_a[at] = i + 1
-    at = 0
-    for i, size in enumerate(b_sizes):
-        at += size
-        ends_b[at] = i + 1
+    ends_a = dict(zip(accumulate(a_sizes), range(1, len(a) + 1), strict=True))
+    ends_b = dict(zip(accumulate(b_sizes), range(1, len(b) + 1), strict=True))
     groups, links, i, j = [], [], 0, 0
-    tops_a, tops_b = list(ends_a), list(ends_b)
     for end in sorted(ends_a.keys() & ends_b.keys()):
-        to_i, to_j = ends_a[end], ends_b[end]
-        groups.append((a[i:to_i], b[j:to_j]))
-        while i < to_i and j < to_j:
-            links.append((a[i], b[j]))
-            x, y = tops_a[i], tops_b[j]
-            i, j = i + (x <= y), j + (y <= x)
-        i, j = to_i, to_j
+        ids_a, ids_b = a[i:ends_a[end]], b[j:ends_b[end]]
+        groups.append((ids_a, ids_b))
+        if len(ids_a) == 1 or len(ids_b) == 1:
+            links += product(ids_a, ids_b)
+        else:
+            tops_a, tops_b, x, y = _tops(ends_a, i, len(ids_a)), _tops(ends_b, j, len(ids_b)), 0, 0
+            while x < len(ids_a) and y < len(ids_b):
+                links.append((ids_a[x], ids_b[y]))
+                p, q = tops_a[x], tops_b[y]
+                x, y = x + (p <= q), y + (q <= p)
+        i, j = ends_a[end], ends_b[end]
     return groups, links
 
 
+def _tops(ends: dict[int, int], first: int, count: int) -> list[int]:
+    return list(islice(ends, first, first + count))
+
+
 class _Aligner:
     """Parts with their ids, groups and links by two vocabulary files. Parts repeat, so
     each is encoded once as long as it is remembered."""
@@ -79,8 +82,12 @@ class _Aligner:
         self.tokens.encode_special_tokens = True
         self.pieces = SentencePieceProcessor(model_file=piece_path)
         spelled = _byte_of()
-        self.bytes_a = {i: bytes(spelled[c] for c in s) for s, i in self.tokens.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.tokens.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(vocabulary.values(), default=0) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(spelled[c] for c in token)
         self.bytes_b = _piece_bytes(self.pieces)
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.lead = self.pieces.encode("a")
         self.shift = shift
         self.known: dict[str, tuple | None] = {}
@@ -93,16 +100,16 @@ class _Aligner:
         encoded = self.tokens.encode_batch(new, add_special_tokens=False)
         # The model puts a space of its own before a text; a letter takes it up.
         pieces = self.pieces.encode(["a" + p for p in new], num_threads=1) if new else []
-        n = len(self.lead)
+        n, name = len(self.lead), self.names.__getitem__
         for part, e, ids in zip(new, encoded, pieces, strict=True):
             a, b, want = e.ids, ids[n:], part.encode()
-            of_a, of_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
+            of_a, of_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
             if ids[:n] != self.lead or b"".join(of_a) != want or b"".join(of_b) != want:
                 self.known[part] = None
                 continue
             groups, links = align(a, map(len, of_a), b, map(len, of_b))
-            said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            codes = np.array([x << self.shift | y for x, y in links], np.uint64).astype("<u8").tobytes()
+            said = ";".join([f"{','.join(map(name, x))}|{','.join(map(name, y))}" for x, y in groups])
+            codes = array("Q", [x << self.shift | y for x, y in links]).tobytes()
             self.known[part] = (len(a), len(b), len(groups), said, codes)
 
     def text(self, parts: list[str]) -> tuple[int, int, int, str, bytes]:
