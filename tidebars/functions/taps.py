@@ -21,10 +21,6 @@ def centred(kernel: np.ndarray) -> dict[int, float]:
     return {ahead - m: float(k) for m, k in enumerate(kernel)}
 
 
-def mean_taps(window: int) -> dict[int, float]:
-    return centred(np.full(window, 1.0 / window))
-
-
 def linear_taps(window: int, newest: bool = False) -> dict[int, float]:
     """Linear weights; by default the oldest sample is the heaviest."""
     ramp = np.arange(1, window + 1, dtype=float)
@@ -105,6 +101,8 @@ def kalman_gains(q: float, r: float, dt: float = 1.0, model: str = "piecewise",
         gains.append(gain)
         if len(gains) > 1 and np.abs(gains[-1] - gains[-2]).max() <= tol:
             break
+    else:
+        raise ValueError(f"the gains for Q={q}, R={r} don't settle within {most} rows")
     closed = (np.eye(2) - np.outer(gains[-1], [1.0, 0.0])) @ step
     return np.array(gains), float(np.abs(np.linalg.eigvals(closed)).max())
 

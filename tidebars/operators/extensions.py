@@ -4,16 +4,16 @@ walk-forward windows, bootstrap paths."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebars.functions import taps as K
+from tidebars.functions.recurrence import BLOCK, Recurrence, second_order
 from tidebars.functions.scalars import start_of
-from tidebars.operators.filters import ema_scan, ema_series
+from tidebars.operators.filters import ema_scan, ema_series, per_chunk
 from tidebars.operators.series import CHUNK_ROWS, chunked, core_rows
 from tidebars.schema import KEYS
 
@@ -39,30 +39,56 @@ def tema(df: DataFrame, span: int, x: str = "close", out: str = "tema", keys: Se
     return e.withColumn(out, 3.0 * F.col("_e1") - 3.0 * F.col("_e2") + F.col("_e3")).drop("_e1", "_e2", "_e3")
 
 
+@lru_cache(64)
+def _hp_factors(lamb: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors d, l1, l2 of I + lamb D'D = L d L' from the first row on, until they stop
+    changing; they hold up to the last rows of a series of any length."""
+    d, l1, l2, main = [], [], [], (1.0 + lamb, 1.0 + 5.0 * lamb, 1.0 + 6.0 * lamb)
+    while len(d) < 3 or max(abs(d[-1] / d[-2] - 1.0), abs(l1[-1] - l1[-2]), abs(l2[-1] - l2[-2])) > 1e-15:
+        i = len(d)
+        if i > 1_000_000:
+            raise ValueError(f"the factors for {lamb} don't settle within a million rows")
+        d.append(main[min(i, 2)] - (l1[i - 1] ** 2 * d[i - 1] if i else 0.0) - (l2[i - 2] ** 2 * d[i - 2] if i > 1 else 0.0))
+        l1.append(((-4.0 if i else -2.0) * lamb - (l1[i - 1] * d[i - 1] * l2[i - 1] if i else 0.0)) / d[i])
+        l2.append(lamb / d[i])
+    return np.array(d), np.array(l1), np.array(l2)
+
+
+@lru_cache(64)
+def _hp_sweeps(lamb: float) -> tuple[Recurrence, Recurrence, Recurrence]:
+    """Down the rows, up the rows where factors have settled, up the first rows."""
+    _, l1, l2 = _hp_factors(lamb)
+    down = second_order(np.r_[0.0, l1], np.r_[0.0, 0.0, l2[:-1]])
+    return down, second_order(l1[-1:], l2[-1:]), second_order(l1[::-1], l2[::-1])
+
+
 def _trend(y: np.ndarray, lamb: float) -> np.ndarray:
-    """Solve (I + lamb D'D) t = y; the matrix has two bands on either side, so
-    an LDL' sweep over the rows is enough."""
+    """Solve (I + lamb D'D) t = y: two bands on either side, so a sweep down and one up
+    the rows, each a recurrence of second order."""
     n = len(y)
-    if n < 3:
-        return y.copy()
-    main, one, two = np.ones(n), np.zeros(n), np.zeros(n)
-    for offset, weight in ((0, 1.0), (1, 4.0), (2, 1.0)):
-        main[offset:n - 2 + offset] += lamb * weight
-    one[0:n - 2] += -2.0 * lamb
-    one[1:n - 1] += -2.0 * lamb
-    two[0:n - 2] += lamb
-    d, l1, l2, z = np.zeros(n), np.zeros(n), np.zeros(n), y.astype(float).copy()
-    for i in range(n):
-        d[i] = main[i] - (l1[i - 1] ** 2 * d[i - 1] if i >= 1 else 0.0) - (l2[i - 2] ** 2 * d[i - 2] if i >= 2 else 0.0)
-        l1[i] = (one[i] - (l1[i - 1] * d[i - 1] * l2[i - 1] if i >= 1 else 0.0)) / d[i]
-        l2[i] = two[i] / d[i]
-        if i >= 1:
-            z[i] -= l1[i - 1] * z[i - 1]
-        if i >= 2:
-            z[i] -= l2[i - 2] * z[i - 2]
+    if n < 3 or np.isnan(y).any():
+        return y.copy() if n < 3 else np.full(n, np.nan)
+    if n <= BLOCK:
+        bend = np.diff(np.eye(n), 2, axis=0)
+        return np.linalg.solve(np.eye(n) + lamb * bend.T @ bend, y)
+    factors = _hp_factors(lamb)
+    settled = len(factors[0])
+    d, l1, l2 = (f[np.minimum(np.arange(n), settled - 1)] for f in factors)
+    # The two last rows have weights of their own.
+    d[-2] = 1.0 + 5.0 * lamb - l1[-3] ** 2 * d[-3] - l2[-4] ** 2 * d[-4]
+    l1[-2] = (-2.0 * lamb - l1[-3] * d[-3] * l2[-3]) / d[-2]
+    d[-1] = 1.0 + lamb - l1[-2] ** 2 * d[-2] - l2[-3] ** 2 * d[-3]
+    down, up, up_first = _hp_sweeps(lamb)
+    z = np.empty(n)
+    z[:-1] = down.solve(y[:-1], (0.0, 0.0))
+    z[-1] = y[-1] - l1[-2] * z[-2] - l2[-3] * z[-3]
     z /= d
-    for i in range(n - 2, -1, -1):
-        z[i] -= l1[i] * z[i + 1] + (l2[i] * z[i + 2] if i + 2 < n else 0.0)
+    z[-2] -= l1[-2] * z[-1]
+    top = n - 2
+    if top > settled:
+        z[settled:top] = up.solve(z[settled:top][::-1], (z[top], z[top + 1]))[::-1]
+        top = settled
+    z[:top] = up_first.solve(z[:top][::-1], (z[top], z[top + 1]), settled - top)[::-1]
     return z
 
 
@@ -79,13 +105,7 @@ def hp_filter(df: DataFrame, lamb: float = 1600.0, x: str = "close", keys: Seque
     a halo of ``hp_reach`` rows makes every chunk exact to rounding."""
     reach = hp_reach(lamb)
     cut = chunked(df, reach, reach, chunk_rows)
-    schema = T.StructType([*cut.schema.fields, T.StructField("trend", T.DoubleType())])
-
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        return pdf.assign(trend=_trend(pdf[x].to_numpy(dtype=float), lamb))
-
-    out = cut.groupBy(*keys, "chunk").applyInPandas(per_chunk, schema)
+    out = per_chunk(cut, keys, x, "trend", lambda idx, n, y: _trend(y, lamb))
     return core_rows(out).withColumn("cycle", F.col(x) - F.col("trend"))
 
 

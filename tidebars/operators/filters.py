@@ -11,14 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebars.functions import taps as K
+from tidebars.functions.recurrence import Recurrence, second_order
 from tidebars.functions.scalars import known
 from tidebars.operators.lowess import lowess
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, chunked, core_rows, in_chunk, scan
@@ -270,24 +272,27 @@ def _ema(cut, keys, x, out, p, edge):
     return ema_scan(cut, keys, x, out, smoothing_factor(p))
 
 
+@lru_cache(64)
+def _tracker(q: float, r: float, dt: float, model: str) -> Recurrence:
+    gains = K.kalman_gains(q, r, dt, model)[0]
+    ahead = np.array([[1.0, dt], [0.0, 1.0]])
+    return Recurrence(ahead - gains[:, :, None] * ahead[0], gains)
+
+
 def _kalman(p):
     model = p.get("model", "piecewise")
-    dt = float(p.get("dt", 1.0))
-    gains = K.kalman_gains(float(p["Q"]), float(p["R"]), dt, model)[0].tolist()
+    settings = float(p["Q"]), float(p["R"]), float(p.get("dt", 1.0)), model
     # all but the first model hand the first value out as it is
     late = 0 if model == "piecewise" else 1
 
     def run(idx: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
-        pos, vel, last, y = float(x[0]), 0.0, len(gains) - 1, []
-        for step, value in enumerate(x.tolist(), int(idx[0]) - late):
-            if step >= 0:
-                to_pos, to_vel = gains[step if step < last else last]
-                pos += dt * vel
-                miss = value - pos
-                pos += to_pos * miss
-                vel += to_vel * miss
-            y.append(pos)
-        return np.array(y)
+        y, step = np.full(len(x), np.nan), int(idx[0]) - late
+        seen = int(np.isnan(x).argmax()) if np.isnan(x).any() else len(x)
+        skip = 1 if step < 0 else 0
+        y[:min(skip, seen)] = x[:min(skip, seen)]
+        if seen > skip:
+            y[skip:seen] = _tracker(*settings).solve(x[skip:seen], (float(x[0]), 0.0), step + skip)
+        return y
 
     return run
 
@@ -301,20 +306,19 @@ def _sections(p):
     return K.butterworth_sections(int(p["order"]), float(p["cutoff"]) / 0.5)
 
 
+@lru_cache(256)
+def _section(a1: float, a2: float) -> Recurrence:
+    return second_order(np.array([a1]), np.array([a2]))
+
+
 def _run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cascade in one direction, started in the steady state of x[0]."""
-    y = x.tolist()
     for b0, b1, b2, a1, a2 in sections.tolist():
         # every section has unit gain at zero, so the level x[0] passes through
-        level = y[0]
-        z2 = (b2 - a2) * level
-        z1 = (b1 - a1) * level + z2
-        for i, v in enumerate(y):
-            u = b0 * v + z1
-            z1 = b1 * v - a1 * u + z2
-            z2 = b2 * v - a2 * u
-            y[i] = u
-    return np.array(y)
+        level = float(x[0])
+        before = np.concatenate([[level, level], x])
+        x = _section(a1, a2).solve(b0 * x + b1 * before[1:-1] + b2 * before[:-2], (level, level))
+    return x
 
 
 def butterworth_pad(order: int) -> int:
@@ -388,15 +392,19 @@ def filter_reach(filter_id: str, params: dict | None = None, edge: str | None =
     return spec.reach(_repaired(filter_id, params), edge or "zero")
 
 
-def _grouped(cut: DataFrame, keys: Sequence[str], x: str, out: str, run: Callable) -> DataFrame:
+def per_chunk(cut: DataFrame, keys: Sequence[str], x: str, out: str, run: Callable) -> DataFrame:
+    """A column that ``run`` computes from the arrays (idx, n, x) of each chunk."""
     schema = T.StructType([*cut.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        values = pdf[x].to_numpy(dtype=float)
-        return pdf.assign(**{out: run(pdf["idx"].to_numpy(), int(pdf["n"].iloc[0]), values)})
+    def each(rows: pa.Table) -> pa.Table:
+        idx = rows.column("idx").to_numpy()
+        if (idx[1:] < idx[:-1]).any():
+            rows = rows.take(pa.array(np.argsort(idx, kind="stable")))
+            idx = rows.column("idx").to_numpy()
+        y = run(idx, rows.column("n")[0].as_py(), rows.column(x).to_numpy().astype(float))
+        return rows.append_column(out, pa.array(y, pa.float64(), from_pandas=True))
 
-    return cut.groupBy(*keys, "chunk").applyInPandas(per_chunk, schema)
+    return cut.groupBy(*keys, "chunk").applyInArrow(each, schema)
 
 
 def filter_chunks(cut: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",
@@ -408,7 +416,7 @@ def filter_chunks(cut: DataFrame, filter_id: str, params: dict | None = None, x:
         return spec.build(cut, x, out, p, w or in_chunk(keys), edge)
     if spec.kind == "frame":
         return spec.build(cut, keys, x, out, p, edge)
-    return _grouped(cut, keys, x, out, spec.build(p))
+    return per_chunk(cut, keys, x, out, spec.build(p))
 
 
 def apply_filter(df: DataFrame, filter_id: str, params: dict | None = None, x: str = "close",

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,6 +15,7 @@ from tidebars.functions.scalars import clock_micros, start_of
 from tidebars.operators.quality import force_merge, merge_bars
 from tidebars.schema import KEYS
 from tidebars.sources.bars import bar_start, coarser, read_partitioned
+from tidebars.sources.storage import materialize
 
 # Fixed values: (length, offset from the epoch) of the bar windows. The epoch
 # is a Thursday, so Monday weeks are shifted by four days.
@@ -30,6 +31,28 @@ def start(writer, every: str | None = None):
     return writer.trigger(**trigger).start()
 
 
+def replay(table: DataFrame, path: str, order: str = "ts", files: int = 8) -> DataFrame:
+    """A table as a stream: written to ``path`` in ``files`` ranges of ``order``, which are
+    read one a batch in that order. A row whose ``order`` is later than its event time
+    arrives late. The ranges are written side by side; only their files' times, which a file
+    stream goes by, are set one after the other."""
+    spark = table.sparkSession
+    table.repartitionByRange(files, order).write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    newest = max(fs.getFileStatus(p).getModificationTime() for p in parts)
+    for k, part in enumerate(parts):
+        fs.setTimes(part, newest + 1000 * (k - len(parts)), -1)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def batch_count(query) -> int:
+    """Batches of an ended stream that held rows."""
+    return sum(p["numInputRows"] > 0 for p in query.recentProgress)
+
+
 def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "10 minutes", ticker: str = "ticker",
                 ts: str = "ts", price: str = "price", volume: str = "volume", tie: str | None = None) -> DataFrame:
     """Bars of a fixed length from a tick stream; a bar is emitted once the
@@ -145,19 +168,28 @@ def rollup_sink(path: str):
     return write
 
 
-def freeze_partitions(batch: DataFrame, path: str, keys: Sequence[str] = (*KEYS, "idx")) -> None:
-    """Insert predictions whose bar has none yet; the first write wins."""
+def freeze_partitions(batch: DataFrame, path: str, keys: Sequence[str] = (*KEYS, "idx"), part: Column | None = None) -> None:
+    """Insert predictions whose bar has none yet; the first write wins. The store is cut
+    into parts (``part``: an expression over the keys, by default 4,096 bars a part), and of
+    those that the batch touches only the keys are read."""
     keys = list(keys)
     spark = batch.sparkSession
     first = batch.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in batch.columns if c not in keys]), "arrival").alias("_r"))
-    new = first.select(*keys, "_r.*")
+    new = first.select(*keys, "_r.*").withColumn("part", F.floor(F.col("idx") / 4096).cast("long") if part is None else part)
     if _exists(spark, path):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    new.write.mode("append").parquet(path)
+        new = materialize(new, "offered")
+        touched = [r[0] for r in new.select("part").distinct().collect()]
+        new = new.join(frozen_parts(spark, path, touched).select(*keys), keys, "left_anti")
+    new.write.mode("append").partitionBy("part").parquet(path)
+
+
+def frozen_parts(spark: SparkSession, path: str, parts: Sequence) -> DataFrame:
+    """The stored predictions of some parts; the other folders are not read."""
+    return spark.read.parquet(path).where(F.col("part").isin(list(parts)))
 
 
-def freeze_sink(path: str, keys: Sequence[str] = (*KEYS, "idx")):
-    return lambda batch, batch_id: freeze_partitions(batch, path, keys)
+def freeze_sink(path: str, keys: Sequence[str] = (*KEYS, "idx"), part: Column | None = None):
+    return lambda batch, batch_id: freeze_partitions(batch, path, keys, part)
 
 
 def stale_series(bars: DataFrame, as_of: str, limit_seconds: int) -> DataFrame:
@@ -173,26 +205,51 @@ def stream_staleness(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEYS).agg(F.max("ts").alias("ts"))
 
 
+def stale_alerts(bars: DataFrame, limit: str = "5 minutes") -> DataFrame:
+    """A row (``ticker, timeframe, last_ts``) for every series from which nothing has come
+    for ``limit`` on the clock, while the stream runs; after its next bar a series can fall
+    silent anew. State: the newest stamp and a timer."""
+    wait = int(pd.Timedelta(limit).total_seconds() * 1000)
+
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            last = pd.Timestamp(state.get[0])
+            state.remove()
+            yield pd.DataFrame([(*key, last)], columns=["ticker", "timeframe", "last_ts"])
+            return
+        newest = max(pdf["ts"].max().value for pdf in frames)
+        state.update((max(newest, state.get[0]) if state.exists else newest,))
+        state.setTimeoutDuration(wait)
+
+    return bars.groupBy(*KEYS).applyInPandasWithState(
+        step, "ticker string, timeframe string, last_ts timestamp_ntz", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 GRADIENT_SCHEMA = "ticker string, timeframe string, ts timestamp_ntz, v double, a double"
 SIGNAL_SCHEMA = ("ticker string, timeframe string, ts timestamp_ntz, filtered double, kalman double, v double, "
                  "a double, mu double, sigma double, sig int, dur int")
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of one series in one micro-batch, by time."""
-    return pd.concat(list(frames)).sort_values("ts")
+    """Rows of one series in one micro-batch, by time, then by a column ``arrival`` if there is one."""
+    rows = pd.concat(list(frames))
+    return rows.sort_values(["ts", "arrival"] if "arrival" in rows.columns else ["ts"], kind="stable")
 
 
 def stream_gradient(bars: DataFrame, x: str = "close") -> DataFrame:
     """Velocity and acceleration of the last closed bar, once three bars are
-    known. The newest bar counts as open and is left out. State: three values."""
+    known. The newest bar counts as open and is left out; a bar with the newest stamp takes
+    its place, an older one comes too late and is left out. State: four values and a stamp."""
 
     def step(key, frames, state: GroupState):
-        past = list(state.get[0]) if state.exists else []
+        past, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         rows = []
         pdf = _in_order(frames)
         for ts, value in zip(pdf["ts"], pdf[x]):
-            past = [*past, float(value)][-4:]
+            if last is not None and ts.value <= last:
+                past[-1] = float(value) if ts.value == last else past[-1]
+                continue
+            past, last = [*past, float(value)][-4:], ts.value
             if len(past) < 3:
                 continue
             closed = past[:-1]
@@ -200,11 +257,11 @@ def stream_gradient(bars: DataFrame, x: str = "close") -> DataFrame:
             # one closed bar before: one-sided slope, two before: central slope
             before = v if len(closed) == 2 else (closed[-1] - closed[-3]) / 2.0
             rows.append((*key, ts, v, v - before))
-        state.update((past,))
+        state.update((past, last))
         yield pd.DataFrame(rows, columns=["ticker", "timeframe", "ts", "v", "a"])
 
     return bars.groupBy(*KEYS).applyInPandasWithState(
-        step, GRADIENT_SCHEMA, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+        step, GRADIENT_SCHEMA, "past array<double>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 class SignalState:
@@ -261,18 +318,21 @@ class SignalState:
 def stream_signal(bars: DataFrame, ema_span: int = 10, span: int = 60, k_eps: float = 0.15, sigma_min: float = 0.05,
                   q: float = 0.01, r: float = 1.0, x: str = "close") -> DataFrame:
     """Causal smoothing (EMA and Kalman), backward slopes and trigger, one row
-    per arriving bar; bars of a series must arrive in time order."""
+    per arriving bar. A bar that is not newer than what the series has had comes too late
+    and is left out."""
     keep, alpha = 1.0 - 2.0 / (ema_span + 1.0), 2.0 / (span + 1.0)
 
     def step(key, frames, state: GroupState):
-        s = SignalState(tuple(state.get) if state.exists else None)
+        *past, last = tuple(state.get) if state.exists else (None,)
+        s = SignalState(tuple(past) if state.exists else None)
         rows = []
         pdf = _in_order(frames)
         for ts, value in zip(pdf["ts"], pdf[x]):
-            if not np.isnan(value):
+            if not np.isnan(value) and (last is None or ts.value > last):
+                last = ts.value
                 rows.append((*key, ts, *s.push(float(value), keep, alpha, k_eps, sigma_min, q, r)))
-        state.update(s.values())
+        state.update((*s.values(), last))
         yield pd.DataFrame(rows, columns=["ticker", "timeframe", "ts", "filtered", "kalman", "v", "a", "mu", "sigma", "sig", "dur"])
 
     return bars.groupBy(*KEYS).applyInPandasWithState(
-        step, SIGNAL_SCHEMA, SignalState.SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        step, SIGNAL_SCHEMA, f"{SignalState.SCHEMA}, last long", "append", GroupStateTimeout.NoTimeout)
