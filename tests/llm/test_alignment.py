@@ -81,7 +81,7 @@ def test_long_text(spark):
     r = m.align_tokenizers(spark.createDataFrame([("a", " ".join([part] * 30_000))], "name string, description string"), A_PATH, B_PATH).first()
     assert [r[c] for c in COLUMNS[:4]] == [30_000 * n for n in once[:4]]
     assert r["count_sum"] >= 30_000 * r["n_best"] > 0
-    assert m.align([1, 2], [2, 3], [7, 8, 9], [1, 3, 1]) == ([([1, 2], [7, 8, 9])], [(1, 7), (1, 8), (2, 8), (2, 9)])
+    assert [list(x) for x in m.align([2, 3], [1, 3, 1])] == [[2], [3], [0, 0, 1, 1], [0, 1, 1, 2]]
 
 
 def test_no_rows(spark):

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, islice, product
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,31 +46,20 @@ def _piece_bytes(pieces: SentencePieceProcessor) -> list[bytes]:
             for i in range(len(pieces))]
 
 
-def align(a: list[int], a_sizes: Iterable[int], b: list[int], b_sizes: Iterable[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups and links of two id lists over the same bytes, given the size of each token.
+def align(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Groups and links of two token lists over the same bytes, given the size of each
+    token: where each group ends in either list, and the places of the linked tokens.
 
     Ends of tokens are looked up by byte offset; offsets that both lists have cut them
     into groups, and within a group every pair of tokens that share a byte is a link."""
-    ends_a = dict(zip(accumulate(a_sizes), range(1, len(a) + 1), strict=True))
-    ends_b = dict(zip(accumulate(b_sizes), range(1, len(b) + 1), strict=True))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        ids_a, ids_b = a[i:ends_a[end]], b[j:ends_b[end]]
-        groups.append((ids_a, ids_b))
-        if len(ids_a) == 1 or len(ids_b) == 1:
-            links += product(ids_a, ids_b)
-        else:
-            tops_a, tops_b, x, y = _tops(ends_a, i, len(ids_a)), _tops(ends_b, j, len(ids_b)), 0, 0
-            while x < len(ids_a) and y < len(ids_b):
-                links.append((ids_a[x], ids_b[y]))
-                p, q = tops_a[x], tops_b[y]
-                x, y = x + (p <= q), y + (q <= p)
-        i, j = ends_a[end], ends_b[end]
-    return groups, links
-
-
-def _tops(ends: dict[int, int], first: int, count: int) -> list[int]:
-    return list(islice(ends, first, first + count))
+    ends_a = {end: i for i, end in enumerate(accumulate(a_sizes), 1)}
+    ends_b = {end: j for j, end in enumerate(accumulate(b_sizes), 1)}
+    common = sorted(ends_a.keys() & ends_b.keys())
+    cuts_a, cuts_b = list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
+    # A stretch between neighbouring ends of either list lies in one token of each: a link.
+    tops_a, tops_b = np.array(list(ends_a), np.int64), np.array(list(ends_b), np.int64)
+    every = np.union1d(tops_a, tops_b)
+    return cuts_a, cuts_b, np.searchsorted(tops_a, every), np.searchsorted(tops_b, every)
 
 
 class _Aligner:
@@ -91,33 +80,63 @@ class _Aligner:
         self.lead = self.pieces.encode("a")
         self.shift = shift
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > KEPT_PARTS:
-            self.known = {}
-            new = list(parts)
-        encoded = self.tokens.encode_batch(new, add_special_tokens=False)
+        """Have all of ``parts`` in ``known``. What was not used for long is forgotten."""
+        if len(self.known) > KEPT_PARTS:
+            self.known, self.older = {}, self.known
+        new = []
+        for p in parts:
+            if p not in self.known:
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                else:
+                    new.append(p)
+        # Parts that end in white space end a text: alone they stay what they are.
+        alone = [p for p in new if p[-1] in SPACES or "▁" in p]
+        others = [p for p in new if not (p[-1] in SPACES or "▁" in p)]
+        for at in range(0, len(others), 2000):
+            if not self._encode(others[at:at + 2000]):
+                alone += others[at:at + 2000]
+        for p in alone:
+            if not self._encode([p]):
+                self.known[p] = None
+
+    def _encode(self, parts: list[str]) -> bool:
+        """Learn parts by encoding them in one go; False if a tokenizer changes a byte."""
+        whole = "".join(parts)
         # The model puts a space of its own before a text; a letter takes it up.
-        pieces = self.pieces.encode(["a" + p for p in new], num_threads=1) if new else []
-        n, name = len(self.lead), self.names.__getitem__
-        for part, e, ids in zip(new, encoded, pieces, strict=True):
-            a, b, want = e.ids, ids[n:], part.encode()
-            of_a, of_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
-            if ids[:n] != self.lead or b"".join(of_a) != want or b"".join(of_b) != want:
-                self.known[part] = None
-                continue
-            groups, links = align(a, map(len, of_a), b, map(len, of_b))
-            said = ";".join([f"{','.join(map(name, x))}|{','.join(map(name, y))}" for x, y in groups])
-            codes = array("Q", [x << self.shift | y for x, y in links]).tobytes()
-            self.known[part] = (len(a), len(b), len(groups), said, codes)
+        a, led, n = self.tokens.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.pieces.encode("a" + whole), len(self.lead)
+        b, want = led[n:], whole.encode()
+        bytes_a, bytes_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
+        if led[:n] != self.lead or b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+            return False
+        cuts_a, cuts_b, of_a, of_b = align(map(len, bytes_a), map(len, bytes_b))
+        names_a, names_b = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
+        said = [names_a[i] + "|" + names_b[j] if x - i == y - j == 1 else ",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y])
+                for i, x, j, y in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b, strict=False)]
+        codes = (np.array(a, np.uint64)[of_a] << np.uint64(self.shift) | np.array(b, np.uint64)[of_b]).astype("<u8").tobytes()
+        # Every part ends where tokens of both and a group end.
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        last_a = np.searchsorted(np.cumsum(list(map(len, bytes_a))), ends) + 1
+        groups, links = np.searchsorted(cuts_a, last_a) + 1, np.searchsorted(of_a, last_a)
+        i = g = k = 0
+        for part, x, to_g, to_k in zip(parts, last_a.tolist(), groups.tolist(), links.tolist(), strict=True):
+            self.known[part] = (x - i, ";".join(said[g:to_g]), codes[8 * k:8 * to_k])
+            i, g, k = x, to_g, to_k
+        return True
 
     def text(self, parts: list[str]) -> tuple[int, int, int, str, bytes]:
-        found = [self.known[p] for p in parts]
+        """Tokens of A and of B, groups, their digest and the linked pairs of ids."""
+        found = list(map(self.known.__getitem__, parts))
         if not found or None in found:
             return 0, 0, 0, "", b""
-        n_a, n_b, n_groups, said, codes = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(said).encode()).hexdigest(), b"".join(codes)
+        n_a, said, codes = zip(*found, strict=True)
+        whole, tokens_a = ";".join(said), sum(n_a)
+        groups = whole.count(";") + 1
+        tokens = whole.count(",") + 2 * groups
+        return tokens_a, tokens - tokens_a, groups, hashlib.sha256(whole.encode()).hexdigest(), b"".join(codes)
 
 
 def _counts(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +145,10 @@ def _counts(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, shift: int) -> Iterator[pa.RecordBatch]:
     """A row for every text, and after each block a row for every linked pair of ids."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     work = _Aligner(byte_path, piece_path, shift)
     block, size = TaskContext.get().partitionId() << 20, 0
-    pairs, times, key = np.empty(0, np.uint64), np.empty(0, np.int64), None
+    pairs, times, codes, key = np.empty(0, np.uint64), np.empty(0, np.int64), [], None
     names = ["block", "key", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pair", "n"]
 
     def asked() -> Iterator[pa.RecordBatch]:
@@ -144,19 +164,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str,
 
     for b in batches:
         key = b.column(0).type
-        for at in range(0, len(b), 500):
-            texts = b.column(1).slice(at, 500).to_pylist()
+        for at in range(0, len(b), 200):
+            texts = b.column(1).slice(at, 200).to_pylist()
             cut = [[p for p in _PARTS.findall(" " + t) if p] if t else [] for t in texts]
             work.learn({p for parts in cut for p in parts})
             done = [work.text(parts) for parts in cut]
             columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), b.column(0).slice(at, 500), *columns, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64())], names=names)
-            pairs, times = merged([d[4] for d in done])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), b.column(0).slice(at, 200), *columns, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64())], names=names)
+            codes += [d[4] for d in done]
+            if len(codes) >= 2000:
+                (pairs, times), codes = merged(codes), []
             size += sum(map(len, texts))
             if size > BLOCK_CHARS:
+                (pairs, times), codes = merged(codes), []
                 yield from asked()
                 block, size = block + 1, 0
                 pairs, times = pairs[:0], times[:0]
+    pairs, times = merged(codes)
     yield from asked()
 
 
