@@ -24,7 +24,7 @@ from tidebars.sources.storage import materialize
 
 # Characters of a block, whose linked id pairs are counted together; parts remembered.
 BLOCK_CHARS = 1 << 24
-KEPT_PARTS = 150_000
+KEPT_PARTS = 50_000
 # A part ends where a character other than white space meets a space: neither tokenizer
 # has a token across such a place, so what it gives for a part depends on the part alone.
 _WHITE = SPACES.replace(" ", "")
@@ -66,7 +66,7 @@ class _Aligner:
     """Parts with their ids, groups and links by two vocabulary files. Parts repeat, so
     each is encoded once as long as it is remembered."""
 
-    def __init__(self, byte_path: str, piece_path: str, shift: int):
+    def __init__(self, byte_path: str, piece_path: str, shift: int, code: str):
         self.tokens = Tokenizer.from_file(byte_path)
         self.tokens.encode_special_tokens = True
         self.pieces = SentencePieceProcessor(model_file=piece_path)
@@ -78,7 +78,7 @@ class _Aligner:
         self.bytes_b = _piece_bytes(self.pieces)
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.lead = self.pieces.encode("a")
-        self.shift = shift
+        self.shift, self.code = shift, np.dtype(code)
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
@@ -116,14 +116,14 @@ class _Aligner:
         names_a, names_b = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
         said = [names_a[i] + "|" + names_b[j] if x - i == y - j == 1 else ",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y])
                 for i, x, j, y in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b, strict=False)]
-        codes = (np.array(a, np.uint64)[of_a] << np.uint64(self.shift) | np.array(b, np.uint64)[of_b]).astype("<u8").tobytes()
+        codes = (np.array(a, np.uint64)[of_a] << np.uint64(self.shift) | np.array(b, np.uint64)[of_b]).astype(self.code).tobytes()
         # Every part ends where tokens of both and a group end.
         ends = np.cumsum([len(p.encode()) for p in parts])
         last_a = np.searchsorted(np.cumsum(list(map(len, bytes_a))), ends) + 1
         groups, links = np.searchsorted(cuts_a, last_a) + 1, np.searchsorted(of_a, last_a)
-        i = g = k = 0
+        i, g, k, size = 0, 0, 0, self.code.itemsize
         for part, x, to_g, to_k in zip(parts, last_a.tolist(), groups.tolist(), links.tolist(), strict=True):
-            self.known[part] = (x - i, ";".join(said[g:to_g]), codes[8 * k:8 * to_k])
+            self.known[part] = (x - i, ";".join(said[g:to_g]), codes[size * k:size * to_k])
             i, g, k = x, to_g, to_k
         return True
 
@@ -139,26 +139,22 @@ class _Aligner:
         return tokens_a, tokens - tokens_a, groups, hashlib.sha256(whole.encode()).hexdigest(), b"".join(codes)
 
 
-def _counts(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.frombuffer(b"".join(codes), "<u8"), return_counts=True)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, shift: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, shift: int, code: str) -> Iterator[pa.RecordBatch]:
     """A row for every text, and after each block a row for every linked pair of ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    work = _Aligner(byte_path, piece_path, shift)
+    work = _Aligner(byte_path, piece_path, shift, code)
     block, size = TaskContext.get().partitionId() << 20, 0
-    pairs, times, codes, key = np.empty(0, np.uint64), np.empty(0, np.int64), [], None
+    pairs, times, codes, key = np.empty(0, np.int64), np.empty(0, np.int64), [], None
     names = ["block", "key", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pair", "n"]
 
     def asked() -> Iterator[pa.RecordBatch]:
         for at in range(0, len(pairs), 100_000):
-            p = pairs[at:at + 100_000].astype(np.int64)
+            p = pairs[at:at + 100_000]
             empty = [pa.nulls(len(p), t) for t in (key, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), block)), *empty, pa.array(p), pa.array(times[at:at + 100_000])], names=names)
 
     def merged(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new, n = _counts(codes)
+        new, n = np.unique(np.frombuffer(b"".join(codes), code).astype(np.int64), return_counts=True)
         every, back = np.unique(np.concatenate([pairs, new]), return_inverse=True)
         return every, np.bincount(back, np.concatenate([times, n]), len(every)).astype(np.int64)
 
@@ -184,7 +180,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str,
     yield from asked()
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], code: str) -> Iterator[pa.RecordBatch]:
     """Rows of a block, counts in order of their pairs first: one row per text."""
     names = ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     now, parts, table = None, [], None
@@ -206,8 +202,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
                 parts = [table]
             links = run.column("links")
-            sizes = np.array([len(x.as_buffer()) for x in links], np.int64) // 8
-            of = np.searchsorted(table[0], np.frombuffer(b"".join(x.as_buffer() for x in links), np.int64))
+            sizes = np.array([len(x.as_buffer()) for x in links], np.int64) // np.dtype(code).itemsize
+            of = np.searchsorted(table[0], np.frombuffer(b"".join(x.as_buffer() for x in links), code).astype(np.int64))
             ends = np.r_[0, np.cumsum(sizes)]
             total, best = (np.r_[0, np.cumsum(table[c][of].astype(np.int64))] for c in (1, 2))
             sums = [pa.array(x) for x in (sizes, np.diff(best[ends]), np.diff(total[ends]))]
@@ -235,9 +231,11 @@ def align_tokenizers(sets: DataFrame, byte_path: str, piece_path: str, key: str
     """
     rows = keyed_texts(sets, key, text)
     shift = max(len(SentencePieceProcessor(model_file=piece_path)) - 1, 1).bit_length()
+    bits = shift + max(Tokenizer.from_file(byte_path).get_vocab_size() - 1, 1).bit_length()
+    code = "<u4" if bits <= 32 else "<u8"  # both ids of a link in one number
     schema = T.StructType([T.StructField("block", T.LongType()), rows.schema["key"], *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups")],
                            T.StructField("groups_sha256", T.StringType()), T.StructField("links", T.BinaryType()), T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
-    done = materialize(rows.mapInArrow(lambda b: _blocks(b, byte_path, piece_path, shift), schema), "aligned")
+    done = materialize(rows.mapInArrow(lambda b: _blocks(b, byte_path, piece_path, shift, code), schema), "aligned")
     asked = done.where("pair IS NOT NULL").select("block", "pair", "n")
     counts = materialize(asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << shift) - 1).cast("long"))), "pair_counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
@@ -248,5 +246,5 @@ def align_tokenizers(sets: DataFrame, byte_path: str, piece_path: str, key: str
     out = T.StructType([rows.schema["key"], *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
                         T.StructField("groups_sha256", T.StringType())])
     placed = both.repartition("block").sortWithinPartitions("block", F.col("pair").asc_nulls_last())
-    return placed.mapInArrow(_summed, out).withColumnRenamed("key", key)
+    return placed.mapInArrow(lambda b: _summed(b, code), out).withColumnRenamed("key", key)
 

@@ -19,7 +19,9 @@ from tidebars.llm.texts import keyed_texts
 
 # Texts of a block: their places in it take two bytes.
 BLOCK_ROWS = 1 << 15
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
+# Entries that are unpacked at a time.
+AT_ONCE = 250_000
 _ENTRY = np.dtype([("row", "<u2"), ("n", "u1")])
 _SUM = np.dtype([("row", "<u2"), ("n", "<u8")])
 
@@ -106,10 +108,16 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
                 yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), own)), pa.array(np.zeros(len(w), bool)), lists.slice(start, len(w))], names=names)
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=True))
+
+
 _PASSED = ["base", "head", "entries"]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by word: each distinct word is counted once by the library, its count
     meets the word's frequencies, which lie beside it, and products are added up by
     (base, row); what has gathered is passed on whenever ``limit`` entries have."""
@@ -142,15 +150,18 @@ def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int
         last = b.column(0)[-1].as_py()
         known = pieces[last]
         each = np.array([pieces[w] for w in words], np.float64)[coded.indices.to_numpy()]
-        lists = b.column(3)
+        lists, bases = b.column(3), b.column(1).to_numpy()
         sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1]) // _ENTRY.itemsize
-        e = np.frombuffer(b"".join(lists.to_pylist()), _ENTRY)
-        rows.append((np.repeat(b.column(1).to_numpy(), sizes) << 16) | e["row"])
-        sums.append(e["n"] * np.repeat(each, sizes))
-        held += len(e)
-        if held > limit:
-            yield from told()
-            rows, sums, held = [], [], 0
+        # A frequent word's lists are long: only so many are unpacked at once.
+        turns = np.cumsum(sizes) // AT_ONCE
+        for at, to in _runs(turns):
+            e = np.frombuffer(b"".join(x.as_buffer() for x in lists.slice(at, to - at)), _ENTRY)
+            rows.append((np.repeat(bases[at:to], sizes[at:to]) << 16) | e["row"])
+            sums.append(e["n"] * np.repeat(each[at:to], sizes[at:to]))
+            held += len(e)
+            if held > limit:
+                yield from told()
+                rows, sums, held = [], [], 0
     if held:
         yield from told()
 
