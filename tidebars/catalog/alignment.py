@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebars.catalog.base import (
-    BAR_START, HIGHER, LEVEL_TRADED, LEVELS, ORDER_TICKS, S, SUMMARY, TICKS, bars_sql, calendar_bars, register, stored, table, ticks, two_levels, with_,
+    BAR_START, HIGHER, LEVEL_TRADED, LEVELS, ORDER_TICKS, ROWS, S, SUMMARY, TICKS, bars_sql, calendar_bars, derived_sql, filtered_sql, register, stored, table,
+    ticks, trigger_sql, two_levels, with_,
 )
 from tidebars.functions.scalars import net_position
 from tidebars.operators import align as A
 from tidebars.operators.backtest import entries, gate
-from tidebars.plans.analysis import analyse, run_all
+from tidebars.operators.series import with_index
+from tidebars.plans.analysis import analyse, run_all, signal_rows
 
 K3 = ("ticker", "timeframe")
 
@@ -185,3 +187,24 @@ def gate_confirmed(spark, sf):
     entered = entries(a.pairs, a.fits, LEVELS.n_ext)
     higher = A.asof_higher(a.signal, a.signal.withColumnRenamed("sig", "higher_sig"), ["higher_sig"])
     return gate(entered, higher, higher_sig="higher_sig").select(*K3, "entry_idx", "type")
+
+
+FOUR = {"3mo": 4.0, "1mo": 3.0, "1wk": 2.0, "1d": 1.0}
+
+
+def _four_sql() -> str:
+    joins = "".join(f"\n ASOF LEFT JOIN (SELECT ticker, ts, sig FROM r WHERE timeframe = '{tf}') l{i} ON b.ticker = l{i}.ticker AND b.ts >= l{i}.ts" for i, tf in enumerate(FOUR))
+    sums = " + ".join(f"{w} * coalesce(l{i}.sig, 0)" for i, w in enumerate(FOUR.values()))
+    against = " + ".join(f"CASE WHEN sign(s{i}) <> sign(combined) THEN {w} ELSE 0 END" for i, w in enumerate(FOUR.values()))
+    own = ", ".join(f"coalesce(l{i}.sig, 0) AS s{i}" for i in range(len(FOUR)))
+    return with_(ORDER_TICKS, bars_sql("1d", "1wk", "1mo", "3mo"), S, filtered_sql(3), derived_sql(), trigger_sql(10), ROWS,
+                 f"lv AS (SELECT b.*, {own}, ({sums}) / 10.0::DOUBLE AS combined FROM (SELECT ticker, timeframe, idx, ts FROM r WHERE timeframe = '1d') b{joins})") + f"""
+SELECT ticker, timeframe, idx, round(combined, 6) AS combined, round(({against}) / 10.0::DOUBLE, 6) AS disagreement FROM lv"""
+
+
+@register("combine_four_levels", _four_sql())
+def combine_four_levels(spark, sf):
+    """Quarters, months, weeks and days weigh 4 : 3 : 2 : 1, in one scan of the signals."""
+    s = stored(signal_rows(stored(with_index(stored(calendar_bars(spark, sf)), bucket="year")), LEVELS))
+    done = A.combine_levels(s.where("timeframe = '1d'").select(*K3, "idx", "ts"), s, FOUR)
+    return done.select(*K3, "idx", F.round("combined", 6).alias("combined"), F.round("disagreement", 6).alias("disagreement"))

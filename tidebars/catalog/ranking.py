@@ -7,14 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidebars.catalog.base import (
-    CAPITAL, EQUITY, HOURLY, PAIRS, ROWS, S, SEGMENTS, SERIES, SMOOTH, SUMMARY, TICKS, VERTEX, bars_sql, calendar_bars, hourly, indexed,
+    CAPITAL, EQUITY, HOURLY, PAIRS, ROWS, S, SEGMENTS, SERIES, SMOOTH, SUMMARY, TICKS, VERTEX, bars_sql, calendar_bars, derived_sql, filtered_sql, hourly, indexed,
     ORDER_TICKS, register, stored, table, ticks, trades_sql, trigger_sql, with_,
 )
 from tidebars.operators import extensions as E
 from tidebars.operators import metrics as M
+from tidebars.operators.derive import roughness
 from tidebars.operators.filters import apply_filter
 from tidebars.operators.series import with_index
-from tidebars.plans.analysis import compare_filters, sweep_summary
+from tidebars.plans.analysis import Settings, compare_filters, sweep_summary, walk_forward_test
 from tidebars.sources.storage import scratch_root, write_ranking
 
 K3 = ("ticker", "timeframe")
@@ -152,13 +153,20 @@ def best_filter(spark, sf):
     return _r(M.best_filter(compared(spark, sf)), "mse")
 
 
+# The ten filters of the benchmark with their variants: what they are
+# called, parameters and edge.
+BENCHMARK = [
+    ("SMA", "sma", {"window": 11}), ("EMA", "ema", {"alpha": 0.2}), ("WMA", "wma", {"window": 11, "direction": "newest"}),
+    ("ALMA", "alma", {"window": 21, "offset": 0.85, "sigma": 6.0}, "causal"), ("SavGol", "savgol", {"window": 11, "order": 3}),
+    ("Kalman", "kalman", {"Q": 0.01, "R": 0.1, "model": "diagonal"}), ("Butter", "butterworth", {"order": 4, "cutoff": 0.15}),
+    ("Gauss", "gaussian", {"sigma": 2.0}), ("Median", "median", {"window": 5}), ("LOWESS", "lowess", {"frac": 0.2}),
+]
+
+
 @register("compare_all_filters")
 def compare_all_filters(spark, sf):
-    """All ten filters with their usual parameters on every series."""
-    ten = [("sma", {"window": 11}), ("ema", {"alpha": 0.2}), ("wma", {"window": 11}), ("alma", {"window": 21}), ("savgol", {"window": 11, "order": 3}),
-           ("kalman", {"Q": 0.01, "R": 0.1}), ("butterworth", {"order": 4, "cutoff": 0.15}), ("gaussian", {"sigma": 2.0}), ("median", {"window": 5}), ("lowess", {"frac": 0.2})]
-    r = compare_filters(stored(clean_noisy(spark, sf)), [(f, f, p) for f, p in ten])
-    ranked = M.rank_filters(r)
+    """The ten filters of the benchmark on every series."""
+    ranked = M.rank_filters(compare_filters(stored(clean_noisy(spark, sf)), BENCHMARK, snr="mse"))
     return _r(ranked.select("rank", "filter", "mse", "snr_imp", "lag", "edge_ratio", "composite"), "mse", "snr_imp", "lag", "edge_ratio", "composite", digits=4)
 
 
@@ -203,12 +211,54 @@ def walk_forward(spark, sf):
         F.count_if(F.col("part") == "train").alias("train_rows"), F.count_if(F.col("part") == "test").alias("test_rows"))
 
 
-@register("bootstrap", with_(*SERIES) + """SELECT ticker, timeframe, p.path::INTEGER AS path, count(*) AS "rows", min(n) AS n FROM s CROSS JOIN range(20) p(path) GROUP BY ALL""")
+BOOT = """f0 AS (SELECT *, sum(close) OVER (PARTITION BY ticker, timeframe ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 AS filtered FROM s),
+pk AS MATERIALIZED (SELECT f.ticker, f.timeframe, p.path, f.idx, f.filtered,
+ ('0x' || substr(md5(concat_ws(':', 42, p.path, f.idx, f.ticker, f.timeframe)), 1, 15))::BIGINT % f.n AS pick FROM f0 f CROSS JOIN range(1000) p(path)),
+bo AS (SELECT f.ticker, f.timeframe, f.path, f.idx, f.filtered + d.close - d.filtered AS close FROM pk f
+ JOIN f0 d ON d.ticker = f.ticker AND d.timeframe = f.timeframe AND d.idx = f.pick),
+bf AS (SELECT *, sum(close) OVER (PARTITION BY ticker, timeframe, path ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS y FROM bo),
+br AS (SELECT ticker, timeframe, path, sum(pow(bend, 2)) AS roughness FROM (SELECT *, y - 2 * lag(y) OVER w + lag(y, 2) OVER w AS bend FROM bf
+ WINDOW w AS (PARTITION BY ticker, timeframe, path ORDER BY idx)) GROUP BY ALL)"""
+
+
+@register("bootstrap", with_(*SERIES, BOOT) + """SELECT ticker, timeframe, round(quantile_cont(roughness, 0.05), 3) AS q5, round(quantile_cont(roughness, 0.5), 3) AS q50,
+round(quantile_cont(roughness, 0.95), 3) AS q95 FROM br GROUP BY ALL""")
 def bootstrap(spark, sf):
-    """Twenty disturbed paths per series; only their shape can be checked in SQL."""
+    """A thousand disturbed paths per series, smoothed: how rough they stay."""
     base = apply_filter(indexed(spark, sf), "sma", {"window": 11}).withColumn("residual", F.col("close") - F.col("filtered"))
-    return E.bootstrap(stored(base.select(*K3, "idx", "n", "filtered", "residual")), 20).groupBy(*K3, "path").agg(
-        F.count("close").alias("rows"), F.min("n").alias("n"))
+    paths = E.bootstrap(stored(base.select(*K3, "idx", "n", "filtered", "residual")))
+    smooth = apply_filter(paths, "sma", {"window": 5}, keys=[*K3, "path"])
+    return _r(E.path_quantiles(roughness(smooth, keys=[*K3, "path"]), "roughness"), "q5", "q50", "q95", digits=3)
+
+
+WINDOWED = """bars AS (SELECT b.* REPLACE (b.ticker || '|' || strftime(train_start, '%Y-%m-%d') || '|' || CASE WHEN b.ts < test_start THEN 'train' ELSE 'test' END AS ticker)
+ FROM b0 b JOIN wf ON wf.ticker = b.ticker AND wf.timeframe = b.timeframe AND b.ts >= train_start AND b.ts < test_end)"""
+WINDOW_SETS = [{"param_id": i, "k_eps": k, "sigma_min": 0.05, "stop_loss_pct": s} for i, (k, s) in enumerate([(0.05, 1.0), (0.4, 30.0), (0.9, 5.0)])]
+
+
+def _windows_sql() -> str:
+    values = ", ".join(f"({p['param_id']}, {p['k_eps']}::DOUBLE, {p['stop_loss_pct']}::DOUBLE)" for p in WINDOW_SETS)
+    return with_(ORDER_TICKS, bars_sql("1d", name="b0"), WINDOWS.replace("FROM bars", "FROM b0").replace("INTERVAL 1 MONTH)", "INTERVAL 6 MONTH)"), WINDOWED, S, filtered_sql(3), derived_sql(),
+                 f"ps AS (SELECT * FROM (VALUES {values}) p(param_id, k_eps, stop_pct))",
+                 "f2 AS (SELECT f.* REPLACE (f.ticker || '|' || ps.param_id AS ticker), ps.k_eps, ps.stop_pct FROM f CROSS JOIN ps)",
+                 "g2 AS (SELECT g.* REPLACE (g.ticker || '|' || ps.param_id AS ticker), ps.k_eps FROM g CROSS JOIN ps)",
+                 trigger_sql(20, k="g.k_eps", source="g2"), ROWS.replace("FROM f JOIN", "FROM f2 f JOIN"),
+                 PAIRS, SEGMENTS, VERTEX, trades_sql(stop="b.stop_pct"), CAPITAL, EQUITY, SUMMARY,
+                 """sm AS (SELECT split_part(ticker, '|', 1) AS ticker, timeframe, split_part(ticker, '|', 2)::TIMESTAMP AS train_start, split_part(ticker, '|', 3) AS part,
+ split_part(ticker, '|', 4)::BIGINT AS param_id, trades, total_return FROM summary)""") + """
+SELECT a.ticker, a.timeframe, a.train_start, a.param_id, round(sign(a.total_return) * ln(1 + abs(a.total_return)), 6) AS train_log,
+round(sign(b.total_return) * ln(1 + abs(b.total_return)), 6) AS test_log, b.trades AS test_trades
+FROM (SELECT * FROM sm WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY ticker, timeframe, train_start ORDER BY round(total_return, 9) DESC, param_id) = 1) a
+LEFT JOIN sm b ON b.part = 'test' AND b.ticker = a.ticker AND b.timeframe = a.timeframe AND b.train_start = a.train_start AND b.param_id = a.param_id"""
+
+
+@register("walk_forward_test", _windows_sql())
+def walk_forward_best(spark, sf):
+    """Per window the set that did best in six months, and its next three."""
+    daily = stored(calendar_bars(spark, sf).where("timeframe = '1d'"))
+    r = walk_forward_test(daily, WINDOW_SETS, base=Settings("sma", {"window": 3}, span=20, decimals=6), step=6)
+    log = lambda c: F.round(F.signum(c) * F.log1p(F.abs(c)), 6)
+    return r.select(*K3, "train_start", F.col("param_id").cast("long").alias("param_id"), log("train_score").alias("train_log"), log("test_score").alias("test_log"), "test_trades")
 
 
 HALVES = (TICKS, "a AS (SELECT * FROM ticks WHERE ts < TIMESTAMP '2024-01-16')", "b AS (SELECT * FROM ticks WHERE ts >= TIMESTAMP '2024-01-16')")

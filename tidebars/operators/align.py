@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,21 +195,29 @@ def masked_trades(trades: DataFrame, masks: DataFrame, keys: Sequence[str] = KEY
     )
 
 
+def combine_levels(base: DataFrame, signals: DataFrame, weights: dict[str, float], sig: str = "sig",
+                   by: Sequence[str] = ("ticker",), level: str = "timeframe") -> DataFrame:
+    """Weighted mean of the signals of several levels (values of ``level`` in ``signals``) on
+    the rows of ``base``, and the share of weight that disagrees with its sign. Each row
+    meets the last signal of every level up to its ``ts`` (none: 0). Rows and signals of
+    all levels go through one scan, whatever their number."""
+    by, names = list(by), {tf: f"sig_{tf}" for tf in weights}
+    hit = F.struct(F.col(sig).alias("s"))
+    told = signals.where(F.col(level).isin(list(weights))).select(
+        *by, F.col("ts").alias("_on"), F.lit(0).alias("_side"), *[F.when(F.col(level) == tf, hit).alias(name) for tf, name in names.items()])
+    rows = base.select(*by, F.col("ts").alias("_on"), F.lit(1).alias("_side"), F.struct(*base.columns).alias("_row"))
+    both = rows.unionByName(told, allowMissingColumns=True).withColumn("_part", month_of("_on"))
+    found = scan(both, by, F.col("_part"), ["_on", "_side"], {f"_{name}": ("last", F.col(name), False) for name in names.values()})
+    out = found.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_{name}.s").alias(name) for name in names.values()])
+    total = sum(float(w) for w in weights.values())
+    share = lambda c, w: F.coalesce(F.col(c), F.lit(0)) * F.lit(float(w))
+    out = out.withColumn("combined", sum((share(names[tf], w) for tf, w in weights.items()), F.lit(0.0)) / F.lit(total))
+    against = [F.when(F.signum(F.coalesce(F.col(names[tf]), F.lit(0)).cast("double")) != F.signum("combined"), F.lit(float(w))).otherwise(0.0) for tf, w in weights.items()]
+    return out.withColumn("disagreement", sum(against, F.lit(0.0)) / F.lit(total))
+
+
 def combine_signals(base: DataFrame, levels: dict[str, tuple[DataFrame, float]], sig: str = "sig",
                     by: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Weighted mean of the signals of several timeframes on the bars of one,
-    and the share of weight that disagrees with its sign."""
-    by = list(by)
-    out = base
-    names = []
-    for tf, (other, weight) in levels.items():
-        name = f"sig_{tf}"
-        right = other.select(*by, "ts", F.col(sig).alias(name))
-        out = asof_backward(out, right, by, "ts", [name], month_of("ts"))
-        names.append((name, float(weight)))
-    total = sum(w for _, w in names)
-    value = sum((F.coalesce(F.col(c), F.lit(0)) * F.lit(w) for c, w in names), F.lit(0.0)) / F.lit(total)
-    out = out.withColumn("combined", value)
-    against = sum((F.when(F.signum(F.coalesce(F.col(c), F.lit(0)).cast("double")) != F.signum("combined"), F.lit(w)).otherwise(0.0)
-                   for c, w in names), F.lit(0.0)) / F.lit(total)
-    return out.withColumn("disagreement", against)
+    """``combine_levels`` for signals that lie in a frame per level."""
+    parts = [other.select(*by, "ts", F.lit(tf).alias("_level"), sig) for tf, (other, _) in levels.items()]
+    return combine_levels(base, reduce(DataFrame.unionByName, parts), {tf: w for tf, (_, w) in levels.items()}, sig, by, "_level")

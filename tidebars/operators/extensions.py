@@ -140,13 +140,19 @@ def window_rows(df: DataFrame, windows: DataFrame, keys: Sequence[str] = KEYS, t
 def bootstrap(df: DataFrame, paths: int = 1000, seed: int = 42, base: str = "filtered", resid: str = "residual",
               keys: Sequence[str] = KEYS, out: str = "close") -> DataFrame:
     """``paths`` disturbed copies of every series: ``base`` plus a residual of
-    a random row of the same series. The row is chosen by a hash of seed, path
-    and index, so a rerun after a lost executor gives the same paths."""
+    a random row of the same series. The row is chosen by the MD5 digest of seed, path,
+    index and keys, so a rerun after a lost executor, or another system, gives the same paths."""
     keys = list(keys)
     copies = df.select(*keys, "idx", "n", base).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "path", "idx", *keys), F.col("n"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("path").cast("string"), F.col("idx").cast("string"), *keys))
+    pick = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.col("n"))
     drawn = df.select(*keys, F.col("idx").alias("_pick"), F.col(resid).alias("_r"))
     return (
         copies.withColumn("_pick", pick).join(drawn, [*keys, "_pick"])
         .select(*keys, "path", "idx", "n", (F.col(base) + F.col("_r")).alias(out))
     )
+
+
+def path_quantiles(per_path: DataFrame, value: str, shares: Sequence[float] = (0.05, 0.5, 0.95), keys: Sequence[str] = KEYS) -> DataFrame:
+    """Quantiles of a number that every disturbed path of a series has: ``q5``, ``q50``..."""
+    return per_path.groupBy(*keys).agg(*[F.percentile(value, q).alias(f"q{round(100 * q)}") for q in shares])

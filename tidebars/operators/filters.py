@@ -25,6 +25,7 @@ from tidebars.functions.scalars import known
 from tidebars.operators.lowess import lowess
 from tidebars.operators.series import CHUNK_ROWS, chunk_of, chunked, core_rows, in_chunk, scan
 from tidebars.schema import KEYS
+from tidebars.sources.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -433,12 +434,37 @@ def apply_filter(df: DataFrame, filter_id: str, params: dict | None = None, x: s
     before, after, mirror = filter_reach(filter_id, params, edge)
     cut = chunked(df, before, after, chunk_rows, mirror)
     done = core_rows(filter_chunks(cut, filter_id, params, x, out, keys, edge))
-    if filter_id not in _ENDED_BY_HOLES:
+    return _ended(done, df, {out: filter_id}, x, keys)
+
+
+def _ended(done: DataFrame, df: DataFrame, filters: dict[str, str], x: str, keys: Sequence[str]) -> DataFrame:
+    """Columns (by filter id) that a missing value ends, emptied from there on."""
+    ended = {out: _ENDED_BY_HOLES[f] for out, f in filters.items() if f in _ENDED_BY_HOLES}
+    if not ended:
         return done
     holes = df.where(known(x).isNull()).groupBy(*keys).agg(F.min("idx").alias("_hole"))
     whole = F.col("_hole").isNull()
-    good = whole if _ENDED_BY_HOLES[filter_id] == "whole" else whole | (F.col("idx") < F.col("_hole"))
-    return done.join(holes, list(keys), "left").withColumn(out, F.when(good, F.col(out))).drop("_hole")
+    good = {"whole": whole, "rest": whole | (F.col("idx") < F.col("_hole"))}
+    return done.join(holes, list(keys), "left").withColumns({out: F.when(good[how], F.col(out)) for out, how in ended.items()}).drop("_hole")
+
+
+def filter_all(df: DataFrame, filters: Sequence[tuple], x: str = "close", keys: Sequence[str] = KEYS,
+               chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """Several filters of one column, each (name, filter id, params) or with an edge as
+    fourth, as columns called by name. Those that need no more than a halo share one cut of
+    the rows, however many they are; LOWESS, the exponential mean and reflected ends have
+    layouts of their own and go first."""
+    named = [(*f, None)[:4] for f in filters]
+    own = [f for f in named if f[1] in REGISTRY and (REGISTRY[f[1]].kind == "table" or f[1] == "ema" or filter_reach(*f[1:])[2])]
+    for name, filter_id, params, edge in own:
+        df = materialize(apply_filter(df, filter_id, params, x, name, keys, edge, chunk_rows), "filtered")
+    shared = [f for f in named if f not in own]
+    known_ones = [f for f in shared if f[1] in REGISTRY]
+    reach = [filter_reach(*f[1:]) for f in known_ones] or [(0, 0, 0)]
+    cut = chunked(df, max(r[0] for r in reach), max(r[1] for r in reach), chunk_rows)
+    for name, filter_id, params, edge in shared:
+        cut = filter_chunks(cut, filter_id, params, x, name, keys, edge) if filter_id in REGISTRY else cut.withColumn(name, F.lit(None).cast("double"))
+    return _ended(core_rows(cut), df, {f[0]: f[1] for f in known_ones}, x, keys)
 
 
 def dual_filter(df: DataFrame, first: tuple[str, dict], second: tuple[str, dict], **kw) -> DataFrame:

@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebars.functions.scalars import known
+from tidebars.functions.taps import bell, odd
 from tidebars.operators.derive import roughness
-from tidebars.operators.filters import apply_filter
-from tidebars.operators.series import seen_only, with_index
+from tidebars.operators.filters import apply_filter, defaults
+from tidebars.operators.series import scan, seen_only
+from tidebars.operators.spectrum import BLOCK, correlation, spectrum
 from tidebars.schema import KEYS
-
-BLOCK = 1024
+from tidebars.sources.storage import materialize
 
 
 def valid_rows(df: DataFrame, clean: str = "clean", noisy: str = "noisy", filtered: str = "filtered") -> DataFrame:
@@ -60,45 +59,20 @@ def input_snr(df: DataFrame, keys: Sequence[str] = KEYS, clean: str = "clean", n
 
 
 def xcorr_lag(df: DataFrame, keys: Sequence[str] = KEYS, noisy: str = "noisy", filtered: str = "filtered",
-              max_lag: int | None = None) -> DataFrame:
+              max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
     """Lag at which filtered and noisy correlate best, the smallest of equal
-    ones. Products are summed per pair of row blocks and added up, so neither a
-    long series nor a wide lag range meets in one task. ``max_lag`` None tries
-    every lag; a bound keeps the work linear. Rows on which either is missing are
-    left out before; fewer than three rows have lag 0."""
+    ones, out of all or of those up to ``max_lag``. The sums of all lags come from Fourier
+    transforms, so the rows grow with the length of a series, not with its square. Rows
+    on which either is missing are left out before; fewer than three rows have lag 0."""
     keys = list(keys)
     every = df.select(*keys).distinct()
     both = known(noisy).isNotNull() & known(filtered).isNotNull()
     df = seen_only(df.select(*keys, "idx", "n", noisy, filtered), keys, both)
     means = df.groupBy(*keys).agg(F.avg(filtered).alias("_mf"), F.avg(noisy).alias("_mn"))
-    rows = df.where("n >= 3").select(*keys, "idx", "n", F.col(filtered).alias("_f0"), F.col(noisy).alias("_n0")).join(means, keys)
-    rows = rows.select(*keys, "idx", "n", (F.col("_f0") - F.col("_mf")).alias("_f"),
-                       (F.col("_n0") - F.col("_mn")).alias("_n"), F.expr(f"idx div {BLOCK}").alias("_home"))
-    last = F.expr(f"(n - 1) div {BLOCK}")
-    reach = last if max_lag is None else F.lit(max_lag // BLOCK + 1).cast("long")
-    pairs = rows.withColumn("_mate", F.explode(F.sequence(
-        F.greatest(F.col("_home") - reach, F.lit(0).cast("long")), F.least(F.col("_home") + reach, last))))
-    # f-block p meets n-block q; a row goes to every pair in either role
-    roles = pairs.select(*keys, "idx", F.explode(F.array(
-        F.struct(F.col("_home").alias("p"), F.col("_mate").alias("q"), F.lit(0).alias("role"), F.col("_f").alias("v")),
-        F.struct(F.col("_mate").alias("p"), F.col("_home").alias("q"), F.lit(1).alias("role"), F.col("_n").alias("v")),
-    )).alias("_r")).select(*keys, "idx", "_r.*")
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, T.StructField("lag", T.LongType()), T.StructField("c", T.DoubleType())])
-
-    def per_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        f, n = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        c = np.correlate(f["v"].to_numpy(), n["v"].to_numpy(), mode="full")
-        lag = np.arange(len(c)) - (len(n) - 1) + int(f["idx"].iloc[0]) - int(n["idx"].iloc[0])
-        res = pd.DataFrame({"lag": lag, "c": c})
-        for k in keys:
-            res[k] = pdf[k].iloc[0]
-        return res[[*keys, "lag", "c"]]
-
-    sums = roles.groupBy(*keys, "p", "q").applyInPandas(per_pair, schema).groupBy(*keys, "lag").agg(F.sum("c").alias("c"))
-    if max_lag is not None:
-        sums = sums.where(F.abs("lag") <= max_lag)
+    rows = df.where("n >= 3").join(means, keys).select(
+        *keys, "idx", "n", (F.col(filtered) - F.col("_mf")).alias("_f"), (F.col(noisy) - F.col("_mn")).alias("_n"))
+    reach = F.col("n") - 1 if max_lag is None else F.least(F.col("n") - 1, F.lit(max_lag))
+    sums = correlation(rows, keys, "_f", "_n", block).join(rows.select(*keys, "n").distinct(), keys).where(F.abs("lag") <= reach)
     best = sums.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round("c", 9), -F.col("lag"))).alias("lag"))
     return every.join(best, keys, "left").withColumn("lag", F.coalesce("lag", F.lit(0).cast("long")))
 
@@ -114,35 +88,47 @@ def edge_ratio(df: DataFrame, frac: float = 0.05, keys: Sequence[str] = KEYS, cl
         (F.avg(F.when(at_edge, err)) / (F.avg(F.when(~at_edge, err)) + 1e-15)).alias("edge_ratio"))
 
 
-def all_metrics(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Error metrics, roughness and edge ratio of (clean, noisy, filtered)."""
+def all_metrics(df: DataFrame, keys: Sequence[str] = KEYS, snr: str = "variance") -> DataFrame:
+    """Error metrics, roughness and edge ratio of (clean, noisy, filtered); ``snr`` is the
+    form of the SNR improvement."""
     keys = list(keys)
-    return error_metrics(df, keys).join(roughness(df, "filtered", keys=keys), keys).join(edge_ratio(df, keys=keys), keys)
+    errors = error_metrics(df, keys)
+    if snr != "variance":
+        errors = errors.drop("snr_imp").join(snr_improvement(df, keys, snr), keys)
+    return errors.join(roughness(df, "filtered", keys=keys), keys).join(edge_ratio(df, keys=keys), keys)
 
 
 # Lag of filters whose delay is known, in windows of w rows.
 _HALF_WINDOW = ("sma", "wma", "savgol", "median")
 _ZERO_PHASE = ("gaussian", "butterworth", "lowess")
+# Rows of the probe of other filters, whose impulse stands at a quarter.
+PROBE_ROWS = 2000
+
+
+def filter_lag(spark: SparkSession, filter_id: str, params: dict | None = None) -> float:
+    """Delay of a filter, which is a property of the filter alone: half the window for
+    symmetric windows, zero for zero-phase filters, the centre of its weights for ALMA,
+    else the centroid of the response to a unit impulse."""
+    p = {**defaults(filter_id), **(params or {})}
+    if filter_id in _HALF_WINDOW:
+        return (odd(int(p["window"])) - 1) / 2.0
+    if filter_id in _ZERO_PHASE:
+        return 0.0
+    if filter_id == "alma":
+        width = odd(int(p["window"]))
+        return float(np.arange(width) @ bell(width, p["offset"] * (width - 1), width / max(p["sigma"], 1e-6)))
+    pos = PROBE_ROWS // 4
+    probe = spark.range(PROBE_ROWS).select(F.lit("probe").alias("ticker"), F.col("id").alias("idx"), F.lit(PROBE_ROWS).cast("long").alias("n"),
+                                           F.when(F.col("id") == pos, 1.0).otherwise(0.0).alias("x"))
+    weight = F.abs("filtered")
+    out = apply_filter(probe, filter_id, params, x="x", keys=["ticker"])
+    centroid = out.agg(F.try_divide(F.sum(F.col("idx") * weight), F.sum(weight)) - pos).first()[0]
+    return max(0.0, centroid or 0.0)
 
 
 def impulse_lag(series: DataFrame, filter_id: str, params: dict | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Delay of a filter on the index of every series: half the window for
-    symmetric windows, zero for zero-phase filters, else the centroid of the
-    response to a unit impulse at a quarter of the series."""
-    from tidebars.functions.taps import odd
-    from tidebars.operators.filters import defaults
-
-    keys, p = list(keys), {**defaults(filter_id), **(params or {})}
-    if filter_id in _HALF_WINDOW or filter_id in _ZERO_PHASE:
-        lag = (odd(int(p["window"])) - 1) / 2.0 if filter_id in _HALF_WINDOW else 0.0
-        return series.select(*keys).distinct().withColumn("lag", F.lit(lag))
-    pos = F.floor(F.col("n") / 4)
-    probe = series.select(*keys, "idx", "n").withColumn("x", F.when(F.col("idx") == pos, 1.0).otherwise(0.0))
-    edge = "causal" if filter_id == "alma" else None
-    out = apply_filter(probe, filter_id, params, x="x", keys=keys, edge=edge)
-    weight = F.abs("filtered")
-    centroid = F.try_divide(F.sum(F.col("idx") * weight), F.sum(weight)) - F.max(pos)
-    return out.groupBy(*keys).agg(F.greatest(F.coalesce(centroid, F.lit(0.0)), F.lit(0.0)).alias("lag"))
+    """``filter_lag`` for every series."""
+    return series.select(*keys).distinct().withColumn("lag", F.lit(filter_lag(series.sparkSession, filter_id, params)))
 
 
 def minmax(df: DataFrame, cols: dict[str, bool], suffix: str = "_norm") -> DataFrame:
@@ -180,39 +166,30 @@ def best_filter(results: DataFrame, by: Sequence[str] = KEYS, score: str = "mse"
 
 
 def freq_response(df: DataFrame, keys: Sequence[str] = KEYS, x: str = "close", filtered: str = "filtered",
-                  bins: Sequence[int] | None = None) -> DataFrame:
-    """Magnitude of the filtered over the input spectrum per frequency bin.
-    Every row adds its cosine and sine terms before the shuffle. ``bins`` limits
-    the work on long series; all n/2+1 by default."""
+                  bins: Sequence[int] | None = None, block: int = BLOCK) -> DataFrame:
+    """Magnitude of the filtered over the input spectrum per frequency bin, up to half the
+    length of the series or for ``bins`` only; missing values count as zero."""
     keys = list(keys)
-    wanted = F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2).cast("long")) if bins is None else F.lit(list(bins)).cast("array<bigint>")
-    rows = df.select(*keys, "idx", "n", F.col(x).alias("_x"), F.col(filtered).alias("_y"), F.explode(wanted).alias("bin"))
-    # the angle is reduced to one turn in whole numbers before it is scaled
-    turn = F.expr("2 * pi() * ((idx * bin) % n) / n")
-    rows = rows.withColumn("_c", F.cos(turn)).withColumn("_s", F.sin(turn))
-    sums = rows.groupBy(*keys, "bin", "n").agg(
-        *[F.sum(F.col(v) * F.col(t)).alias(f"{v}{t}") for v in ("_x", "_y") for t in ("_c", "_s")])
-    mag = lambda v: F.sqrt(F.col(f"{v}_c") * F.col(f"{v}_c") + F.col(f"{v}_s") * F.col(f"{v}_s"))
-    return sums.select(*keys, "bin", (F.col("bin") / F.col("n")).alias("freq"), (mag("_y") / (mag("_x") + 1e-15)).alias("response"))
+    wanted = F.col("bin") <= F.floor(F.col("n") / 2) if bins is None else F.col("bin").isin(list(bins))
+    rows = df.select(*keys, "idx", "n", F.col(x).alias("_x"), F.col(filtered).alias("_y"))
+    found = spectrum(rows, keys, ["_x", "_y"], block).where(wanted)
+    mag = lambda v: F.sqrt(F.col(f"{v}_re") * F.col(f"{v}_re") + F.col(f"{v}_im") * F.col(f"{v}_im"))
+    return found.select(*keys, "bin", (F.col("bin") / F.col("n")).alias("freq"), (mag("_y") / (mag("_x") + 1e-15)).alias("response"))
 
 
 def ks(a: DataFrame, b: DataFrame, value: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples. Equal values are counted
-    together first; the running shares go over the distinct values, cut into
-    value buckets so that no task sorts a whole sample."""
-    from tidebars.operators.series import scan
-
+    together first; the running shares go over ranges of the distinct values, whose sums
+    are carried on, so no task sorts a whole sample."""
     keys = list(keys)
     sides = a.select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
         b.select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     tally = sides.groupBy(*keys, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    cuts = tally.groupBy(*keys).agg(F.percentile_approx(
-        "_v", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("_cuts"),
-        F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
-    placed = tally.join(cuts, keys)
-    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    upto = scan(placed, keys, part, ["_v"], {"_ca": ("sum", F.col("_a"), False), "_cb": ("sum", F.col("_b"), False)})
-    return upto.groupBy(*keys).agg(F.max(F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb"))).alias("ks"))
+    # As many ranges as the values need; equal values and keys are in one, in order.
+    ranges = materialize(tally.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = scan(ranges, keys, F.col("_part"), ["_v"], {"_ca": ("sum", F.col("_a"), False), "_cb": ("sum", F.col("_b"), False)})
+    sizes = ranges.groupBy(*keys).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    return upto.join(sizes, keys).groupBy(*keys).agg(F.max(F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb"))).alias("ks"))
 
 
 def psi(a: DataFrame, b: DataFrame, bucket: Column, keys: Sequence[str] = KEYS, floor: float = 1e-4) -> DataFrame:

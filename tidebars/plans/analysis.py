@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidebars.operators import align, backtest, fits, metrics, signals
 from tidebars.operators.derive import smooth_and_derive
-from tidebars.operators.filters import apply_filter
+from tidebars.operators.extensions import walk_forward, window_rows
+from tidebars.operators.filters import filter_all
 from tidebars.operators.series import CHUNK_ROWS, chunk_limit, with_index
 from tidebars.schema import KEYS
 from tidebars.sources.bars import valid_close
@@ -146,16 +147,36 @@ def sweep_summary(bars: DataFrame, sets: Sequence[dict], keys: Sequence[str] = K
     return reduce(DataFrame.unionByName, out)
 
 
-def compare_filters(df: DataFrame, filters: Sequence[tuple[str, str, dict]], keys: Sequence[str] = KEYS,
-                    edge: str | None = None, lags: bool = True) -> DataFrame:
-    """Every (name, filter id, params) on every series of ``df`` (idx, n,
-    clean, noisy): one row of metrics per (filter, series)."""
+def walk_forward_test(bars: DataFrame, sets: Sequence[dict], keys: Sequence[str] = KEYS, base: Settings = Settings(),
+                      train: int = 6, test: int = 3, step: int = 1, score: str = "total_return") -> DataFrame:
+    """Per series and walk-forward window the parameter set with the best ``score`` on the
+    train part (ties: the smaller ``param_id``) and what it makes of the test part:
+    ``train_start, param_id, train_score, test_score, test_trades``. Window and part are keys of
+    a series, so one sweep analyses all windows; the test part starts anew on its first bar."""
     keys = list(keys)
-    out = []
-    for name, filter_id, params in filters:
-        done = apply_filter(df.select(*keys, "idx", "n", "clean", "noisy"), filter_id, params, "noisy", "filtered", keys, edge)
-        res = metrics.all_metrics(done, keys)
-        if lags:
-            res = res.join(metrics.impulse_lag(df, filter_id, params, keys), keys)
-        out.append(res.withColumn("filter", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
+    rows = valid_close(bars).select(*keys, *NEEDED)
+    cut = window_rows(rows, walk_forward(rows, train, test, step, keys), keys)
+    wide = [*keys, "train_start", "part"]
+    done = materialize(sweep_summary(materialize(cut.select(*wide, *NEEDED), "windows"), sets, wide, base), "window_results")
+    best = done.where("part = 'train'").groupBy(*keys, "train_start").agg(
+        F.max_by(F.struct("param_id", F.col(score).alias("train_score")), F.struct(F.round(score, 9), -F.col("param_id"))).alias("_b"))
+    tested = done.where("part = 'test'").select(*keys, "train_start", "param_id", F.col(score).alias("test_score"), F.col("trades").alias("test_trades"))
+    return best.select(*keys, "train_start", "_b.*").join(tested, [*keys, "train_start", "param_id"], "left")
+
+
+def compare_filters(df: DataFrame, filters: Sequence[tuple], keys: Sequence[str] = KEYS, edge: str | None = None,
+                    lags: bool = True, snr: str = "variance") -> DataFrame:
+    """Every (name, filter id, params), or with an edge of its own as fourth, on every
+    series of ``df`` (idx, n, clean, noisy): one row of metrics per (filter, series). All
+    filters go through one pass (``filter_all``), and all metrics read its stored result, so
+    the scans don't grow with the filters; a lag is a number per filter."""
+    keys, named = list(keys), [(*f, edge)[:4] for f in filters]
+    columns = [(f"_f{k}", *f[1:]) for k, f in enumerate(named)]
+    wide = materialize(filter_all(df.select(*keys, "idx", "n", "clean", "noisy"), columns, "noisy", keys), "compared")
+    each = F.explode(F.array(*[F.struct(F.lit(f[0]).alias("filter"), F.col(c[0]).alias("filtered")) for f, c in zip(named, columns, strict=True)]))
+    rows = wide.select(*keys, "idx", "n", "clean", "noisy", each.alias("_e")).select(*keys, "idx", "n", "clean", "noisy", "_e.*")
+    res = metrics.all_metrics(rows, [*keys, "filter"], snr)
+    if lags:
+        told = [(f[0], metrics.filter_lag(df.sparkSession, f[1], f[2])) for f in named]
+        res = res.join(F.broadcast(df.sparkSession.createDataFrame(told, "filter string, lag double")), "filter")
+    return res
