@@ -164,3 +164,18 @@ def test_gradient_and_friends(series, values):
         got = values(drawdown(df.withColumn("p", F.col("filtered") + 50), "p", chunk_rows=chunk_rows), "drawdown_pct")
         assert np.allclose(got, (x + 50 - peak) / peak * 100)
         assert abs(roughness(df, chunk_rows=chunk_rows).first().roughness - np.sum(np.diff(x, 2) ** 2)) < 1e-9
+
+
+@pytest.mark.parametrize("chunks,group", [(1, 256), (300, 8), (10_000, 256)])
+def test_states_through_a_tree_of_maps(spark, chunks, group):
+    rng = np.random.RandomState(chunks)
+    maps = rng.randint(-1, 2, (chunks, 3))
+    maps[rng.rand(chunks) < 0.7] = [-1, 0, 1]
+    rows = [("a", c, *map(int, m), c > chunks // 2) for c, m in enumerate(maps)] + [("b", 0, 1, 1, 1, False)]
+    df = spark.createDataFrame(rows, "ticker string, chunk long, `_m-1` int, _m0 int, _m1 int, _stuck boolean").repartition(4)
+    got = {r["chunk"]: (r["_came"], r["_stuck"]) for r in G._entered_with(df, ["ticker"], group).where("ticker = 'a'").collect()}
+    state = 0
+    for c, m in enumerate(maps):
+        assert got[c] == (state, c > chunks // 2)
+        state = int(m[state + 1])
+    assert len(got) == chunks

@@ -86,7 +86,7 @@ KALMAN_NOISE = {
 
 
 def kalman_gains(q: float, r: float, dt: float = 1.0, model: str = "piecewise",
-                 tol: float = 1e-17, most: int = 200_000) -> tuple[np.ndarray, float]:
+                 tol: float = 1e-15, most: int = 200_000) -> tuple[np.ndarray, float]:
     """Gains of the constant-velocity model until they stop changing, and the
     spectral radius of the error recursion under the last gain. They depend on
     the parameters only, never on the data."""

@@ -245,28 +245,54 @@ def ema_scan(cut: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float
     return affine_scan(cut, keys, a, b, out).drop("_gap")
 
 
+def _ema_chunk(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """The mean along a chunk that starts with its first value, and the share that what
+    came before this value keeps. Missing rows repeat the last mean."""
+    at = np.flatnonzero(~np.isnan(x))
+    mean, share = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    if not len(at):
+        return mean, share
+    gap, keep = np.diff(at, prepend=at[0] - 1), 1.0 - alpha
+    old = keep ** gap.astype(float)
+    total = np.where(gap == 1, 1.0, old + alpha)
+    a, b = np.where(gap == 1, keep, old / total), alpha / total * x[at]
+    a[0], b[0] = 1.0, x[at[0]]
+    left = np.exp(np.cumsum(np.log(np.maximum(a, 1e-300))))
+    a[0], step = 0.0, 1
+    while step < len(a) and a.any():  # steps are joined in pairs, pairs of pairs and so on
+        a, b = np.r_[a[:step], a[step:] * a[:-step]], np.r_[b[:step], b[step:] + a[step:] * b[:-step]]
+        step *= 2
+    last = np.searchsorted(at, np.arange(len(x)), side="right") - 1
+    seen = last >= 0
+    mean[seen], share[seen] = b[last[seen]], left[last[seen]]
+    return mean, share
+
+
 def ema_series(df: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Exponential mean of whole series, however many rows are missing and whatever
-    ``alpha`` is. Each chunk is solved from zero; its (factor, value) at the end is
-    one row, and a second scan over these rows gives what each chunk starts from."""
+    ``alpha`` is. Each chunk starts with its own first value; its ends are one row, and a scan
+    over these rows gives what each chunk should have started from."""
     keys = list(keys)
     value = known(x)
     if alpha >= 1.0:
         return scan(df, keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {out: ("last", value, False)})
-    rows = scan(df, keys, chunk_of(chunk_rows=chunk_rows), ["idx"], {"_last": ("last", F.when(value.isNotNull(), F.col("idx")), True)})
-    a, b = _ema_step(F.col("idx") - F.col("_last"), value, alpha)
-    rows = rows.withColumn("chunk", F.lit(0).cast("long") if chunk_rows is None else chunk_of(chunk_rows=chunk_rows))
-    solved = affine_scan(rows, keys, a, b, "_own", "_factor").drop("_last")
+    cut = chunked(df, 0, 0, chunk_rows).drop("core")
+    solved = per_chunk(cut, keys, x, ["_own", "_share"], lambda idx, n, values: _ema_chunk(values, alpha))
     if chunk_rows is None:
-        return solved.withColumn(out, F.col("_own")).drop("_own", "_factor", "chunk")
-    last = solved.groupBy(*keys, "chunk").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("idx"))).alias("_own"), F.min("_factor").alias("_factor"))
-    steps = affine_scan(last.select(*keys, F.lit(0).cast("long").alias("chunk"), F.col("chunk").alias("idx"), "_own", F.col("_factor").alias("_f")),
-                        keys, F.col("_f"), F.col("_own"), "_value")
-    entered = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    carry = steps.withColumn("_in", entered).select(*keys, F.col("idx").alias("chunk"), "_in")
-    own = F.coalesce("_own", F.when(F.col("_in").isNotNull(), 0.0))
-    return solved.join(carry, [*keys, "chunk"]).withColumn(out, own + F.coalesce(F.col("_factor") * F.col("_in"), F.lit(0.0))).drop(
-        "_own", "_factor", "_in", "chunk")
+        return solved.withColumn(out, F.col("_own")).drop("_own", "_share", "chunk")
+    solved = materialize(solved, "means")
+    seen = F.when(value.isNotNull(), F.col("idx"))
+    ends = solved.groupBy(*keys, "chunk").agg(
+        F.min(seen).alias("_from"), F.max(seen).alias("_upto"), F.min_by(value, seen).alias("_value0"), F.max_by("_own", seen).alias("_mean"), F.max_by("_share", seen).alias("_kept"))
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_gap", F.col("_from") - F.last("_upto", ignorenulls=True).over(before))
+    a, b = _ema_step(F.col("_gap"), F.col("_value0"), alpha)
+    ends = ends.withColumns({"_times": a, "_plus": b, "idx": F.col("chunk"), "chunk": F.lit(0).cast("long")})
+    steps = affine_scan(ends, keys, F.col("_kept") * F.col("_times"), F.col("_mean") + F.col("_kept") * (F.col("_plus") - F.col("_value0")), "_value")
+    came = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    carry = steps.withColumn("_in", came).select(*keys, F.col("idx").alias("chunk"), "_in", (F.col("_times") * F.col("_in") + F.col("_plus") - F.col("_value0")).alias("_more"))
+    moved = F.coalesce(F.col("_own") + F.col("_share") * F.coalesce("_more", F.lit(0.0)), F.col("_in"))
+    return solved.join(carry, [*keys, "chunk"]).withColumn(out, moved).drop("_own", "_share", "_in", "_more", "chunk")
 
 
 def _ema(cut, keys, x, out, p, edge):
@@ -393,17 +419,20 @@ def filter_reach(filter_id: str, params: dict | None = None, edge: str | None =
     return spec.reach(_repaired(filter_id, params), edge or "zero")
 
 
-def per_chunk(cut: DataFrame, keys: Sequence[str], x: str, out: str, run: Callable) -> DataFrame:
-    """A column that ``run`` computes from the arrays (idx, n, x) of each chunk."""
-    schema = T.StructType([*cut.schema.fields, T.StructField(out, T.DoubleType())])
+def per_chunk(cut: DataFrame, keys: Sequence[str], x: str, out: str | Sequence[str], run: Callable) -> DataFrame:
+    """A column (or several) that ``run`` computes from the arrays (idx, n, x) of each chunk."""
+    names = [out] if isinstance(out, str) else list(out)
+    schema = T.StructType([*cut.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]])
 
     def each(rows: pa.Table) -> pa.Table:
         idx = rows.column("idx").to_numpy()
         if (idx[1:] < idx[:-1]).any():
             rows = rows.take(pa.array(np.argsort(idx, kind="stable")))
             idx = rows.column("idx").to_numpy()
-        y = run(idx, rows.column("n")[0].as_py(), rows.column(x).to_numpy().astype(float))
-        return rows.append_column(out, pa.array(y, pa.float64(), from_pandas=True))
+        found = run(idx, rows.column("n")[0].as_py(), rows.column(x).to_numpy().astype(float))
+        for name, y in zip(names, [found] if isinstance(out, str) else found, strict=True):
+            rows = rows.append_column(name, pa.array(y, pa.float64(), from_pandas=True))
+        return rows
 
     return cut.groupBy(*keys, "chunk").applyInArrow(each, schema)
 

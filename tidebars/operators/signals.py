@@ -84,24 +84,44 @@ def _states_in_chunk(cut: DataFrame, keys: Sequence[str], states: Sequence[int])
         "_prev", "_seen", "_opens", "_run", "_open", "_dir", "_first", "_last_strong", "_later", "_kind", "_was", "_fixed")
 
 
-def _entered_with(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State each chunk is entered with: the maps of the chunks before it,
-    applied one after the other to 0. One short array per series."""
-    steps = F.array_sort(F.collect_list(F.struct("chunk", F.array("_m-1", "_m0", "_m1").alias("m"), "_stuck")))
+# Maps that are applied one after the other in one array.
+MAPS_AT_ONCE = 256
+
+
+def _steps(maps: DataFrame, at: str, up: Sequence[str]) -> DataFrame:
+    step = F.struct(F.col(at).alias("at"), F.array("_m-1", "_m0", "_m1").alias("m"))
+    return maps.groupBy(*up).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+
+
+def _composed(maps: DataFrame, at: str, up: Sequence[str]) -> DataFrame:
+    """One map for each group of maps applied in the order of ``at``."""
+    through = lambda s: F.aggregate("_steps", F.lit(s), lambda came, step: F.get(step["m"], came + 1))
+    return _steps(maps, at, up).select(*up, *[through(s).alias(f"_m{s}") for s in STATES])
+
+
+def _walked(maps: DataFrame, at: str, up: Sequence[str], entered: DataFrame | None) -> DataFrame:
+    """``_came``: the state that each member of a group is entered with, given that of the group."""
+    groups = _steps(maps, at, up)
+    groups = groups.withColumn("_came", F.lit(0)) if entered is None else groups.join(entered, list(up))
     walked = F.aggregate(
-        "_steps",
-        F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<chunk:bigint,s:int,stuck:boolean>>").alias("seen")),
-        lambda acc, step: F.struct(
-            F.get(step["m"], acc["s"] + 1).alias("s"),
-            F.concat(acc["seen"], F.array(F.struct(step["chunk"].alias("chunk"), acc["s"].alias("s"),
-                                                             step["_stuck"].alias("stuck")))).alias("seen")),
-        lambda acc: acc["seen"],
-    )
-    return (
-        maps.groupBy(*keys).agg(steps.alias("_steps"))
-        .select(*keys, F.explode(walked).alias("_e"))
-        .select(*keys, "_e.chunk", F.col("_e.s").alias("_came"), "_e.stuck").withColumnRenamed("stuck", "_stuck")
-    )
+        "_steps", F.struct(F.col("_came").alias("s"), F.array().cast("array<struct<at:bigint,s:int>>").alias("seen")),
+        lambda acc, step: F.struct(F.get(step["m"], acc["s"] + 1).alias("s"),
+                                   F.concat(acc["seen"], F.array(F.struct(step["at"].alias("at"), acc["s"].alias("s")))).alias("seen")),
+        lambda acc: acc["seen"])
+    return groups.select(*up, F.explode(walked).alias("_e")).select(*up, F.col("_e.at").alias(at), F.col("_e.s").alias("_came"))
+
+
+def _entered_with(maps: DataFrame, keys: Sequence[str], group: int = MAPS_AT_ONCE) -> DataFrame:
+    """State each chunk is entered with: the maps of the chunks before it applied to 0.
+    Maps are composed group by group, up and down a tree of three levels, so an array holds
+    ``group`` maps at most (the topmost as many as 1 / ``group``^2 of the chunks)."""
+    keys = list(keys)
+    chunks = maps.withColumn("_g1", F.expr(f"chunk div {group}"))
+    one = _composed(chunks, "chunk", [*keys, "_g1"]).withColumn("_g2", F.expr(f"_g1 div {group}"))
+    two = _composed(one, "_g1", [*keys, "_g2"])
+    entered = _walked(one, "_g1", [*keys, "_g2"], _walked(two, "_g2", keys, None)).drop("_g2")
+    came = _walked(chunks, "chunk", [*keys, "_g1"], entered).drop("_g1")
+    return came.join(maps.select(*keys, "chunk", "_stuck"), [*keys, "chunk"])
 
 
 def trigger_chunks(cut: DataFrame, span: int, k_eps: float | str, sigma_min: float | str, keys: Sequence[str],
