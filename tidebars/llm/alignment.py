@@ -201,13 +201,15 @@ def _summed(batches: Iterator[pa.RecordBatch], code: str) -> Iterator[pa.RecordB
             if table is None:
                 table = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
                 parts = [table]
-            links = run.column("links")
-            sizes = np.array([len(x.as_buffer()) for x in links], np.int64) // np.dtype(code).itemsize
-            of = np.searchsorted(table[0], np.frombuffer(b"".join(x.as_buffer() for x in links), code).astype(np.int64))
-            ends = np.r_[0, np.cumsum(sizes)]
-            total, best = (np.r_[0, np.cumsum(table[c][of].astype(np.int64))] for c in (1, 2))
-            sums = [pa.array(x) for x in (sizes, np.diff(best[ends]), np.diff(total[ends]))]
-            yield pa.RecordBatch.from_arrays([*(run.column(c) for c in names[:4]), *sums, run.column("groups_sha256")], names=names)
+            for first in range(0, len(run), 500):
+                some = run.slice(first, 500)
+                links = some.column("links")
+                sizes = np.array([len(x.as_buffer()) for x in links], np.int64) // np.dtype(code).itemsize
+                of = np.searchsorted(table[0], np.frombuffer(b"".join(x.as_buffer() for x in links), code).astype(np.int64))
+                ends = np.r_[0, np.cumsum(sizes)]
+                total, best = (np.r_[0, np.cumsum(table[c][of].astype(np.int64))] for c in (1, 2))
+                sums = [pa.array(x) for x in (sizes, np.diff(best[ends]), np.diff(total[ends]))]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names[:4]), *sums, some.column("groups_sha256")], names=names)
 
 
 def align_tokenizers(sets: DataFrame, byte_path: str, piece_path: str, key: str = "name", text: str = "description") -> DataFrame:
