@@ -96,6 +96,22 @@ def fit_poly2(spark, sf):
     return f.withColumns({"a": F.round("a", 5), "b": F.round("b", 4), "c": F.round("c", 2)})
 
 
+def _poly2_trades_sql() -> str:
+    """Trades on free quadratics: their vertex and their value at the rows ahead."""
+    free = POLY2.replace("fits AS (SELECT", "fits0 AS (SELECT") + """,
+fits AS (SELECT ticker, timeframe, pair_id, start_idx, end_idx, a, b, c, 0.0::DOUBLE AS x0 FROM fits0)"""
+    up = "(f.a * pow(p.end_idx + 7, 2) + f.b * (p.end_idx + 7) + f.c) > (f.a * pow(p.end_idx, 2) + f.b * p.end_idx + f.c) AS up"
+    return with_(*SIGNAL, PAIRS, SEGMENTS, free, trades_sql().replace("f.a * pow(8 - 1, 2) + f.c > f.c AS up", up))
+
+
+@register("trades_poly2", _poly2_trades_sql() + """SELECT ticker, timeframe, id, type, entry_idx, exit_idx, round(entry_price, 6) AS entry_price,
+round(exit_price, 6) AS exit_price, round(return_pct, 5) AS return_pct, exit_reason FROM trades""")
+def trades_poly2(spark, sf):
+    a = analyse(stored(hourly(spark, sf)), replace(HOURLY, fit_mode="poly2"))
+    t = a.trades.select(*K3, F.col("id").cast("long").alias("id"), "type", "entry_idx", "exit_idx", "entry_price", "exit_price", "return_pct", "exit_reason")
+    return _rounded(t, "entry_price", "exit_price").withColumn("return_pct", F.round("return_pct", 5))
+
+
 @register("fitted_rows", with_(*SIGNAL, PAIRS, SEGMENTS, VERTEX) + """SELECT s.ticker, s.timeframe, s.pair_id::INTEGER AS pair_id, s.idx,
 round(f.a * pow(s.idx - f.x0, 2) + f.c, 7) AS y_fit FROM seg s JOIN fits f USING (ticker, timeframe, pair_id)""")
 def fitted_rows(spark, sf):
