@@ -245,7 +245,7 @@ def _windows_sql() -> str:
                  trigger_sql(20, k="g.k_eps", source="g2"), ROWS.replace("FROM f JOIN", "FROM f2 f JOIN"),
                  PAIRS, SEGMENTS, VERTEX, trades_sql(stop="b.stop_pct"), CAPITAL, EQUITY, SUMMARY,
                  """sm AS (SELECT split_part(ticker, '|', 1) AS ticker, timeframe, split_part(ticker, '|', 2)::TIMESTAMP AS train_start, split_part(ticker, '|', 3) AS part,
- split_part(ticker, '|', 4)::BIGINT AS param_id, trades, total_return FROM summary)""") + """
+ split_part(ticker, '|', 4)::BIGINT AS param_id, coalesce(trades, 0) AS trades, coalesce(total_return, 0) AS total_return FROM (SELECT DISTINCT ticker, timeframe FROM f2) LEFT JOIN summary USING (ticker, timeframe))""") + """
 SELECT a.ticker, a.timeframe, a.train_start, a.param_id, round(sign(a.total_return) * ln(1 + abs(a.total_return)), 6) AS train_log,
 round(sign(b.total_return) * ln(1 + abs(b.total_return)), 6) AS test_log, b.trades AS test_trades
 FROM (SELECT * FROM sm WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY ticker, timeframe, train_start ORDER BY round(total_return, 9) DESC, param_id) = 1) a
