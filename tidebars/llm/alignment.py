@@ -139,10 +139,16 @@ class _Aligner:
         return tokens_a, tokens - tokens_a, groups, hashlib.sha256(whole.encode()).hexdigest(), b"".join(codes)
 
 
+@lru_cache(1)
+def _aligner(*files) -> _Aligner:
+    """Made once in a worker, whatever number of tasks it runs."""
+    return _Aligner(*files)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, shift: int, code: str) -> Iterator[pa.RecordBatch]:
     """A row for every text, and after each block a row for every linked pair of ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    work = _Aligner(byte_path, piece_path, shift, code)
+    work = _aligner(byte_path, piece_path, shift, code)
     block, size = TaskContext.get().partitionId() << 20, 0
     pairs, times, codes, key = np.empty(0, np.int64), np.empty(0, np.int64), [], None
     names = ["block", "key", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pair", "n"]

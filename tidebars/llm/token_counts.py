@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from tidebars.llm.texts import keyed_texts
 
 # Texts of a block: their places in it take two bytes.
 BLOCK_ROWS = 1 << 15
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 6_000_000
 # Entries that are unpacked at a time.
 AT_ONCE = 250_000
 _ENTRY = np.dtype([("row", "<u2"), ("n", "u1")])
@@ -108,6 +110,12 @@ def _postings(batches: Iterator[pa.RecordBatch], pattern: str, special: list[str
                 yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), own)), pa.array(np.zeros(len(w), bool)), lists.slice(start, len(w))], names=names)
 
 
+@lru_cache(1)
+def _loaded(path: str) -> Tokenizer:
+    """Read once in a worker, whatever number of tasks it runs."""
+    return Tokenizer.from_file(path)
+
+
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal neighbours."""
     cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
@@ -121,7 +129,8 @@ def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int
     """Rows sorted by word: each distinct word is counted once by the library, its count
     meets the word's frequencies, which lie beside it, and products are added up by
     (base, row); what has gathered is passed on whenever ``limit`` entries have."""
-    tok = Tokenizer.from_file(tokenizer_path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
+    tok = _loaded(tokenizer_path)
     last, known = None, 0
     rows, sums, held = [], [], 0
 
@@ -144,7 +153,10 @@ def _counted(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limit: int
         coded = b.column(0).dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w != last]
-        pieces = dict(zip(new, (len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        pieces = {}
+        for at in range(0, len(new), 1000):
+            some = new[at:at + 1000]
+            pieces.update(zip(some, map(len, tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         if last in words:
             pieces[last] = known
         last = b.column(0)[-1].as_py()
