@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,13 +26,14 @@ WORDS, GRAMS = 200_000, 50_000
 ADDED = 0.1
 # A letter, then letters and the marks that belong to them.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_PLAIN = re.compile("[a-z]+")  # the same for texts of ASCII characters
 # Words remembered by a task, and words counted before they are passed on.
 _KEPT = 200_000
 
 
 def words_of(text: str) -> list[str]:
     """Stretches of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    return (_PLAIN if text.isascii() else _WORD).findall(text.lower())
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -65,45 +67,45 @@ class Model:
             return self.words.logs[self.words.rows[word]]
         for size in sorted(self.grams, reverse=True):
             table = self.grams[size]
-            found = [table.rows[g] for g in grams_of(word, size) if g in table.rows]
+            found = [row for g in grams_of(word, size) if (row := table.rows.get(g)) is not None]
             if found:
-                return table.logs[found].mean(axis=0, dtype=float)
+                return table.logs[found].sum(axis=0, dtype=float) / len(found)
         return None
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the texts of a task by language, and the texts under no word."""
-    found: Counter[tuple[str, str | None]] = Counter()
+    """Words of the texts of a task by language, and the number of texts without a word."""
+    found: dict[str, Counter[str | None]] = {}
 
-    def told() -> pa.RecordBatch:
-        keys = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                           pa.array([found[k] for k in keys], pa.int64())], names=["language", "entry", "n"])
+    def told() -> Iterator[pa.RecordBatch]:
+        for language, counts in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(counts), pa.string()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                                             names=["language", "entry", "n"])
+        found.clear()
 
     for b in batches:
         for language, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found[language, None] += 1
-            for word, n in Counter(words_of(text)).items():
-                found[language, word] += n
-            if len(found) > _KEPT:
-                yield told()
-                found.clear()
-    if found:
-        yield told()
+            counts = found.setdefault(language, Counter())
+            counts[None] += 1
+            counts.update(words_of(text))
+            if len(counts) > _KEPT:
+                yield from told()
+    yield from told()
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each counted word under size 0, its n-grams under their sizes."""
     for b in batches:
-        for at in range(0, len(b), 2000):
-            found: Counter[tuple[str, int, str]] = Counter()
-            for language, word, n in zip(*(c.to_pylist() for c in b.slice(at, 2000).columns), strict=True):
-                found[language, 0, word] += n
-                for size in range(1, LONGEST + 1):
-                    for g in grams_of(word, size):
-                        found[language, size, g] += n
-            languages, sizes, entries = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(languages), pa.array(sizes, pa.int32()), pa.array(entries), pa.array(found.values(), pa.int64())],
+        found: dict[tuple[str, int], dict[str, int]] = {}
+        for language, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found.setdefault((language, 0), {})[word] = n
+            for size in range(1, LONGEST + 1):
+                counts = found.setdefault((language, size), {})
+                for g in grams_of(word, size):
+                    counts[g] = counts.get(g, 0) + n
+        for (language, size), counts in found.items():
+            k = len(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([language] * k, pa.string()), pa.array([size] * k, pa.int32()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
                                              names=["language", "size", "entry", "n"])
 
 
@@ -151,6 +153,7 @@ def train(sets: DataFrame, learn: Column | None = None, text: str = "description
 
 def _told(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     known: dict[str, np.ndarray | None] = {}
+    rows, logs = model.words.rows, model.words.logs
     for b in batches:
         language, score = [], []
         for text in b.column(1).to_pylist():
@@ -159,19 +162,27 @@ def _told(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
                 language.append(UNKNOWN)
                 score.append(0.0)
                 continue
-            rows, times = [], []
+            total, unseen = model.prior.copy(), []
+            at, times = [], []
             for word, n in found.items():
+                row = rows.get(word)
+                if row is None:
+                    unseen.append((word, n))
+                else:
+                    at.append(row)
+                    times.append(n)
+            if at:
+                total += np.array(times, float) @ logs[at]
+            for word, n in unseen:
                 if word not in known:
                     if len(known) >= _KEPT:
                         known.clear()
                     known[word] = model.word(word)
                 if known[word] is not None:
-                    rows.append(known[word])
-                    times.append(n)
-            total = model.prior + (np.array(times, float) @ np.array(rows, float) if rows else 0.0)
-            at = int(total.argmax())
-            language.append(model.languages[at])
-            score.append(1.0 / math.fsum(np.exp(total - total[at])))
+                    total += n * known[word]
+            best = int(total.argmax())
+            language.append(model.languages[best])
+            score.append(1.0 / math.fsum(np.exp(total - total[best])))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(language, pa.string()), pa.array(score, pa.float64())], names=["key", "language", "score"])
 
 
