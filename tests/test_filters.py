@@ -42,14 +42,15 @@ def test_chunks_change_nothing(series, values, fid, params):
         assert a is None or abs(a - b) < 1e-9
 
 
-def test_noise_goes_down(series, values):
-    clean, noisy = noisy_sine()
-    df = series({"a": noisy})
-    err = lambda y: np.mean((np.array(y) - clean) ** 2)
-    raw = err(noisy)
-    assert err(values(apply_filter(df, "savgol", {"window": 21, "order": 3}))) < raw / 2
-    for fid, p in [("gaussian", {"sigma": 2.0}), ("kalman", {"Q": 0.1, "R": 0.5}), ("butterworth", {"order": 4, "cutoff": 0.3}), ("wma", {"window": 3})]:
-        assert err(values(apply_filter(df, fid, p))) < raw, fid
+@pytest.mark.parametrize("fid,params,gain", [
+    ("sma", {"window": 9}, 1 / 9), ("wma", {"window": 7}, sum(k * k for k in range(1, 8)) / 28**2),
+    ("savgol", {"window": 15, "order": 2}, K.savgol_matrix(15, 2)[7, 7]), ("ema", {"alpha": 0.25}, 0.25 / 1.75),
+    ("gaussian", {"sigma": 1.5}, sum(v * v for v in K.gaussian_taps(1.5, 6).values()))])
+def test_variance_of_white_noise(series, values, fid, params, gain):
+    """What is left of white noise is the sum of the squared weights."""
+    x = np.random.RandomState(77).standard_normal(20_000)
+    got = np.array(values(apply_filter(series({"a": x}), fid, params)))[50:-50]
+    assert np.var(got) / np.var(x) == pytest.approx(gain, rel=0.06)
 
 
 def test_edges_of_means(series, values):

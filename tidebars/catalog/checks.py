@@ -8,6 +8,7 @@ from tidebars.catalog.base import (
     ORDER_TICKS, SERIES, TICKS, S, bars_sql, calendar_bars, hourly, indexed, order_ticks, register, table, ticks, with_,
 )
 from tidebars.catalog.storage import BAR_COLS, NULLED, _bar_cols, nulled_bars
+from tidebars.functions.scalars import start_of
 from tidebars.operators import quality as Q
 from tidebars.sources.bars import coarser, ohlcv, ohlcv_all
 
@@ -180,7 +181,7 @@ def merge_bars_repeated(spark, sf):
 
     raw = table(spark, sf, "events").select(
         F.concat(F.lit("x"), (F.col("user_id") % 5).cast("string")).alias("ticker"), F.lit("1d").alias("timeframe"),
-        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close", "volume")],
+        start_of("day", F.col("ts")).alias("ts"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close", "volume")],
         "event_id")
     first = Window.partitionBy("ticker", "ts").orderBy("event_id")
     base = raw.where("event_id % 10 = 0").where(F.col("ts") < _at("2024-01-20")).withColumn(
