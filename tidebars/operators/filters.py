@@ -268,9 +268,30 @@ def _ema_chunk(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     return mean, share
 
 
+def _ema_carry(ends: pa.Table, keys: Sequence[str], alpha: float) -> pa.Table:
+    """Per chunk of a series the mean it is entered with, and by how much its first value's
+    mean differs from the value. One short step per chunk."""
+    ends, keep = ends.sort_by("chunk"), 1.0 - alpha
+    entered, more, mean, upto = [], [], None, None
+    for r in ends.select(["_from", "_upto", "_value0", "_mean", "_kept"]).to_pylist():
+        entered.append(mean)
+        more.append(None)
+        if r["_from"] is None:
+            continue
+        moved = 0.0
+        if mean is not None:
+            gap = r["_from"] - upto
+            old = keep ** gap
+            a, b = (keep, alpha) if gap == 1 else (old / (old + alpha), alpha / (old + alpha))
+            moved = a * mean + (b - 1.0) * r["_value0"]
+        more[-1], mean, upto = moved, r["_mean"] + r["_kept"] * moved, r["_upto"]
+    out = ends.select([*keys, "chunk"])
+    return out.append_column("_in", pa.array(entered, pa.float64())).append_column("_more", pa.array(more, pa.float64()))
+
+
 def ema_series(df: DataFrame, keys: Sequence[str], x: str, out: str, alpha: float, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Exponential mean of whole series, however many rows are missing and whatever
-    ``alpha`` is. Each chunk starts with its own first value; its ends are one row, and a scan
+    ``alpha`` is. Each chunk starts with its own first value; its ends are one row, and a walk
     over these rows gives what each chunk should have started from."""
     keys = list(keys)
     value = known(x)
@@ -284,13 +305,8 @@ def ema_series(df: DataFrame, keys: Sequence[str], x: str, out: str, alpha: floa
     seen = F.when(value.isNotNull(), F.col("idx"))
     ends = solved.groupBy(*keys, "chunk").agg(
         F.min(seen).alias("_from"), F.max(seen).alias("_upto"), F.min_by(value, seen).alias("_value0"), F.max_by("_own", seen).alias("_mean"), F.max_by("_share", seen).alias("_kept"))
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_gap", F.col("_from") - F.last("_upto", ignorenulls=True).over(before))
-    a, b = _ema_step(F.col("_gap"), F.col("_value0"), alpha)
-    ends = ends.withColumns({"_times": a, "_plus": b, "idx": F.col("chunk"), "chunk": F.lit(0).cast("long")})
-    steps = affine_scan(ends, keys, F.col("_kept") * F.col("_times"), F.col("_mean") + F.col("_kept") * (F.col("_plus") - F.col("_value0")), "_value")
-    came = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    carry = steps.withColumn("_in", came).select(*keys, F.col("idx").alias("chunk"), "_in", (F.col("_times") * F.col("_in") + F.col("_plus") - F.col("_value0")).alias("_more"))
+    carry = ends.groupBy(*keys).applyInArrow(
+        lambda t: _ema_carry(t, keys, alpha), T.StructType([*[ends.schema[k] for k in [*keys, "chunk"]], *[T.StructField(c, T.DoubleType()) for c in ("_in", "_more")]]))
     moved = F.coalesce(F.col("_own") + F.col("_share") * F.coalesce("_more", F.lit(0.0)), F.col("_in"))
     return solved.join(carry, [*keys, "chunk"]).withColumn(out, moved).drop("_own", "_share", "_in", "_more", "chunk")
 
